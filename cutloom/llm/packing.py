@@ -14,7 +14,6 @@ A plan row says: the pieces of this length with ranks from..to go there. Ranks c
 
 from __future__ import annotations
 
-import array
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -34,23 +33,12 @@ GROUPS = 96
 ROWS_A_SALT = 1_000_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
-_ids: dict = {}
-
 
 def _id_bytes(text: str, path: str) -> bytes:
     """The text's ids as little-endian unsigned 32-bit integers."""
-    if path not in _ids:
-        _ids[path] = _bpe.Cache(lambda p: _packed(_bpe.library_ids(p, path)))
     if not _bpe.plain(text, path):
-        return _packed(_bpe.library_ids(text, path))
-    return b"".join(b"".join(map(_ids[path].__getitem__, _bpe.splitter(part))) for part in _bpe.stretches(text))
-
-
-def _packed(ids: list[int]) -> bytes:
-    packed = array.array("I", ids)
-    if packed.itemsize != 4 or np.little_endian is False:
-        return np.array(ids, "<u4").tobytes()
-    return packed.tobytes()
+        return np.array(_bpe.library_ids(text, path), "<u4").tobytes()
+    return b"".join(np.array(_bpe.plain_ids(part, path), "<u4").tobytes() for part in _bpe.stretches(text))
 
 
 def _pieces(batches, path: str, capacity: int, eos: int):

@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one: a compact table (pre-token, length) of the corpus' most frequent pre-tokens, broadcast.
-Tier two: pre-tokens it lacks are encoded by the tokenizer's library through a cache in each Python
+Tier two: pre-tokens it lacks are encoded from the tokenizer's file through a cache in each Python
 worker. No pre-token occurrence is shuffled: the first pass leaves each task with one bounded
 summary, whose rows alone are added up.
 """
@@ -60,7 +60,7 @@ def _cache(table, path: str, key: int) -> _bpe.Cache:
         raw, ends, lengths = table
         starts = np.concatenate([[0], ends[:-1]])
         first = {raw[s:e].decode(): int(n) for s, e, n in zip(starts.tolist(), ends.tolist(), lengths.tolist(), strict=True)}
-        _lookup.update(key=(key, path), cache=_bpe.Cache(lambda p: len(_bpe.library_ids(p, path)), first))
+        _lookup.update(key=(key, path), cache=_bpe.Cache(lambda p: len(_bpe.plain_ids(p, path)), first))
     return _lookup["cache"]
 
 
