@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cutloom.llm import jaccard_join, line_dedup, mixing, packing, pii, quality_model, rules, token_counts
+from cutloom.llm import jaccard_join, licenses, line_dedup, media, mixing, packing, pii, quality_model, rules, token_counts
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.query,
+    "op2_license_scan": licenses.query,
     "op3_quality_classifier": quality_model.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_quality_rules": rules.query,
     "op6_best_fit_packing": packing.query,
+    "op7_chroma_fingerprints": media.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,
