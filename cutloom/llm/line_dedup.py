@@ -223,7 +223,7 @@ def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
     met = materialize(given.join(shared, "segment"), "met")
     wanted = met.select("doc_id", "line", "k1").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "k1"))).alias("ask"))
     wanted = wanted.select(F.col("doc_id").alias("of_id"), F.col("ask.line").alias("ask"), F.col("ask.k1").alias("keys"))
-    asked = rows.join(wanted, F.col("doc_id") == F.col("of_id")).select("doc_id", "text", "ask", "keys")
+    asked = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("of_id")).select("doc_id", "text", "ask", "keys")
     contents = asked.mapInArrow(_fetched, f"doc_id {kind}, line int, content string")
     dealt = met.join(contents, ["doc_id", "line"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "line"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
