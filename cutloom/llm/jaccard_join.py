@@ -208,7 +208,7 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     dealt = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     asked = dealt.select("rep_id", "key", "root", "chunk", "chunks", "copies")
-    texts = known.join(asked, known["doc_id"] == asked["rep_id"]).select("text", "key", "root", "chunk", "chunks", "copies")
+    texts = known.join(asked.hint("merge"), known["doc_id"] == asked["rep_id"]).select("text", "key", "root", "chunk", "chunks", "copies")
     sets = texts.mapInArrow(lambda b: _shingled(b, k), "key binary, root binary, chunk int, chunks int, copies long, sh array<long>")
     meeting = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     meeting = meeting.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "key", "chunk", "copies", "sh")
@@ -231,7 +231,7 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs with the least id of each class alone; rows with a null id or a blank text all stay, and of equal rows of a kept id one. Columns unchanged."""
     out = jaccard_classes(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(out, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = docs.join(out.hint("merge"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     whole = F.col(f"`{id_col}`").isNotNull() & F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return left.filter(whole).dropDuplicates([id_col, text_col]).unionByName(left.filter(~whole))
 

@@ -58,7 +58,7 @@ def _cache(table, path: str, key: int) -> _bpe.Cache:
     """The worker's cache for one broadcast table, kept between tasks."""
     if _lookup.get("key") != (key, path):
         raw, ends, lengths = table
-        starts = np.concatenate([[0], ends[:-1]])
+        starts = np.concatenate([[0], ends])[:-1].astype(int)
         first = {raw[s:e].decode(): int(n) for s, e, n in zip(starts.tolist(), ends.tolist(), lengths.tolist(), strict=True)}
         _lookup.update(key=(key, path), cache=_bpe.Cache(lambda p: len(_bpe.plain_ids(p, path)), first))
     return _lookup["cache"]
