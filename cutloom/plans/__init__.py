@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES = ("speech", "timeline", "scalars")
 
 
 def _families():
