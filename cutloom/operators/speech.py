@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import format_cue_ms
 
-IN_ORDER = Window.partitionBy("media_id").orderBy("s_us", "utt_id")
 
 # What a cut says about itself.
 NO_CHANGE = "No adjustment needed"
@@ -21,7 +20,7 @@ BOTH_MOVED = "Adjusted both start and end to avoid cutting mid-speech"
 
 def natural_breaks(utterances: DataFrame, min_gap_us: int = 2_000_000) -> DataFrame:
     """media_id, utt_id (the one before), break_us: the middle of each pause of min_gap_us or more. Overlaps make none."""
-    nxt = F.lead("s_us").over(IN_ORDER)
+    nxt = F.lead("s_us").over(Window.partitionBy("media_id").orderBy("s_us", "utt_id"))
     gap = utterances.withColumn("gap_us", nxt - F.col("e_us")).filter(F.col("gap_us") >= min_gap_us)
     return gap.select("media_id", "utt_id", F.expr("e_us + gap_us div 2").alias("break_us"))
 

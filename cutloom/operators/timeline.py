@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_CLIP = Window.partitionBy("clip_id")
 FRAME_US = 40_000
 
 
+def by_clip():
+    return Window.partitionBy("clip_id")
+
+
 def splice(frames: DataFrame, segments: list[tuple[int, int]] | DataFrame, frame_us: int = FRAME_US) -> DataFrame:
     """Frames of the segments [start, end), one segment after the other in list order; times begin anew at 0.
 
@@ -31,7 +34,7 @@ def splice(frames: DataFrame, segments: list[tuple[int, int]] | DataFrame, frame
         shifted = segments.withColumn("offset_us", F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(before), F.lit(0)))
         met = frames.join(shifted, "clip_id").filter((F.col("pts_us") >= F.col("start_us")) & (F.col("pts_us") < F.col("end_us")))
     placed = met.withColumn("pts_us", F.col("pts_us") - F.col("start_us") + F.col("offset_us"))
-    order = BY_CLIP.orderBy("ord", "idx")
+    order = by_clip().orderBy("ord", "idx")
     return placed.withColumn("idx", F.row_number().over(order).cast("long") - 1).select(*frames.columns)
 
 
@@ -45,19 +48,19 @@ def sequentise(frames: DataFrame, start_us: int, end_us: int, fps: float = 25.0)
     shots = frames.select("clip_id").distinct().select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shot")) if n > 0 else frames.select("clip_id").limit(0).withColumn("shot", F.lit(0))
     marks = shots.select("clip_id", "shot", step.alias("t_us"), F.lit(None).cast("struct<idx:bigint,payload:double>").alias("f"))
     shown = frames.select("clip_id", F.lit(None).cast("int").alias("shot"), F.col("pts_us").alias("t_us"), F.struct("idx", "payload").alias("f"))
-    order = BY_CLIP.orderBy("t_us", F.col("shot").asc_nulls_first(), F.col("f.idx"))
+    order = by_clip().orderBy("t_us", F.col("shot").asc_nulls_first(), F.col("f.idx"))
     found = shown.unionByName(marks).withColumn("last", F.last("f", ignorenulls=True).over(order)).filter("shot is not null")
     return found.select("clip_id", F.col("shot").cast("long").alias("shot"), "t_us", F.col("last.idx").alias("idx"), F.col("last.payload").alias("payload")).filter("idx is not null")
 
 
 def reverse(frames: DataFrame, frame_us: int = FRAME_US) -> DataFrame:
     """Frames in reverse order; times are mirrored, so the first is 0 again."""
-    return frames.withColumns({"idx": F.max("idx").over(BY_CLIP) - F.col("idx"), "pts_us": F.max("pts_us").over(BY_CLIP) - F.col("pts_us")})
+    return frames.withColumns({"idx": F.max("idx").over(by_clip()) - F.col("idx"), "pts_us": F.max("pts_us").over(by_clip()) - F.col("pts_us")})
 
 
 def loop(frames: DataFrame, frame_us: int = FRAME_US) -> DataFrame:
     """Forward, then reversed: twice the frames, the turning one twice. Each frame becomes two rows, so the clip is read once."""
-    top, last = F.max("idx").over(BY_CLIP), F.max("pts_us").over(BY_CLIP)
+    top, last = F.max("idx").over(by_clip()), F.max("pts_us").over(by_clip())
     both = frames.withColumns({"top_": top, "last_": last}).withColumn("turn_", F.explode(F.array(F.lit(0), F.lit(1))))
     back = F.col("turn_") == 1
     idx = F.when(back, 2 * F.col("top_") + 1 - F.col("idx")).otherwise(F.col("idx"))

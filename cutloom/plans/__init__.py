@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("speech", "timeline", "scalars", "raster", "geometry", "masks", "config")
+FAMILIES = ("speech", "timeline", "scalars", "raster", "geometry", "masks", "config", "sessions")
 
 
 def _families():

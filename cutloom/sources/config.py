@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cutloom.sources.errors import UnsupportedFileFormat
 
@@ -56,15 +56,13 @@ def clips_to_json(clips: DataFrame) -> DataFrame:
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """Clips of a .json or .toml file, which Spark reads wherever it is."""
     suffix = PurePosixPath(path).suffix.lower()
+    if suffix not in (".json", ".toml"):
+        raise UnsupportedFileFormat(suffix)
     text = spark.read.text(path, wholetext=True)
     if suffix == ".json":
         return clips_from_json(text, "value")
-    if suffix == ".toml":
-        import json
-
-        whole = text.first()  # one configuration file
-        return clips_from_json(spark.createDataFrame([(json.dumps(tomllib.loads(whole.value)),)], T.StructType([T.StructField("json", T.StringType())])))
-    raise UnsupportedFileFormat(suffix)
+    whole = text.first()  # one configuration file
+    return clips_from_json(spark.createDataFrame([(json.dumps(tomllib.loads(whole.value)),)], "json string"))
 
 
 def write_config(clips: DataFrame, path: str) -> None:
