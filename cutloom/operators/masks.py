@@ -110,3 +110,46 @@ def mask_scores(masks: DataFrame, truth: DataFrame, pixel: list[str], t: float =
     share = lambda x, y: F.round(F.try_divide(x, y), 6)
     na, nb, n = F.col("na"), F.col("nb"), F.col("n")
     return both.select("obj_id", share(n, na + nb - n).alias("iou"), share(2 * n, na + nb).alias("dice"), share(n, na).alias("precision"), share(n, nb).alias("recall"))
+
+
+# Colours of masks by their place, then the configured one; and the ordered renamings of parameters.
+MASK_COLOURS = ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255))
+RENAMINGS = (
+    (r"\.(norm[12])\.weight$", ".$1.gamma"), (r"\.(norm[12])\.bias$", ".$1.beta"), (r"\.attn\.qkv\.", ".attn.query."), (r"\.attn\.proj\.", ".attn.output."),
+    (r"\.self_attn\.q_proj\.", ".self_attn.query."), (r"\.self_attn\.k_proj\.", ".self_attn.key."), (r"\.self_attn\.v_proj\.", ".self_attn.value."), (r"\.self_attn\.out_proj\.", ".self_attn.output."),
+    (r"\.transformer\.layers\.", ".transformer."), (r"(point_embeddings\.[01]|not_a_point_embed|mask_tokens|iou_token)\.weight$", "$1"),
+)
+
+
+def renamed_parameter(name: Column) -> Column:
+    for pattern, to in RENAMINGS:
+        name = F.regexp_replace(name, pattern, to)
+    return name
+
+
+def merge_prompts(masks: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """key and the value of the last row in order: later prompts overwrite."""
+    return masks.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def frames_to_show(prompt: Column, n: Column) -> Column:
+    """The prompt frame and those 10 to 50 before and after it, kept within the video, without repeats."""
+    before = [F.greatest(F.lit(0), prompt - k) for k in (50, 40, 30, 20, 10)]
+    after = [F.least(n - 1, prompt + k) for k in (10, 20, 30, 40, 50)]
+    return F.array_distinct(F.array(*before, prompt, *after))
+
+
+def prompt_frame(prompt: Column, n: Column) -> Column:
+    """The frame itself, the middle one if it lies outside the video."""
+    return F.when((prompt >= 0) & (prompt < n), prompt).otherwise(F.floor(n / 2))
+
+
+def visualise(masks: DataFrame, pixel: list[str], base=(100, 100, 100), alpha: float = 0.6, colour=(30, 144, 255), t: float = 0.5) -> DataFrame:
+    """pixel, r, g, b: each mask over t blended on what is below it, by id, cut to whole values at every step; the base without any."""
+    table = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("rgb", c, strict=True)]) for c in (*MASK_COLOURS, colour)])
+    shown = F.when(F.col("v") > t, F.col("obj_id"))
+    listed = masks.groupBy(*pixel).agg(F.array_sort(F.collect_set(shown)).alias("ids"))
+    start = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("rgb", base, strict=True)])
+    over = lambda a, i: F.struct(*[F.floor(a[k] * (1 - alpha) + F.get(table, F.least(i - 1, F.lit(len(MASK_COLOURS))).cast("int"))[k] * alpha).cast("double").alias(k) for k in "rgb"])
+    done = listed.withColumn("c", F.aggregate("ids", start, over))
+    return done.select(*pixel, *[F.col(f"c.{k}").cast("long").alias(k) for k in "rgb"])

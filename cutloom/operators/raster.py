@@ -200,3 +200,23 @@ def kernel_batches(images: DataFrame, weights: dict[tuple[int, int], float]) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.float64()))], ["image_id", "width", "height", "pixels"])
 
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, images.select("image_id", "width", "height", "pixels").schema)
+
+
+def letterbox(images: DataFrame, side: int) -> DataFrame:
+    """A square of ``side``: the image enlarged or reduced (nearest) to fit, centred on 0."""
+    w, h = F.col("width"), F.col("height")
+    scale = F.least(F.lit(side) / w, F.lit(side) / h)
+    sized = images.withColumns({"nw_": F.floor(w * scale).cast("int"), "nh_": F.floor(h * scale).cast("int")})
+    sized = sized.withColumns({"ox_": F.floor((side - F.col("nw_")) / 2).cast("int"), "oy_": F.floor((side - F.col("nh_")) / 2).cast("int")})
+
+    def at(i):
+        x, y = i % side - F.col("ox_"), F.floor(i / side) - F.col("oy_")
+        sx, sy = F.least(F.floor(x * w / F.col("nw_")), w - 1), F.least(F.floor(y * h / F.col("nh_")), h - 1)
+        return F.when((x >= 0) & (x < F.col("nw_")) & (y >= 0) & (y < F.col("nh_")), F.get("pixels", (sy * w + sx).cast("int"))).otherwise(F.lit(0.0))
+
+    boxed = sized.withColumn("pixels", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), at))
+    return boxed.withColumns({"width": F.lit(side), "height": F.lit(side)}).drop("nw_", "nh_", "ox_", "oy_")
+
+
+def normalise(images: DataFrame, mean: float, std: float) -> DataFrame:
+    return images.withColumn("pixels", F.transform("pixels", lambda v: (v - mean) / std))
