@@ -79,7 +79,12 @@ def _sparse_rows(batches, bits: int):
 
 def _ftrl(batches, bits: int, steps: int, alpha: float, beta: float, l1: float, l2: float):
     """Per-coordinate follow-the-regularised-leader steps over the rows, in the order of their hash, in about ``steps`` steps (2 to 40 passes); yields the weights that aren't 0."""
-    examples = [(y, np.array(i), np.array(v, float)) for b in batches for y, i, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+    examples = []
+    for batch in batches:
+        index, value = batch.column(2), batch.column(3)
+        ends, flat_index, flat_value = index.offsets.to_numpy(), index.values.to_numpy(), value.values.to_numpy()
+        for k, y in enumerate(batch.column(0).to_numpy()):
+            examples.append((y, flat_index[ends[k] : ends[k + 1]].copy(), flat_value[ends[k] : ends[k + 1]].copy()))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
 
     def weights(z_i, n_i):
@@ -111,7 +116,7 @@ def train(docs: DataFrame, marks: DataFrame, id_col="doc_id", text_col="text", l
     total = marked.count()
     share = min(1.0, max_train / max(total, 1))
     chosen = marked.filter(F.col("at") < F.lit(int(share * (1 << 30))))
-    texts = picked(docs, doc_id=id_col, text=text_col).join(chosen, "doc_id").select("text", "label", "at")
+    texts = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select("text", "label", "at")  # about max_train rows of three numbers
     sparse = texts.mapInArrow(lambda b: _sparse_rows(b, bits), "label double, at long, index array<int>, value array<float>")
     one = sparse.repartition(1).sortWithinPartitions("at", "label", F.xxhash64("index"))
     rows = one.mapInArrow(lambda b: _ftrl(b, bits, steps, alpha, beta, l1, l2), "index int, weight double").toArrow()
