@@ -18,10 +18,23 @@ END_MOVED = "Adjusted end to avoid cutting mid-speech"
 BOTH_MOVED = "Adjusted both start and end to avoid cutting mid-speech"
 
 
+def with_next_start(utterances: DataFrame, bucket_us: int = 86_400_000_000) -> DataFrame:
+    """utterances with next_us, where the next one in order begins.
+
+    A medium may hold a third of all rows, so the window runs within (medium, day); the last of a day takes the first
+    start of the next day that has any, from a table of one row a medium and day.
+    """
+    dayed = utterances.withColumn("day_", F.expr(f"s_us div {bucket_us}"))
+    firsts = dayed.groupBy("media_id", "day_").agg(F.min("s_us").alias("first_"))
+    after = firsts.select("media_id", "day_", F.lead("first_").over(Window.partitionBy("media_id").orderBy("day_")).alias("after_"))
+    in_day = Window.partitionBy("media_id", "day_").orderBy("s_us", "utt_id")
+    joined = dayed.withColumn("next_us", F.lead("s_us").over(in_day)).join(after, ["media_id", "day_"])
+    return joined.withColumn("next_us", F.coalesce("next_us", "after_")).select(*utterances.columns, "next_us")
+
+
 def natural_breaks(utterances: DataFrame, min_gap_us: int = 2_000_000) -> DataFrame:
     """media_id, utt_id (the one before), break_us: the middle of each pause of min_gap_us or more. Overlaps make none."""
-    nxt = F.lead("s_us").over(Window.partitionBy("media_id").orderBy("s_us", "utt_id"))
-    gap = utterances.withColumn("gap_us", nxt - F.col("e_us")).filter(F.col("gap_us") >= min_gap_us)
+    gap = with_next_start(utterances).withColumn("gap_us", F.col("next_us") - F.col("e_us")).filter(F.col("gap_us") >= min_gap_us)
     return gap.select("media_id", "utt_id", F.expr("e_us + gap_us div 2").alias("break_us"))
 
 
