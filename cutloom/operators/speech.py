@@ -5,10 +5,13 @@ Utterances: media_id, utt_id, s_us, e_us, transcript, speaker; their order is (s
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import format_cue_ms
+from cutloom.sources.errors import NoResults
 
 
 # What a cut says about itself.
@@ -118,3 +121,40 @@ def cue_file(cues: DataFrame, kind: str = "srt") -> DataFrame:
     listed = cues.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", times.alias("cue")))).alias("cues"))
     entry = (lambda c, i: F.concat((i + 1).cast("string"), F.lit("\n"), c["cue"])) if kind == "srt" else (lambda c, i: c["cue"])
     return listed.select("conv_id", F.concat(F.lit(head), F.array_join(F.transform("cues", entry), "")).alias("content"))
+
+
+@dataclass(frozen=True)
+class SpeechOptions:
+    """What a transcription was or will be asked for. The service itself is outside; its utterances are an input table."""
+
+    language: str | None = None
+    identify_speakers: bool = False
+    word_timestamps: bool = True
+    filter_profanity: bool = False
+    custom_vocabulary: tuple[str, ...] = ()
+    model: str | None = "nova-3"
+    punctuation: bool = True
+    utterances: bool = True
+    audio_bitrate: int = 128
+    auto_extract_audio: bool = True
+
+
+def subtitles(utterances: DataFrame, language: str | None = None) -> DataFrame:
+    """media_id, utt_id, start_us, end_us, text, speaker ('Speaker n', null stays null), language."""
+    return utterances.select(
+        "media_id", "utt_id", F.col("s_us").alias("start_us"), F.col("e_us").alias("end_us"), F.col("transcript").alias("text"),
+        F.concat(F.lit("Speaker "), F.col("speaker").cast("string")).alias("speaker"), F.lit(language).cast("string").alias("language"),
+    )
+
+
+def speech_segments(utterances: DataFrame) -> DataFrame:
+    """utterances, or NoResults if there are none. This one looks at the data: one row of it."""
+    if utterances.isEmpty():
+        raise NoResults("no speech was found")
+    return utterances
+
+
+def subtitles_json(cues: DataFrame) -> DataFrame:
+    """conv_id, content: a conversation's cues as one JSON array, in order."""
+    row = F.struct("turn", F.struct("start_ms", "end_ms", "text", "speaker").alias("cue"))
+    return cues.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("c")).select("conv_id", F.to_json(F.transform("c", lambda x: x["cue"])).alias("content"))

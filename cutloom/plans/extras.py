@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cutloom.operators import masks as M
 from cutloom.operators import outline as O
 from cutloom.operators import raster as R
+from cutloom.operators import speech as S
 from cutloom.sources import adapters as A
 
 PX = ["px", "py"]
@@ -53,7 +54,16 @@ def _map(s, d):
     return O.generalise(named.select("name", "rings"), names).select("name", F.round("area", 5).alias("area"), F.size(F.get("rings", F.lit(0))).alias("points"), F.round("mid.x", 5).alias("x"), F.round("mid.y", 5).alias("y"))
 
 
+def _cue_json(s, d):
+    """The JSON of each conversation read again."""
+    kind = "array<struct<start_ms:bigint,end_ms:bigint,text:string,speaker:string>>"
+    doc = F.from_json("content", kind)
+    return S.subtitles_json(A.cues(s, d)).select("conv_id", F.posexplode(doc).alias("nth", "c")).select("conv_id", "nth", "c.start_ms", "c.end_ms", "c.text", "c.speaker")
+
+
 QUERIES = {
+    "cues_json": _cue_json,
+    "subtitle_rows": lambda s, d: S.subtitles(A.utterances(s, d), "en"),
     "mask_merge_prompts": _merged,
     "frame_picks": _picks,
     "mask_object_sets": _objects,
@@ -78,6 +88,8 @@ def _blend_sql(channel: int) -> str:
 
 
 ORACLE = {
+    "cues_json": f"WITH {A.CUES} SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS nth, start_ms, end_ms, text, speaker FROM cues",
+    "subtitle_rows": f"WITH {A.UTTERANCES} SELECT media_id, utt_id, s_us AS start_us, e_us AS end_us, transcript AS text, 'Speaker ' || CAST(speaker AS VARCHAR) AS speaker, 'en' AS language FROM utterances",
     "mask_merge_prompts": "SELECT user_id AS px, event_id % 7 AS py, event_type AS obj, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 7, event_type ORDER BY event_id % 3 DESC, event_id DESC) = 1",
     "frame_picks": f"""WITH p AS (SELECT p_partkey, p_partkey % 200 AS prompt, 60 + p_size AS n FROM part), e AS (SELECT p_partkey, unnest({_SHOW}) AS frame, unnest(range(11)) AS k FROM p),
 f AS (SELECT p_partkey, frame, min(k) AS k FROM e GROUP BY ALL) SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1 AS INTEGER) AS k, frame FROM f""",

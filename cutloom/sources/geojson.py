@@ -43,3 +43,28 @@ def from_geojson(documents: DataFrame, json_col: str = "geojson") -> DataFrame:
     ring = lambda r: F.transform(r, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
     coords = F.col("f.geometry.coordinates")
     return rows.withColumns({"exterior": ring(F.get(coords, 0)), "holes": F.transform(F.slice(coords, 2, F.greatest(F.size(coords), F.lit(1))), ring)}).drop("f")
+
+
+def to_typed_geojson(shapes: DataFrame, width: Column, height: Column) -> DataFrame:
+    """image_id, geojson in the typed form: the collection tagged by its kind, features without id, dimensions nested in foreign_members."""
+    doc = F.from_json("geojson", COLLECTION)
+    bare = F.transform("d.features", lambda f: F.struct(F.lit(None).cast("string").alias("bbox"), f["geometry"].alias("geometry"), F.lit(None).cast("bigint").alias("id"), f["properties"].alias("properties")))
+    members = F.struct(F.col("d.image_width").alias("image_width"), F.col("d.image_height").alias("image_height"), F.col("d.shape_count").alias("shape_count"))
+    tagged = F.struct(F.struct(bare.alias("features"), members.alias("foreign_members")).alias("FeatureCollection"))
+    return to_geojson(shapes, width, height).select("image_id", doc.alias("d")).select("image_id", F.to_json(tagged).alias("geojson"))
+
+
+def metadata(documents: DataFrame, json_col: str = "geojson") -> DataFrame:
+    """Document columns with image_width, image_height, shape_count and n_features."""
+    doc = documents.withColumn("doc", F.from_json(json_col, COLLECTION))
+    return doc.select(*[c for c in documents.columns if c != json_col], "doc.image_width", "doc.image_height", "doc.shape_count", F.size("doc.features").alias("n_features"))
+
+
+def features_with_holes(properties: DataFrame) -> DataFrame:
+    """Rows whose properties can't be read (null) are left out."""
+    return properties.filter(F.coalesce("has_holes", F.lit(False)))
+
+
+def features_by_area(properties: DataFrame, least: float, most: float) -> DataFrame:
+    """Both ends included."""
+    return properties.filter(F.col("area").between(least, most))
