@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a group-by minimum and a join; no vertex's neighbours are ever collected, so a hub of any
-degree is only a skewed join. Each round's edges are a table in the shared folder.
+degree is only a skewed join. The minima are a table before they are joined: a join of two plain exchanges is one whose
+large partitions Spark splits, which one of an aggregate's own exchange is not. Each round's edges are a table too.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ MOST_ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not mark[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(materialize(_large_star(now), "edges")), "edges")
         last, mark = mark, _mark(now)
         if last == mark:
             break

@@ -203,9 +203,11 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE
     reps = materialize(full.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("prefixes").alias("prefixes")), "reps")
     nodes = reps.select("key", F.posexplode("prefixes").alias("tree", "prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("key").alias("hub"), F.count("*").alias("many")).filter("many > 1")
+    hubs = materialize(hubs, "hubs")  # tables, so that a hot node or component is a join Spark can split
     found = components(nodes.join(hubs, ["tree", "prefix"]).select(F.col("key").alias("u"), F.col("hub").alias("v")))
     members = materialize(found.unionByName(found.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "key").join(reps.drop("prefixes"), "key"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    sizes = materialize(sizes, "sizes")
     dealt = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     asked = dealt.select("rep_id", "key", "root", "chunk", "chunks", "copies")
     texts = known.join(asked.hint("merge"), known["doc_id"] == asked["rep_id"]).select("text", "key", "root", "chunk", "chunks", "copies")
@@ -219,7 +221,7 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE
     per_key = reps.select("key", "rep_id", "copies").join(links, "key", "left").join(classes.withColumnRenamed("u", "key"), "key", "left")
     per_key = per_key.select("key", "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("root", "key").alias("root"))
     per_key = materialize(per_key, "per-key")
-    least = per_key.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    least = materialize(per_key.groupBy("root").agg(F.min("rep_id").alias("class_id")), "class-ids")
     named = per_key.join(least, "root").select("key", "class_id", "n_links", "n_copies")
     linked = full.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", "n_copies")
     none = F.lit(0).cast("long")

@@ -220,6 +220,7 @@ def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
     given = firsts.select("doc_id", "line", "k1", F.posexplode("segments").alias("nth", "segment")).filter("segment <> 0")
     given = given.select("segment", (F.col("nth") > edits).cast("int").alias("kind"), "doc_id", "line", "k1")
     shared = given.groupBy("segment").agg(F.count("*").alias("many"), F.min("kind").alias("least")).filter("many > 1 and least = 0").select("segment", F.ceil(F.col("many") / CHUNK).cast("int").alias("chunks"))
+    shared = materialize(shared, "shared")  # a table, so that a hot segment is a join Spark can split
     met = materialize(given.join(shared, "segment"), "met")
     wanted = met.select("doc_id", "line", "k1").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "k1"))).alias("ask"))
     wanted = wanted.select(F.col("doc_id").alias("of_id"), F.col("ask.line").alias("ask"), F.col("ask.k1").alias("keys"))
