@@ -8,7 +8,9 @@
    candidate pair.
 3. A component's representatives are compared exactly by their shingle sets. A large component is dealt in
    chunks, and every two chunks meet in one group of bounded size; a group gives a count for each of its
-   representatives and a spanning forest of its links, never the pairs.
+   representatives and a spanning forest of its links, never the pairs. Where a large component hangs together
+   loosely, so that fewer sets have to travel if each trie node meets by itself, its nodes do instead; a pair that
+   shares several then counts in the first.
 4. Components of the verified links are the classes.
 """
 
@@ -31,6 +33,7 @@ RECALL = 0.999
 CHUNK_SETS = 512
 CHUNK_SHINGLES = 1_000_000
 SLAB = 4096
+MEETS = "array<struct<place:binary,tree:int,chunks:int>>"
 U = np.uint64
 
 
@@ -120,8 +123,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(keys: list[bytes], chunks: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float, i: int, j: int) -> tuple[np.ndarray, list[bytes]]:
-    """For each set of a meeting of chunks i and j: how many documents of the other chunk (of its own, if i = j) it links to, and the least key it hangs together with here."""
+def _links(keys: list[bytes], chunks: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float, i: int, j: int, earlier: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """For each set of a meeting of chunks i and j: how many documents of the other chunk (of its own, if i = j) it links to, and the least key it hangs together with here.
+
+    earlier: each set's prefixes in the tries before the meeting's own; pairs that share one of them count there.
+    """
     size = np.array([len(x) for x in sets])
     root = list(range(len(keys)))
 
@@ -138,6 +144,9 @@ def _links(keys: list[bytes], chunks: np.ndarray, copies: np.ndarray, sets: list
         linked = shared >= threshold * (size[left][:, None] + size[right][None, :] - shared) - 1e-9
         if i == j:
             np.fill_diagonal(linked, False)
+        if earlier is not None:
+            for t in range(earlier.shape[1]):
+                linked &= earlier[left, t][:, None] != earlier[right, t][None, :]
         counts[left] += linked @ copies[right]
         if i != j:
             counts[right] += linked.T @ copies[left]
@@ -150,7 +159,7 @@ def _links(keys: list[bytes], chunks: np.ndarray, copies: np.ndarray, sets: list
 
 
 def _verified(batches, threshold: float):
-    """Rows arrive sorted by (root, i, j): each run of equal ones is a meeting, and is held alone."""
+    """Rows arrive sorted by (place, i, j): each run of equal ones is a meeting, and is held alone."""
     held: list[tuple] = []
     out: list[tuple] = []
     now = None
@@ -160,7 +169,9 @@ def _verified(batches, threshold: float):
             return
         held.sort(key=lambda r: r[0])
         keys = [r[0] for r in held]
-        counts, least = _links(keys, np.array([r[1] for r in held]), np.array([r[2] for r in held], np.int64), [r[3] for r in held], threshold, now[1], now[2])
+        tree = held[0][4]
+        earlier = np.array([r[5][:tree] for r in held], np.int64).reshape(len(held), tree) if tree > 0 else None
+        counts, least = _links(keys, np.array([r[1] for r in held]), np.array([r[2] for r in held], np.int64), [r[3] for r in held], threshold, now[1], now[2], earlier)
         out.extend(zip(keys, counts.tolist(), least, strict=True))
         held.clear()
 
@@ -172,18 +183,41 @@ def _verified(batches, threshold: float):
 
     for batch in batches:
         values, ends = batch.column("sh").values.to_numpy(zero_copy_only=False), batch.column("sh").offsets.to_numpy()
-        names = ("root", "i", "j", "key", "chunk", "copies")
-        for at, (root, i, j, key, chunk, copies) in enumerate(zip(*[batch.column(c).to_pylist() for c in names], strict=True)):
-            if (root, i, j) != now:
+        names = ("place", "i", "j", "key", "chunk", "copies", "tree", "prefixes")
+        for at, (place, i, j, key, chunk, copies, tree, prefixes) in enumerate(zip(*[batch.column(c).to_pylist() for c in names], strict=True)):
+            if (place, i, j) != now:
                 close()
-                now = (root, i, j)
+                now = (place, i, j)
             if not any(key == r[0] for r in held[-1:]):  # repeated rows of one document stand together
-                held.append((key, chunk, copies, values[ends[at] : ends[at + 1]].copy()))
+                held.append((key, chunk, copies, values[ends[at] : ends[at + 1]].copy(), tree, prefixes))
         yield batch_out()
     close()
     yield batch_out()
 
 
+def _meetings(members: DataFrame, hubs: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """key, meets: where each representative is compared, as (place, tree, chunks).
+
+    A component of n members in c chunks sends n * c sets around; its nodes, each dealt by itself, send the sum of the same
+    product over them. The lesser decides, for components of more than one chunk. A place is the component's root (tree -1) or the node.
+    """
+    c = F.col
+    rate = F.greatest(F.lit(1 / CHUNK_SETS), F.avg("n") / CHUNK_SHINGLES)
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), rate.alias("rate"))
+    sizes = materialize(sizes.withColumn("chunks", F.ceil(c("size") * c("rate")).cast("int")), "sizes")
+    large = sizes.filter("chunks > 1")
+    rooted = hubs.join(found.withColumnRenamed("u", "hub"), "hub", "left").withColumn("root", F.coalesce("root", "hub"))
+    rooted = rooted.join(large, "root").withColumn("parts", F.ceil(c("many") * c("rate")).cast("int"))
+    loose = rooted.groupBy("root").agg(F.sum(c("many") * c("parts")).alias("sent"), F.first("size").alias("size"), F.first("chunks").alias("chunks"))
+    loose = materialize(loose.filter(c("sent") < c("size") * c("chunks")).select("root", F.lit(True).alias("loose")), "loose")
+    whole = members.select("key", "root").join(sizes, "root").join(loose, "root", "left").filter("loose is null")
+    whole = whole.select("key", F.array(F.struct(c("root").alias("place"), F.lit(-1).alias("tree"), "chunks")).alias("meets"))
+    place = F.to_binary(F.concat(F.lpad(F.hex("tree"), 8, "0"), F.lpad(F.hex("prefix"), 16, "0")), F.lit("hex"))
+    parts = materialize(rooted.join(loose, "root").select("tree", "prefix", "parts"), "loose-nodes")
+    each = shared.select("key", "tree", "prefix").join(parts, ["tree", "prefix"]).groupBy("key").agg(F.collect_list(F.struct(place.alias("place"), "tree", c("parts").alias("chunks"))).alias("meets"))
+    return whole.unionByName(each)
+
+
 def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE, threshold=THRESHOLD, trees=TREES, recall=RECALL) -> DataFrame:
     """doc_id, class_id, n_links, n_copies: one row per input row.
 
@@ -204,17 +238,20 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE
     nodes = reps.select("key", F.posexplode("prefixes").alias("tree", "prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("key").alias("hub"), F.count("*").alias("many")).filter("many > 1")
     hubs = materialize(hubs, "hubs")  # tables, so that a hot node or component is a join Spark can split
-    found = components(nodes.join(hubs, ["tree", "prefix"]).select(F.col("key").alias("u"), F.col("hub").alias("v")))
-    members = materialize(found.unionByName(found.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "key").join(reps.drop("prefixes"), "key"), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    sizes = materialize(sizes, "sizes")
-    dealt = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    asked = dealt.select("rep_id", "key", "root", "chunk", "chunks", "copies")
-    texts = known.join(asked.hint("merge"), known["doc_id"] == asked["rep_id"]).select("text", "key", "root", "chunk", "chunks", "copies")
-    sets = texts.mapInArrow(lambda b: _shingled(b, k), "key binary, root binary, chunk int, chunks int, copies long, sh array<long>")
-    meeting = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    meeting = meeting.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "key", "chunk", "copies", "sh")
-    together = meeting.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
+    shared = materialize(nodes.join(hubs, ["tree", "prefix"]), "shared-nodes")
+    found = components(shared.select(F.col("key").alias("u"), F.col("hub").alias("v")))
+    members = found.unionByName(found.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "key")
+    members = materialize(members.join(reps, "key"), "members")
+    meets = _meetings(members, hubs, shared, found)
+    asked = members.select("key", "rep_id", "copies", "prefixes").join(meets, "key")
+    texts = known.join(asked.hint("merge"), known["doc_id"] == asked["rep_id"]).select("text", "key", "copies", "prefixes", "meets")
+    sets = texts.mapInArrow(lambda b: _shingled(b, k), f"key binary, copies long, prefixes array<long>, meets {MEETS}, sh array<long>")
+    c = F.col
+    meeting = sets.select("key", "copies", "sh", "prefixes", F.explode("meets").alias("m")).withColumn("chunk", F.pmod(F.xxhash64("key"), c("m.chunks")).cast("int"))
+    meeting = meeting.withColumn("other", F.explode(F.sequence(F.lit(0), c("m.chunks") - 1)))
+    earlier = F.when(c("m.tree") > 0, c("prefixes"))
+    meeting = meeting.select(c("m.place").alias("place"), c("m.tree").alias("tree"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "key", "chunk", "copies", earlier.alias("prefixes"), "sh")
+    together = meeting.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j", "key")
     verified = materialize(together.mapInArrow(lambda b: _verified(b, threshold), "key binary, links long, least binary"), "verified")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("key").alias("u"), F.col("least").alias("v")))
@@ -240,3 +277,18 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> Da
 
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
+
+
+#: Every pair of texts that share a shingle, counted exactly: for tables of some thousand documents.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+reach(doc_id, other) AS (SELECT a, a FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+class AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id),
+degree AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a),
+copies AS (SELECT doc_id, CASE WHEN len(ws) > 0 THEN count(*) OVER (PARTITION BY array_to_string(ws, ' ')) - 1 ELSE 0 END AS n_copies FROM w)
+SELECT c.doc_id, coalesce(class_id, c.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, n_copies FROM copies c LEFT JOIN class USING (doc_id) LEFT JOIN degree USING (doc_id)
+"""

@@ -310,4 +310,19 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return line_counts(documents(spark, sf_dir))
+    counts = line_counts(documents(spark, sf_dir))
+    return counts.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
+#: With one edit, halves of two lines are equal: DuckDB's own distance decides on lines that share one.
+ORACLE = """
+WITH l AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line, unnest(ls) AS t, len(ls) AS n_lines FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL)),
+long AS (SELECT doc_id, line, t, length(t) AS n FROM l WHERE length(t) >= 20),
+firsts AS (SELECT t, n, min((doc_id, line)) AS pos FROM long GROUP BY t, n),
+keyed AS (SELECT pos, t, n, m, unnest([left(t, m // 2), right(t, m - m // 2)]) AS half, unnest([0, 1]) AS side FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts)),
+near AS (SELECT DISTINCT b.pos FROM keyed a JOIN keyed b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.pos < b.pos AND abs(a.n - b.n) <= 1 AND (a.m = a.n OR b.m = b.n) WHERE levenshtein(a.t, b.t) <= 1),
+gone AS (SELECT x.doc_id, x.line FROM long x JOIN firsts f USING (t, n) WHERE (x.doc_id, x.line) <> f.pos OR f.pos IN (SELECT pos FROM near)),
+went AS (SELECT doc_id, count(*) AS k, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS dropped FROM gone GROUP BY doc_id)
+SELECT d.doc_id, d.n_lines, d.n_long, d.n_lines - coalesce(k, 0) AS n_kept, coalesce(dropped, '') AS dropped
+FROM (SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (length(t) >= 20) AS n_long FROM l GROUP BY doc_id) d LEFT JOIN went USING (doc_id)
+"""

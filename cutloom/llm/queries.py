@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,
 }
-ORACLE = {"op8_source_mixing": mixing.ORACLE}
+ORACLE = {"op4_ngram_jaccard_join": jaccard_join.ORACLE, "op8_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
