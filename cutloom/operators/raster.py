@@ -220,3 +220,52 @@ def letterbox(images: DataFrame, side: int) -> DataFrame:
 
 def normalise(images: DataFrame, mean: float, std: float) -> DataFrame:
     return images.withColumn("pixels", F.transform("pixels", lambda v: (v - mean) / std))
+
+
+SHARPEN = {(0, -1): -1.0, (-1, 0): -1.0, (0, 0): 5.0, (1, 0): -1.0, (0, 1): -1.0}
+
+
+def sharpen(images: DataFrame) -> DataFrame:
+    return convolve(images, SHARPEN)
+
+
+def median_filter(images: DataFrame, radius: int = 1) -> DataFrame:
+    """Median of the window, outside pixels counting as 0."""
+    cells = window(radius)
+    return images.withColumn("pixels", each_pixel(lambda i: F.get(F.sort_array(F.array(*[tap("pixels", i, dx, dy) for dx, dy in cells])), F.lit(len(cells) // 2))))
+
+
+def pyramid(images: DataFrame, levels: int) -> DataFrame:
+    """image_id, level, width, height, pixels: each level half as wide and high as the one before (nearest), from level 0, the image."""
+    def at(level: int) -> DataFrame:
+        step = 2**level
+        w, h = (F.greatest(F.floor(F.col(c) / step), F.lit(1)).cast("int") for c in ("width", "height"))
+        source = F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.get("pixels", (F.floor(i / w) * step * F.col("width") + i % w * step).cast("int")))
+        return images.select("image_id", F.lit(level).alias("level"), w.alias("width"), h.alias("height"), source.alias("pixels"))
+
+    out = at(0)
+    for level in range(1, levels):
+        out = out.unionByName(at(level))
+    return out
+
+
+def scene_changes(images: DataFrame, order: str, threshold: float) -> DataFrame:
+    """image_id, order, change: images whose mean absolute difference to the one before (by clip_id and order) is over threshold.
+
+    The window carries one array from row to row within a clip.
+    """
+    from pyspark.sql import Window
+
+    before = F.lag("pixels").over(Window.partitionBy("clip_id").orderBy(order))
+    paired = images.withColumn("before_", before).filter("before_ is not null")
+    gaps = paired.withColumn("gaps_", F.zip_with("pixels", "before_", lambda a, b: F.abs(a - b)))
+    change = F.aggregate("gaps_", F.lit(0.0), lambda a, x: a + x) / F.size("gaps_")
+    return gaps.withColumn("change", change).filter(F.col("change") > threshold).select("image_id", "clip_id", order, "change")
+
+
+def temporal_smoothing(masks: DataFrame, width: int = 3) -> DataFrame:
+    """Pixels of an object's mask (obj_id, x, y, frame_idx, v) averaged over ``width`` frames around each, as far as there are any."""
+    from pyspark.sql import Window
+
+    around = Window.partitionBy("obj_id", "x", "y").orderBy("frame_idx").rangeBetween(-(width // 2), width // 2)
+    return masks.withColumn("v", F.avg("v").over(around))

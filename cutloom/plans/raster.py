@@ -16,6 +16,22 @@ def _grey(s, d):
     return A.rasters(s, d).select("image_id", F.round(R.grayscale(at(0), at(1), at(2)), 6).alias("grey"))
 
 
+def _pyramid(s, d):
+    p = R.pyramid(A.rasters(s, d), 3).select((F.col("image_id") * 10 + F.col("level")).alias("image_id"), "width", "pixels")
+    return R.pixels_of(p, 6)
+
+
+def _scenes(s, d):
+    """Ten images with one last digit in a row are a clip."""
+    clips = A.rasters(s, d).withColumn("clip_id", F.floor(F.col("image_id") / 10))
+    return R.scene_changes(clips, "image_id", 0.1).select("image_id", "clip_id", F.round("change", 6).alias("change"))
+
+
+def _smoothed(s, d):
+    masks = R.pixels_of(A.rasters(s, d), None).select((F.col("image_id") % 7).alias("obj_id"), "x", "y", F.floor(F.col("image_id") / 7).alias("frame_idx"), "v")
+    return R.temporal_smoothing(masks, 3).withColumn("v", F.round("v", 4) + 0.0)
+
+
 def _labels(s, d):
     return A.read(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
@@ -55,6 +71,11 @@ QUERIES = {
     "raster_boundary": lambda s, d: R.boundary(A.rasters(s, d), 0.0),
     "raster_otsu": lambda s, d: R.otsu_threshold(A.rasters(s, d)),
     "raster_kernel_batches": lambda s, d: R.pixels_of(R.kernel_batches(A.rasters(s, d), R.gaussian(2))),
+    "raster_sharpen": lambda s, d: R.pixels_of(R.sharpen(A.rasters(s, d))),
+    "raster_median": lambda s, d: R.pixels_of(R.median_filter(A.rasters(s, d), 1)),
+    "raster_pyramid": _pyramid,
+    "scene_changes": _scenes,
+    "mask_temporal_smoothing": _smoothed,
     "label_histogram": _labels,
     "batch_index": _batches,
     "best_mask": _best,
@@ -113,6 +134,14 @@ bins AS (SELECT image_id, CAST(floor(CASE WHEN hi > lo THEN floor((v - lo) / (hi
 sums AS (SELECT image_id, t, count(*) FILTER (b <= t) AS n0, count(*) FILTER (b > t) AS n1, coalesce(sum(b) FILTER (b <= t), 0) AS s0, coalesce(sum(b) FILTER (b > t), 0) AS s1 FROM bins, range(15) r(t) GROUP BY ALL),
 bet AS (SELECT image_id, t, CASE WHEN n0 > 0 AND n1 > 0 THEN round(CAST((s0 * n1 - s1 * n0) * (s0 * n1 - s1 * n0) AS DOUBLE) / (n0 * n1), 6) ELSE 0.0 END AS between_ FROM sums)
 SELECT image_id, CAST(t AS INTEGER) AS level, between_ AS "between" FROM bet QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY between_ DESC, t) = 1""",
+    "raster_sharpen": f"WITH {A.RASTERS}, {_kernel('g', R.SHARPEN)}, o AS ({_conv('g')}) {_out()}",
+    "raster_median": f"""WITH {A.RASTERS}, {_K1}, w AS (SELECT p.image_id, p.x - k.dx AS x, p.y - k.dy AS y, list(p.v) AS vs FROM px p, k1 k WHERE p.x - k.dx BETWEEN 0 AND 7 AND p.y - k.dy BETWEEN 0 AND 7 GROUP BY ALL),
+o AS (SELECT image_id, x, y, list_sort(list_concat(vs, list_transform(range(9 - len(vs)), lambda i: 0.0::DOUBLE)))[5] AS v FROM w) {_out()}""",
+    "raster_pyramid": f"WITH {A.RASTERS}, o AS (SELECT image_id * 10 + l AS image_id, x // (1 << l) AS x, y // (1 << l) AS y, v FROM px, range(3) r(l) WHERE x % (1 << l) = 0 AND y % (1 << l) = 0) {_out('round(v, 6) + 0.0')}",
+    "scene_changes": f"""WITH {A.RASTERS}, g AS (SELECT image_id, image_id // 10 AS clip_id, v, lag(v) OVER (PARTITION BY image_id // 10, x, y ORDER BY image_id) AS b FROM px)
+SELECT image_id, clip_id, round(avg(abs(v - b)), 6) AS change FROM g WHERE b IS NOT NULL GROUP BY ALL HAVING avg(abs(v - b)) > 0.1""",
+    "mask_temporal_smoothing": f"""WITH {A.RASTERS}, m AS (SELECT image_id % 7 AS obj_id, x, y, image_id // 7 AS frame_idx, v FROM px)
+SELECT obj_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, frame_idx, round(avg(v) OVER (PARTITION BY obj_id, x, y ORDER BY frame_idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) + 0.0 AS v FROM m""",
     "label_histogram": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "batch_index": "SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS batch FROM embeddings",
     "best_mask": "SELECT label, vec_id AS image_id, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) = 1",
