@@ -239,9 +239,9 @@ def pyramid(images: DataFrame, levels: int) -> DataFrame:
     """image_id, level, width, height, pixels: each level half as wide and high as the one before (nearest), from level 0, the image."""
     def at(level: int) -> DataFrame:
         step = 2**level
-        w, h = (F.greatest(F.floor(F.col(c) / step), F.lit(1)).cast("int") for c in ("width", "height"))
-        source = F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.get("pixels", (F.floor(i / w) * step * F.col("width") + i % w * step).cast("int")))
-        return images.select("image_id", F.lit(level).alias("level"), w.alias("width"), h.alias("height"), source.alias("pixels"))
+        w, h = (F.greatest(F.floor(F.col(c) / step), F.lit(1)).cast("int") for c in ("w_", "h_"))
+        source = F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.get("pixels", (F.floor(i / w) * step * F.col("w_") + i % w * step).cast("int")))
+        return images.withColumnsRenamed({"width": "w_", "height": "h_"}).select("image_id", F.lit(level).alias("level"), w.alias("width"), h.alias("height"), source.alias("pixels"))
 
     out = at(0)
     for level in range(1, levels):
