@@ -213,7 +213,7 @@ def _meetings(members: DataFrame, hubs: DataFrame, shared: DataFrame, found: Dat
     whole = members.select("key", "root").join(sizes, "root").join(loose, "root", "left").filter("loose is null")
     whole = whole.select("key", F.array(F.struct(c("root").alias("place"), F.lit(-1).alias("tree"), "chunks")).alias("meets"))
     place = F.to_binary(F.concat(F.lpad(F.hex("tree"), 8, "0"), F.lpad(F.hex("prefix"), 16, "0")), F.lit("hex"))
-    parts = materialize(rooted.join(loose, "root").select("tree", "prefix", "parts"), "loose-nodes")
+    parts = rooted.join(loose, "root").select("tree", "prefix", "parts")
     each = shared.select("key", "tree", "prefix").join(parts, ["tree", "prefix"]).groupBy("key").agg(F.collect_list(F.struct(place.alias("place"), "tree", c("parts").alias("chunks"))).alias("meets"))
     return whole.unionByName(each)
 
