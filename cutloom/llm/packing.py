@@ -28,8 +28,8 @@ from cutloom.llm._tables import documents, materialize, picked
 
 CAPACITY = 1024
 EOS = 2
-SMALL = 8  # pieces of at most capacity / SMALL tokens are small
-GROUPS = 96
+SMALL = 3  # pieces of at most capacity / SMALL tokens are small
+GROUPS = 128
 ROWS_A_SALT = 1_000_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -107,7 +107,13 @@ def linear_groups(histogram: dict[int, int], groups: int = GROUPS) -> list[Group
             take = min(left, each - out[-1].count)
             out[-1].count += take
             left -= take
-    return out
+    merged: list[Group] = []
+    for group in out:  # a length that fills several groups is one size to the program
+        if merged and merged[-1].size == group.size:
+            merged[-1].count += group.count
+        else:
+            merged.append(group)
+    return merged
 
 
 def _best_pattern(sizes: list[int], worth: np.ndarray, most: list[int], capacity: int) -> list[int]:
@@ -146,7 +152,7 @@ def configurations(groups: list[Group], capacity: int = CAPACITY) -> list[tuple[
     demand = np.array([g.count for g in groups], float)
     basis = [[capacity // s if i == k else 0 for i in range(m)] for k, s in enumerate(sizes)]
     matrix = np.array(basis, float).T
-    for _ in range(20 * m):
+    for _ in range(4 * m):
         inverse = np.linalg.inv(matrix)
         worth = inverse.sum(axis=0)  # every pattern costs one sequence
         column = _best_pattern(sizes, np.maximum(worth, 0), [capacity] * m, capacity)
