@@ -3,12 +3,15 @@
 Samples become pitch-class frames: the power of short-time spectra, summed over octaves, smoothed over time
 and scaled to length 1. Filters, each a difference of two rectangle sums of an integral image over the last
 SPAN frames, give two Gray-coded bits each; 16 of them pack into one 32-bit integer a frame. Recordings are
-candidates where two integers, up to GAP frames apart, both agree; a histogram of the offsets between their places finds the alignment, and the share of differing bits there decides.
+candidates at the offset between two integers that differ in few enough bits, if the REACH integers from there on do so too; every match has
+such a place, so none is lost. The share of differing bits at each candidate offset decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ FRAME = 1024
 HOP = 256
 SPAN = 16
 SILENCE = 1e-4
-GAP = 4
+REACH = 4
 OVERLAP = 8
 MOST_ERROR = 0.05
 QUERY_EVERY = 20
@@ -125,16 +128,19 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.select("rec_id", "fingerprint", F.md5(text.cast("binary")).alias("print_id"))
 
 
-def align(prints: DataFrame, is_query, gap=GAP, overlap=OVERLAP, most_error=MOST_ERROR) -> DataFrame:
+def align(prints: DataFrame, is_query, reach=REACH, overlap=OVERLAP, most_error=MOST_ERROR) -> DataFrame:
     """Recordings that align with queries: rows (relation, rec_id, match_id, offset, aligned, bit_error, copies).
 
     prints has rec_id and fingerprint; is_query is a condition on rec_id. Equal fingerprints form a class,
     named by its least rec_id, of ``copies`` recordings. relation 'member': every recording and its class.
     relation 'match': a class that holds a query and another class which aligns with it: at ``offset``
     (frames that the match runs behind) at least ``overlap`` integers lie over each other and at most
-    most_error of their bits differ; it is the offset at which most pairs of integers up to gap frames apart agree (ties: the smallest).
-    Two recordings of which 5% of bits differ have such a pair with probability 0.99 from 40 integers on.
+    most_error of their bits differ; of such offsets it is the one at which most bits agree (ties: the smallest).
     Recordings without sound match nothing. Rows with a null id are left out.
+
+    No match is missed. Where at most most_error of the bits differ over all integers, they do so over every stretch that
+    begins at some one integer (the one after the highest of the running sums of differing bits less the share allowed). That integer differs in
+    32 * most_error bits at most: queries look up each value that near (33 at 5%), and up to ``reach`` integers from there are compared in the join.
     """
     known = materialize(classes(prints.filter("rec_id is not null")), "prints")
     per = known.groupBy("print_id").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("copies"), F.max("fingerprint").alias("fingerprint"), F.max(is_query.cast("int")).alias("asks"))
@@ -142,22 +148,30 @@ def align(prints: DataFrame, is_query, gap=GAP, overlap=OVERLAP, most_error=MOST
     members = known.select("rec_id", "print_id").join(per.select("print_id", "class_id", "copies"), "print_id")
     zero = F.lit(0).cast("long")
     member = members.select(F.lit("member").alias("relation"), "rec_id", F.col("class_id").alias("match_id"), zero.alias("offset"), zero.alias("aligned"), F.lit(0.0).alias("bit_error"), "copies")
-    value = lambda i: F.get("fingerprint", i)
-    twos = lambda k: F.transform("fingerprint", lambda v, i: F.when(v.isNotNull() & value(i + k).isNotNull(), F.xxhash64(F.lit(k), v, value(i + k))))
-    keyed = per.select("class_id", "asks", F.posexplode(F.array(*[twos(k) for k in range(1, gap + 1)])).alias("k", "keys"))
-    places = keyed.select("class_id", "asks", F.posexplode("keys").alias("at", "key")).filter("key is not null")
-    asked = places.filter("asks = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "key")
-    held = places.select(F.col("class_id").alias("r"), F.col("at").alias("r_at"), "key")
-    histogram = asked.join(held, "key").filter("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    peak = histogram.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("best")).select("q", "r", (-F.col("best.back")).alias("offset"))
+    share = 32 * most_error
+    flips = [sum(1 << b for b in bits) for n in range(floor(share + 1e-9) + 1) for bits in combinations(range(32), n)]
+    placed = per.select("class_id", "asks", "fingerprint", F.posexplode("fingerprint").alias("at", "value")).filter("value is not null")
+    after = lambda side: [F.get("fingerprint", F.col("at") + k).alias(f"{side}_{k}") for k in range(1, reach)]
+    asked = placed.filter("asks = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "value", *after("q"), F.explode(F.array(*map(F.lit, flips)).cast("array<long>")).alias("flip"))
+    asked = asked.withColumn("key", F.col("value").bitwiseXOR(F.col("flip"))).withColumn("differ", F.bit_count("flip")).drop("value", "flip")
+    held = placed.select(F.col("class_id").alias("r"), F.col("at").alias("r_at"), F.col("value").alias("r_key"), *after("r"))
+    near, bits, places = (F.col("key") == F.col("r_key")) & (F.col("q") != F.col("r")), F.col("differ"), F.lit(1)
+    for k in range(1, reach):
+        apart = F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(f"r_{k}")))  # null past an end and in silence
+        bits, places = bits + F.coalesce(apart, F.lit(0)), places + apart.isNotNull().cast("int")
+        near &= bits <= share * places + 1e-9
+    voted = asked.join(held, near).select("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).distinct()
     side = per.select("class_id", "fingerprint", "copies")
-    pairs = peak.join(side.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("q_print")), "q").join(side.withColumnsRenamed({"class_id": "r", "fingerprint": "r_print"}), "r")
+    pairs = voted.join(side.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("q_print")), "q").join(side.withColumnsRenamed({"class_id": "r", "fingerprint": "r_print"}), "r")
     lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("q_print"), F.size("r_print") - F.col("offset"))
+    pairs = pairs.filter(hi - lo >= overlap)
     over = pairs.withColumn("over", F.arrays_zip(F.slice("q_print", lo + 1, hi - lo).alias("a"), F.slice("r_print", lo + F.col("offset") + 1, hi - lo).alias("b")))
     sounding = over.withColumn("over", F.filter("over", lambda x: x["a"].isNotNull() & x["b"].isNotNull()))
     bits = F.aggregate("over", F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x["a"].bitwiseXOR(x["b"])))
-    rated = sounding.withColumn("aligned", F.size("over").cast("long")).filter(F.col("aligned") >= overlap).withColumn("bit_error", bits / (32 * F.col("aligned")))
-    match = rated.filter(F.col("bit_error") <= most_error).select(F.lit("match").alias("relation"), F.col("q").alias("rec_id"), F.col("r").alias("match_id"), F.col("offset").cast("long"), "aligned", F.round("bit_error", 6).alias("bit_error"), "copies")
+    rated = sounding.withColumn("aligned", F.size("over").cast("long")).filter(F.col("aligned") >= overlap).withColumn("bits", bits).withColumn("bit_error", F.col("bits") / (32 * F.col("aligned")))
+    best = F.max_by(F.struct("offset", "aligned", "bit_error", "copies"), F.struct(32 * F.col("aligned") - F.col("bits"), -F.col("offset")))
+    found = rated.filter(F.col("bit_error") <= most_error).groupBy("q", "r").agg(best.alias("best")).select("q", "r", "best.*")
+    match = found.select(F.lit("match").alias("relation"), F.col("q").alias("rec_id"), F.col("r").alias("match_id"), F.col("offset").cast("long"), "aligned", F.round("bit_error", 6).alias("bit_error"), "copies")
     return member.unionByName(match)
 
 
