@@ -3,7 +3,8 @@
 A found value is validated (check digits, ranges, calendar), turned into a number of its format's domain,
 permuted there under the key, and written back in the same format; steps that leave the valid set are
 repeated (cycle walking), so the map is a bijection of each format's valid values. It depends on the key, the kind and
-the value alone: equal values get equal pseudonyms in every document, and whoever holds the key can undo them.
+the value alone: equal values get equal pseudonyms in every document, and whoever holds the key can undo them. Only where digits
+or words beside a value would then read as a part of it (about one card in ten before a number of up to 3 digits) does it walk on.
 """
 
 from __future__ import annotations
@@ -195,21 +196,56 @@ def _secret(value, key, back):
 _MAPS = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
+_CARD_LIKE = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}", re.A)
+
+
+def _readings(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where the value may stand: the whole match; else, as numbers or words may stand beside a card or IBAN, its parts between blanks and hyphens, those grouped like a card first, then the earliest and longest."""
+    if kind not in ("card", "iban"):
+        return [(start, end)]
+    gaps = [k for k in range(start, end) if text[k] in " -"]
+    starts = [start, *[k + 1 for k in gaps]] if kind == "card" else [start]
+    least = 13 if kind == "card" else 15
+    parts = [(a, z) for a in starts for z in (end, *reversed(gaps)) if sum(c.isalnum() for c in text[a:z]) >= least and (a, z) != (start, end)]
+    return [(start, end), *sorted(parts, key=lambda p: not _CARD_LIKE.fullmatch(text, *p))]
+
+
+def _next(text: str, at: int, key: bytes, back: bool) -> tuple[str, int, int, str, tuple[int, int] | None] | None:
+    """The first valid value from ``at`` on: kind, start, end, pseudonym, and the range of matches that were refused before it and reach it."""
+    refused = None
+    while m := _SHAPES.search(text, at):
+        kind = next(k for k in KINDS if m.group(k) is not None)
+        start, end = m.span(kind if kind != "secret" else "value" if m["value"] else "key_id")
+        if refused and refused[1] <= m.start():
+            refused = None
+        for first, stop in _readings(kind, text, start, end):
+            new = _MAPS[kind](text[first:stop], key, back)
+            if new is not None:
+                return kind, first, stop, new, refused
+            refused = (refused[0] if refused else m.start(), max(m.end(), refused[1] if refused else 0))
+        at = m.start() + 1
+    return None
+
+
 def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with every valid value replaced, and (kind, start, length) of each. back undoes it."""
+    """The text with every valid value replaced, and (kind, start, length) of each. back undoes it.
+
+    Where longer or earlier readings of the same characters were refused, the permutation is repeated until they
+    are refused for the pseudonym too, so that undoing finds the same value.
+    """
     found: list[tuple[str, int, int]] = []
     if not _WORTH.search(text):
         return text, found
     out, at = [], 0
-    for m in _SHAPES.finditer(text):
-        kind = next(k for k in KINDS if m.group(k) is not None)
-        part = kind if kind != "secret" else "value" if m["value"] else "key_id"
-        start, end = m.span(part)
-        new = _MAPS[kind](m[part], key, back)
-        if new is not None:
-            out += [text[at:start], new]
-            found.append((kind, start, end - start))
-            at = end
+    while hit := _next(text, at, key, back):
+        kind, start, end, new, refused = hit
+        if refused:
+            first, left, right = refused[0], text[max(refused[0] - 1, 0) : start], text[end : max(refused[1], end) + 40]
+            while (again := _next(left + new + right, min(first, 1), key, back)) is None or again[:3] != (kind, len(left), len(left + new)):
+                new = _MAPS[kind](new, key, back)
+        out += [text[at:start], new]
+        found.append((kind, start, end - start))
+        at = end
     return "".join([*out, text[at:]]), found
 
 
