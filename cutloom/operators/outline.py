@@ -284,12 +284,12 @@ def totals(shapes: DataFrame) -> DataFrame:
 
 
 def generalise(features: DataFrame, included, tolerance=0.01, least_ring=0.01, least_area=0.1, most: int | None = None) -> DataFrame:
-    """Map features (name, rings) kept by name, simplified, rounded and ordered: name, area, box, mid, rings.
+    """Map features (name, rings) kept by name (``included`` is a list, or a table whose column name holds them), simplified, rounded and ordered: name, area, box, mid, rings.
 
     Rings of fewer than 4 points go, holes under least_ring too; a feature whose exterior goes is left out (a hole never
     takes its place); so is one whose bounding box covers less than least_area. Ordered by that area, largest first, then by name.
     """
-    chosen = features.filter(F.col("name").isin(*included))
+    chosen = features.join(included.select("name").distinct(), "name", "left_semi") if isinstance(included, DataFrame) else features.filter(F.col("name").isin(*included))
     boxed = chosen.withColumn("box", G.bounding_box(F.flatten("rings"))).withColumn("area", (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0")))
 
     def run(batches):
