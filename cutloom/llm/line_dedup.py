@@ -134,14 +134,21 @@ def _read(batches, id_at: int, text_at: int):
             yield batch.slice(s.first, s.rows), Lines(column.slice(s.first, s.rows).to_pylist())
 
 
-def _keyed(batches, edits: int, min_chars: int):
+def _takes_part(lines: Lines, min_chars: int, equal_chars: int) -> np.ndarray:
+    """The lines of min_chars code points or more, and those of equal_chars or more that aren't blank."""
+    inked = np.append(0, np.cumsum(~np.isin(lines.points, (9, 11, 12, 13, 32))))
+    return (lines.length >= min_chars) | (lines.length >= equal_chars) & (inked[lines.end] > inked[lines.start])
+
+
+def _keyed(batches, edits: int, min_chars: int, equal_chars: int):
     for part, lines in _read(batches, 0, 1):
-        long = np.flatnonzero(lines.length >= min_chars)
+        long = np.flatnonzero(_takes_part(lines, min_chars, equal_chars))
         sums = lines.sums(0x33)
         start, length = lines.start[long], lines.length[long]
         k1, k2 = (_words.range_hash(x, start, start + length) for x in (sums, lines.sums(0x44)))
         own, probes = segment_keys(sums, start, length, edits)
         keys = np.stack([*own, *probes], axis=1).view(np.int64)
+        keys[length < min_chars] = 0  # these meet equal lines only
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
         columns = [part.column(0).take(pa.array(lines.text[long])), pa.array(lines.number[long], pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "k1", "k2", "segments"])
@@ -210,11 +217,12 @@ def _judged(batches, edits: int):
         yield pa.RecordBatch.from_arrays([pa.array([d for (d, _) in done], kind_of_id), pa.array([n for (_, n) in done], pa.int32())], ["doc_id", "line"])
 
 
-def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS) -> DataFrame:
-    """doc_id, line, k1: of the lines of min_chars code points or more, those that stay. See dedup_lines."""
+def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS, equal_chars=None) -> DataFrame:
+    """doc_id, line, k1: of the lines that take part, those that stay. See dedup_lines."""
+    equal_chars = min_chars if equal_chars is None else equal_chars
     rows = picked(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    keyed = rows.mapInArrow(lambda b: _keyed(b, edits, min_chars), f"doc_id {kind}, line int, k1 long, k2 long, segments array<long>")
+    keyed = rows.mapInArrow(lambda b: _keyed(b, edits, min_chars, equal_chars), f"doc_id {kind}, line int, k1 long, k2 long, segments array<long>")
     firsts = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "segments")).alias("f")).select("f.*", "k1")
     firsts = materialize(firsts, "lines")
     given = firsts.select("doc_id", "line", "k1", F.posexplode("segments").alias("nth", "segment")).filter("segment <> 0")
@@ -234,9 +242,9 @@ def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
     return firsts.select("doc_id", "line", "k1").join(materialize(dropped, "near-lines"), ["doc_id", "line"], "left_anti")
 
 
-def _kept_lines(part: pa.RecordBatch, lines: Lines, stay: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+def _kept_lines(part: pa.RecordBatch, lines: Lines, stay: pa.Array, min_chars: int, equal_chars: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of the lines stay, and which take part."""
-    long = lines.length >= min_chars
+    long = _takes_part(lines, min_chars, equal_chars)
     k1 = _words.range_hash(lines.sums(0x33), lines.start, lines.end).view(np.int64)
     flat, sizes = pc.list_flatten(stay).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(stay), 0).to_numpy(zero_copy_only=False)
     named = set(zip(np.repeat(np.arange(len(sizes)), sizes).tolist(), flat.tolist(), strict=True))
@@ -249,8 +257,8 @@ def _kept_lines(part: pa.RecordBatch, lines: Lines, stay: pa.Array, min_chars: i
     return keep, long
 
 
-def _stays(docs, id_col, text_col, edits, min_chars) -> DataFrame:
-    return first_lines(docs, id_col, text_col, edits, min_chars).groupBy("doc_id").agg(F.collect_list("k1").alias("stay"))
+def _stays(docs, id_col, text_col, edits, min_chars, equal_chars) -> DataFrame:
+    return first_lines(docs, id_col, text_col, edits, min_chars, equal_chars).groupBy("doc_id").agg(F.collect_list("k1").alias("stay"))
 
 
 def line_counts(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS) -> DataFrame:
@@ -273,24 +281,26 @@ def line_counts(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
     return out.select("doc_id", "n_lines", F.size("long").cast("long").alias("n_long"), (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS, equal_chars=None) -> DataFrame:
     """docs with each text less its repeated lines; columns unchanged, every row stays.
 
-    Lines are split at ``\\n``. One of fewer than min_chars code points always stays. Another stays if no
+    Lines are split at ``\\n``. One of fewer than min_chars code points stays, unless equal_chars
+    is given: then one of at least that many that isn't blank goes if an earlier line equals it. Another stays if no
     earlier line of the corpus is within ``edits`` edits (insertions, deletions, substitutions of code
     points) of it, equal ones included; earlier is by (id, place). A text that loses all lines is empty. Null texts
     and rows with a null id stay as they are. Repeated rows have the same lines in the same places, so they
     lose the same ones. Rows of one id with different texts are told apart by their lines' hashes. An empty
     table gives an empty table.
     """
-    stays = _stays(docs, id_col, text_col, edits, min_chars)
+    equal_chars = min_chars if equal_chars is None else equal_chars
+    stays = _stays(docs, id_col, text_col, edits, min_chars, equal_chars)
     names = docs.columns
     tidy = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at, ident = names.index(text_col), f"c{names.index(id_col)}"
 
     def written(batches):
         for part, lines in _read(batches, 0, at):
-            keep, _ = _kept_lines(part, lines, part.column(len(names)), min_chars)
+            keep, _ = _kept_lines(part, lines, part.column(len(names)), min_chars, equal_chars)
             first = np.searchsorted(lines.text, np.arange(part.num_rows + 1))
             texts = part.column(at).to_pylist()
             ids = part.column(names.index(id_col)).to_pylist()
