@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-Equal lines collapse first, by 128-bit keys. Two different lines within EDITS edits share one of the
-EDITS + 1 segments of the shorter one, at a place near its own: each line gives the keys of its own segments
-(row kind 0) and those of its substrings that could be a segment of a line up to EDITS characters shorter
+Every line with a word takes part, however short. Equal lines collapse first, by 128-bit keys. Two different lines within
+EDITS edits share one of the EDITS + 1 segments of the shorter one, at a place near its own: each line longer than EDITS gives the keys
+of its own segments (row kind 0) and those of its substrings that could be a segment of a line up to EDITS characters shorter
 (kind 1). Keys that more than one line gives are meetings; a meeting of many lines is dealt in chunks, every
 two of which meet in one group of bounded size. There a banded bit-parallel edit distance, run on thousands of pairs at once, decides.
 A line stays if no earlier line of the corpus, by (document id, place in it), is within EDITS edits of it.
@@ -20,9 +20,8 @@ from cutloom.llm import _words
 from cutloom.llm._tables import documents, materialize, picked
 
 EDITS = 1
-MIN_CHARS = 20
 CHUNK = 256
-PAIRS = 4096
+CELLS = 1 << 22
 U = np.uint64
 
 
@@ -134,95 +133,101 @@ def _read(batches, id_at: int, text_at: int):
             yield batch.slice(s.first, s.rows), Lines(column.slice(s.first, s.rows).to_pylist())
 
 
-def _takes_part(lines: Lines, min_chars: int, equal_chars: int) -> np.ndarray:
-    """The lines of min_chars code points or more, and those of equal_chars or more that aren't blank."""
-    inked = np.append(0, np.cumsum(~np.isin(lines.points, (9, 11, 12, 13, 32))))
-    return (lines.length >= min_chars) | (lines.length >= equal_chars) & (inked[lines.end] > inked[lines.start])
+def _worded(lines: Lines) -> np.ndarray:
+    """The numbers of the lines that have a word."""
+    inked = np.append(0, np.cumsum(~np.isin(lines.points, (9, 10, 11, 12, 13, 32))))
+    return np.flatnonzero(inked[lines.end] > inked[lines.start])
 
 
-def _keyed(batches, edits: int, min_chars: int, equal_chars: int):
+def _keyed(batches, edits: int):
     for part, lines in _read(batches, 0, 1):
-        long = np.flatnonzero(_takes_part(lines, min_chars, equal_chars))
+        at = _worded(lines)
         sums = lines.sums(0x33)
-        start, length = lines.start[long], lines.length[long]
+        start, length = lines.start[at], lines.length[at]
         k1, k2 = (_words.range_hash(x, start, start + length) for x in (sums, lines.sums(0x44)))
         own, probes = segment_keys(sums, start, length, edits)
         keys = np.stack([*own, *probes], axis=1).view(np.int64)
-        keys[length < min_chars] = 0  # these meet equal lines only
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-        columns = [part.column(0).take(pa.array(lines.text[long])), pa.array(lines.number[long], pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists]
+        columns = [part.column(0).take(pa.array(lines.text[at])), pa.array(lines.number[at], pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "k1", "k2", "segments"])
 
 
 def _fetched(batches):
-    """Of each text, the lines asked for (ask: their numbers; keys: their k1, which must agree)."""
+    """Of each text, the lines asked for (ask: their numbers; keys: their k1, which must agree: rows of one id may differ)."""
     for part, lines in _read(batches, 0, 1):
         sums = lines.sums(0x33)
-        first = np.searchsorted(lines.text, np.arange(part.num_rows))
-        ids, numbers, found = [], [], []
-        for row, (ask, keys) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-            count = np.count_nonzero(lines.text == row) if part.num_rows == 1 else (first[row + 1] if row + 1 < part.num_rows else len(lines.text)) - first[row]
-            pairs = [(a, k) for a, k in zip(ask, keys, strict=True) if a < count]
-            at = first[row] + np.array([a for a, _ in pairs], np.int64)
-            got = _words.range_hash(sums, lines.start[at], lines.end[at]).view(np.int64).tolist()
-            for x, (a, k), h in zip(at.tolist(), pairs, got, strict=True):
-                if h == k:
-                    ids.append(row)
-                    numbers.append(a)
-                    found.append(lines.take(x).tobytes().decode("utf-32-le"))
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int32())), pa.array(numbers, pa.int32()), pa.array(found, pa.string())], ["doc_id", "line", "content"])
+        first = np.searchsorted(lines.text, np.arange(part.num_rows + 1))
+        asks = part.column(2)
+        row = np.repeat(np.arange(part.num_rows), pc.list_value_length(asks).to_numpy(zero_copy_only=False))
+        number, key = (pc.list_flatten(c).to_numpy(zero_copy_only=False) for c in (asks, part.column(3)))
+        at = first[row] + number
+        there = at < first[row + 1]
+        row, number, key, at = row[there], number[there], key[there], at[there]
+        same = _words.range_hash(sums, lines.start[at], lines.end[at]).view(np.int64) == key
+        row, number, key, at = row[same], number[same], key[same], at[same]
+        found = [lines.take(x).tobytes().decode("utf-32-le") for x in at.tolist()]
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(key, pa.int64()), pa.array(found, pa.string())], ["doc_id", "line", "k1", "content"])
+
+
+def _meeting_pairs(place: list[tuple], kind: np.ndarray, chunk: np.ndarray, length: np.ndarray, edits: int, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (earlier, later) of a meeting's lines that are to be compared: not both by probes, lengths near, and of two chunks unless one chunk meets itself."""
+    order = np.array(sorted(range(len(place)), key=place.__getitem__))
+    rank = np.cumsum([0, *(place[a] != place[b] for a, b in zip(order[1:], order[:-1], strict=True))])
+    a, b = np.triu_indices(len(order), 1)
+    x, y = order[a], order[b]
+    meets = (rank[a] != rank[b]) & ((kind[x] == 0) | (kind[y] == 0)) & (np.abs(length[x] - length[y]) <= edits) & ((chunk[x] == chunk[y]) == alone)
+    _, once = np.unique(rank[a[meets]] * len(order) + rank[b[meets]], return_index=True)  # one line may give a key more than once
+    return x[meets][once], y[meets][once]
 
 
 def _judged(batches, edits: int):
     """Rows arrive sorted by (segment, i, j): in each run of equal ones, the lines of chunk i meet those of chunk j. Gives the lines that an earlier one is near."""
     held: list[tuple] = []
     pairs: list[tuple] = []
-    out: list[tuple] = []
-    now = None
+    now = out_type = None
 
     def decide():
-        if pairs:
-            pairs.sort(key=lambda p: len(p[1]))
-            near = edits_within([p[1] for p in pairs], [p[2] for p in pairs], edits)
-            out.extend({p[0] for p, yes in zip(pairs, near, strict=True) if yes})
-            pairs.clear()
+        """The later lines of the near pairs, pairs of like length together, so many at a time that their band tables stay small."""
+        pairs.sort(key=lambda p: len(p[1]))
+        found, first = set(), 0
+        while first < len(pairs):
+            last = first + 1
+            while last < len(pairs) and (last - first + 1) * (len(pairs[last][1]) + 2 * edits + 2) <= CELLS // 8:
+                last += 1
+            part = pairs[first:last]
+            near = edits_within([p[1] for p in part], [p[2] for p in part], edits)
+            found.update(p[0] for p, yes in zip(part, near, strict=True) if yes)
+            first = last
+        pairs.clear()
+        done = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in done], out_type), pa.array([p[1] for p in done], pa.int32()), pa.array([p[2] for p in done], pa.int64())], ["doc_id", "line", "k1"])
 
     def close():
-        held.sort(key=lambda r: r[0])
-        lone = now and now[1] == now[2]
-        for y, later in enumerate(held):
-            for earlier in held[:y]:
-                meet = earlier[2] == later[2] if lone else earlier[2] != later[2]
-                if meet and earlier[0] != later[0] and not (earlier[1] and later[1]) and abs(len(earlier[3]) - len(later[3])) <= edits:
-                    pairs.append((later[0], earlier[3], later[3]))
-            if len(pairs) >= PAIRS:
-                decide()
+        if len(held) > 1:
+            kind, chunk = (np.array([r[k] for r in held]) for k in (1, 2))
+            for x, y in zip(*_meeting_pairs([r[0] for r in held], kind, chunk, np.array([len(r[3]) for r in held]), edits, now[1] == now[2]), strict=True):
+                pairs.append((held[y][0], held[x][3], held[y][3]))
         held.clear()
 
     for batch in batches:
-        for segment, i, j, kind, chunk, doc_id, line, content in zip(*[batch.column(c).to_pylist() for c in ("segment", "i", "j", "kind", "chunk", "doc_id", "line", "content")], strict=True):
+        out_type = batch.column("doc_id").type
+        for segment, i, j, kind, chunk, doc_id, line, k1, content in zip(*[batch.column(c).to_pylist() for c in ("segment", "i", "j", "kind", "chunk", "doc_id", "line", "k1", "content")], strict=True):
             if (segment, i, j) != now:
                 close()
                 now = (segment, i, j)
-            held.append(((doc_id, line), kind, chunk, np.frombuffer(content.encode("utf-32-le"), "<u4")))
-        decide()
-        done = sorted(set(out))
-        out.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([d for (d, _) in done], batch.column("doc_id").type), pa.array([n for (_, n) in done], pa.int32())], ["doc_id", "line"])
-        kind_of_id = batch.column("doc_id").type
+                if sum(len(p[1]) for p in pairs[-64:]) * len(pairs) > 64 * CELLS or len(pairs) > CELLS // 64:
+                    yield decide()
+            held.append(((doc_id, line, k1), kind, chunk, np.frombuffer(content.encode("utf-32-le"), "<u4")))
     close()
-    decide()
-    if out:
-        done = sorted(set(out))
-        yield pa.RecordBatch.from_arrays([pa.array([d for (d, _) in done], kind_of_id), pa.array([n for (_, n) in done], pa.int32())], ["doc_id", "line"])
+    if out_type is not None:
+        yield decide()
 
 
-def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS, equal_chars=None) -> DataFrame:
-    """doc_id, line, k1: of the lines that take part, those that stay. See dedup_lines."""
-    equal_chars = min_chars if equal_chars is None else equal_chars
+def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS) -> DataFrame:
+    """doc_id, line, k1 (a hash of its content): of the lines with a word, those that stay. See dedup_lines."""
     rows = picked(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    keyed = rows.mapInArrow(lambda b: _keyed(b, edits, min_chars, equal_chars), f"doc_id {kind}, line int, k1 long, k2 long, segments array<long>")
+    keyed = rows.mapInArrow(lambda b: _keyed(b, edits), f"doc_id {kind}, line int, k1 long, k2 long, segments array<long>")
     firsts = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "segments")).alias("f")).select("f.*", "k1")
     firsts = materialize(firsts, "lines")
     given = firsts.select("doc_id", "line", "k1", F.posexplode("segments").alias("nth", "segment")).filter("segment <> 0")
@@ -233,81 +238,73 @@ def first_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
     wanted = met.select("doc_id", "line", "k1").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "k1"))).alias("ask"))
     wanted = wanted.select(F.col("doc_id").alias("of_id"), F.col("ask.line").alias("ask"), F.col("ask.k1").alias("keys"))
     asked = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("of_id")).select("doc_id", "text", "ask", "keys")
-    contents = asked.mapInArrow(_fetched, f"doc_id {kind}, line int, content string")
-    dealt = met.join(contents, ["doc_id", "line"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "line"), F.col("chunks")).cast("int"))
+    contents = asked.mapInArrow(_fetched, f"doc_id {kind}, line int, k1 long, content string")
+    dealt = met.join(contents, ["doc_id", "line", "k1"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "line", "k1"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("segment", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "kind", "chunk", "doc_id", "line", "content")
+    dealt = dealt.select("segment", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "kind", "chunk", "doc_id", "line", "k1", "content")
     together = dealt.repartition("segment", "i", "j").sortWithinPartitions("segment", "i", "j")
-    dropped = together.mapInArrow(lambda b: _judged(b, edits), f"doc_id {kind}, line int").distinct()
-    return firsts.select("doc_id", "line", "k1").join(materialize(dropped, "near-lines"), ["doc_id", "line"], "left_anti")
+    dropped = together.mapInArrow(lambda b: _judged(b, edits), f"doc_id {kind}, line int, k1 long").distinct()
+    return firsts.select("doc_id", "line", "k1").join(materialize(dropped, "near-lines"), ["doc_id", "line", "k1"], "left_anti")
 
 
-def _kept_lines(part: pa.RecordBatch, lines: Lines, stay: pa.Array, min_chars: int, equal_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the lines stay, and which take part."""
-    long = _takes_part(lines, min_chars, equal_chars)
-    k1 = _words.range_hash(lines.sums(0x33), lines.start, lines.end).view(np.int64)
-    flat, sizes = pc.list_flatten(stay).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(stay), 0).to_numpy(zero_copy_only=False)
-    named = set(zip(np.repeat(np.arange(len(sizes)), sizes).tolist(), flat.tolist(), strict=True))
-    keep = ~long
-    for x in np.flatnonzero(long).tolist():
-        mark = (int(lines.text[x]), int(k1[x]))
-        if mark in named:
-            named.discard(mark)  # a later equal line of the text goes
-            keep[x] = True
-    return keep, long
+def _stays(docs, id_col, text_col, edits) -> DataFrame:
+    """doc_id, stay: the lines that stay, as (number, hash)."""
+    return first_lines(docs, id_col, text_col, edits).groupBy("doc_id").agg(F.collect_list(F.struct("line", "k1")).alias("stay"))
 
 
-def _stays(docs, id_col, text_col, edits, min_chars, equal_chars) -> DataFrame:
-    return first_lines(docs, id_col, text_col, edits, min_chars, equal_chars).groupBy("doc_id").agg(F.collect_list("k1").alias("stay"))
-
-
-def line_counts(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_long, n_kept, dropped (numbers of the lines that go, from 0) for every row with an id; see dedup_lines."""
+def line_counts(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS) -> DataFrame:
+    """doc_id, n_lines, n_worded (lines with a word), n_kept, dropped (numbers of the lines that go, from 0) for every row with an id, as dedup_lines has it."""
     known = picked(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
     kind = known.schema["doc_id"].dataType.simpleString()
 
     def numbered(batches):
         for part, lines in _read(batches, 0, 1):
-            long = np.flatnonzero(lines.length >= min_chars)
+            at = _worded(lines)
             n = np.bincount(lines.text, minlength=part.num_rows)
-            of = lines.text[long]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=part.num_rows))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lines.number[long], pa.int32()))], ["doc_id", "n_lines", "long"])
-
-    numbers = known.mapInArrow(numbered, f"doc_id {kind}, n_lines long, long array<int>")
-    stays = first_lines(docs, id_col, text_col, edits, min_chars).groupBy("doc_id").agg(F.collect_list("line").alias("stay"))
-    went = F.array_sort(F.array_except("long", F.coalesce("stay", F.array().cast("array<int>"))))
+            k1 = _words.range_hash(lines.sums(0x33), lines.start[at], lines.end[at])
+            marks = pa.StructArray.from_arrays([pa.array(lines.number[at], pa.int32()), pa.array(k1.view(np.int64))], ["line", "k1"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(lines.text[at], minlength=part.num_rows))])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), marks)], ["doc_id", "n_lines", "worded"])
+
+    marks = "array<struct<line:int,k1:long>>"
+    numbers = known.mapInArrow(numbered, f"doc_id {kind}, n_lines long, worded {marks}")
+    stays = _stays(docs, id_col, text_col, edits)
+    went = F.array_sort(F.array_except("worded", F.coalesce("stay", F.array().cast(marks))))["line"]
     out = numbers.join(stays, "doc_id", "left").withColumn("dropped", went)
-    return out.select("doc_id", "n_lines", F.size("long").cast("long").alias("n_long"), (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
+    return out.select("doc_id", "n_lines", F.size("worded").cast("long").alias("n_worded"), (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS, equal_chars=None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS) -> DataFrame:
     """docs with each text less its repeated lines; columns unchanged, every row stays.
 
-    Lines are split at ``\\n``. One of fewer than min_chars code points stays, unless equal_chars
-    is given: then one of at least that many that isn't blank goes if an earlier line equals it. Another stays if no
+    Lines are split at ``\\n``. One without a word (``[^\\x20\\x09-\\x0D]+``) stays. Another stays if no
     earlier line of the corpus is within ``edits`` edits (insertions, deletions, substitutions of code
-    points) of it, equal ones included; earlier is by (id, place). A text that loses all lines is empty. Null texts
+    points) of it, equal ones included; earlier is by (id, place). A line of at most ``edits`` code points is only
+    compared with equal ones, as every line of that length is near every other. A text that loses all lines is empty. Null texts
     and rows with a null id stay as they are. Repeated rows have the same lines in the same places, so they
-    lose the same ones. Rows of one id with different texts are told apart by their lines' hashes. An empty
-    table gives an empty table.
+    lose the same ones. Rows of one id with different texts share their places: there equal lines are one line, different ones
+    stand in the order of their hashes. An empty table gives an empty table; other columns may have any names.
     """
-    equal_chars = min_chars if equal_chars is None else equal_chars
-    stays = _stays(docs, id_col, text_col, edits, min_chars, equal_chars)
+    stays = _stays(docs, id_col, text_col, edits)
     names = docs.columns
     tidy = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at, ident = names.index(text_col), f"c{names.index(id_col)}"
+    at, ident = names.index(text_col), names.index(id_col)
 
     def written(batches):
         for part, lines in _read(batches, 0, at):
-            keep, _ = _kept_lines(part, lines, part.column(len(names)), min_chars, equal_chars)
+            stay = part.column(len(names))
+            flat = pc.list_flatten(stay)
+            of = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(stay), 0).to_numpy(zero_copy_only=False))
+            named = set(zip(of.tolist(), pc.struct_field(flat, 0).to_pylist(), pc.struct_field(flat, 1).to_pylist(), strict=True))
+            worded = _worded(lines)
+            k1 = _words.range_hash(lines.sums(0x33), lines.start[worded], lines.end[worded]).view(np.int64)
+            keep = np.ones(len(lines.start), bool)
+            keep[worded] = [mark in named for mark in zip(lines.text[worded].tolist(), lines.number[worded].tolist(), k1.tolist(), strict=True)]
             first = np.searchsorted(lines.text, np.arange(part.num_rows + 1))
-            texts = part.column(at).to_pylist()
-            ids = part.column(names.index(id_col)).to_pylist()
             new = []
-            for row, text in enumerate(texts):
+            for row, (text, known) in enumerate(zip(part.column(at).to_pylist(), part.column(ident).is_valid().to_pylist(), strict=True)):
                 flags = keep[first[row] : first[row + 1]]
-                if text is None or ids[row] is None or flags.all():
+                if text is None or not known or flags.all():
                     new.append(text)
                 else:
                     new.append("\n".join(x for x, yes in zip(text.split("\n"), flags.tolist(), strict=True) if yes))
@@ -315,7 +312,7 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, part.schema.names[: len(names)])
 
-    joined = tidy.join(stays.withColumnRenamed("doc_id", "of_id"), F.col(ident) == F.col("of_id"), "left").drop("of_id")
+    joined = tidy.join(stays.withColumnRenamed("doc_id", "of_id"), F.col(f"c{ident}") == F.col("of_id"), "left").drop("of_id")
     return joined.mapInArrow(written, tidy.schema).toDF(*names)
 
 
@@ -324,15 +321,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     return counts.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 
-#: With one edit, halves of two lines are equal: DuckDB's own distance decides on lines that share one.
-ORACLE = """
+#: With one edit, halves of two lines are equal. Of lines that share one, DuckDB's distance, which counts bytes, tells which may be near, and code points decide.
+ORACLE = r"""
 WITH l AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line, unnest(ls) AS t, len(ls) AS n_lines FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL)),
-long AS (SELECT doc_id, line, t, length(t) AS n FROM l WHERE length(t) >= 20),
-firsts AS (SELECT t, n, min((doc_id, line)) AS pos FROM long GROUP BY t, n),
-keyed AS (SELECT pos, t, n, m, unnest([left(t, m // 2), right(t, m - m // 2)]) AS half, unnest([0, 1]) AS side FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts)),
-near AS (SELECT DISTINCT b.pos FROM keyed a JOIN keyed b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.pos < b.pos AND abs(a.n - b.n) <= 1 AND (a.m = a.n OR b.m = b.n) WHERE levenshtein(a.t, b.t) <= 1),
-gone AS (SELECT x.doc_id, x.line FROM long x JOIN firsts f USING (t, n) WHERE (x.doc_id, x.line) <> f.pos OR f.pos IN (SELECT pos FROM near)),
+worded AS (SELECT doc_id, line, t, length(t) AS n FROM l WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
+firsts AS (SELECT t, n, min((doc_id, line)) AS pos FROM worded GROUP BY t, n),
+keyed AS (SELECT pos, t, n, m, unnest([left(t, m // 2), right(t, m - m // 2)]) AS half, unnest([0, 1]) AS side FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts) WHERE m > 1),
+near AS (SELECT DISTINCT b.pos FROM keyed a JOIN keyed b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.pos < b.pos AND abs(a.n - b.n) <= 1 AND (a.m = a.n OR b.m = b.n) WHERE levenshtein(a.t, b.t) <= 4
+  AND CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.t[i] <> b.t[i])) <= 1
+      ELSE len(list_filter(range(0, least(a.n, b.n) + 1), lambda i: CASE WHEN a.n < b.n THEN left(b.t, i) || substr(b.t, i + 2) = a.t ELSE left(a.t, i) || substr(a.t, i + 2) = b.t END)) > 0 END),
+gone AS (SELECT x.doc_id, x.line FROM worded x JOIN firsts f USING (t, n) WHERE (x.doc_id, x.line) <> f.pos OR f.pos IN (SELECT pos FROM near)),
 went AS (SELECT doc_id, count(*) AS k, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS dropped FROM gone GROUP BY doc_id)
-SELECT d.doc_id, d.n_lines, d.n_long, d.n_lines - coalesce(k, 0) AS n_kept, coalesce(dropped, '') AS dropped
-FROM (SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (length(t) >= 20) AS n_long FROM l GROUP BY doc_id) d LEFT JOIN went USING (doc_id)
+SELECT d.doc_id, d.n_lines, d.n_worded, d.n_lines - coalesce(k, 0) AS n_kept, coalesce(dropped, '') AS dropped
+FROM (SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (regexp_matches(t, '[^\x20\x09-\x0D]')) AS n_worded FROM l GROUP BY doc_id) d LEFT JOIN went USING (doc_id)
 """
