@@ -19,8 +19,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, less the lines that an earlier one has, equal ones of any length that isn't blank; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs, equal_chars=1).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Every document, less the lines that an earlier one has or nearly has; n_chars, if there, follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
