@@ -13,6 +13,8 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,14 +22,14 @@ from pyspark.sql import DataFrame
 
 from cutloom.llm._tables import documents, picked
 
-KEY = b"cutloom pseudonyms: give your own key"
+KEY_CONF = "spark.cutloom.pii.key"
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
 
 #: The shapes. Each value starts where no letter, digit or value sign stands before it, so a long run is read once.
 _SHAPES = re.compile(
-    r"""(?P<email>(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}\b)
-    |(?P<secret>(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b["']?[ ]{0,3}[=:][ ]{0,3}["']?)(?P<value>[A-Za-z0-9_/+.~-]{6,}+)|\b(?:AKIA|ASIA)(?P<key_id>[A-Z0-9]{16})\b)
+    r"""(?P<email>(?<![.%+-])(?<!(?u:\w))(?u:[\w.%+-])++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}\b)
+    |(?P<secret>(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b["']?[ ]{0,3}[=:][ ]{0,3}["']?)(?P<value>[^\x00-\x20"'\x7f]{5,}[^\x00-\x20"'\x7f.,;:!?)\]}])|\b(?:AKIA|ASIA)(?P<key_id>[A-Z0-9]{16})\b)
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?+\b)
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}+(?![0-9])|(?<![\w+.-])\([2-9][0-9]{2}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+.-])[2-9][0-9]{2}(?P<dot>[.-])[2-9][0-9]{2}(?P=dot)[0-9]{4}(?![\w-]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
@@ -69,6 +71,9 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+_CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)]
+
+
 def _like(shape: str, symbols: str, wanted: Callable[[str], bool]) -> str:
     """shape with its wanted characters replaced, in order, by symbols."""
     left = iter(symbols)
@@ -80,8 +85,8 @@ def _digits(text: str) -> str:
 
 
 def _mixed(text: str, key: bytes, kind: str, back: bool, hexadecimal: bool = False) -> str:
-    """Each letter or digit to one of its class (lower case, capital, digit; or hexadecimal digit), all together as one mixed-radix number."""
-    classes = ["0123456789abcdef"] if hexadecimal else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    """Each letter or digit to one of its class (lower case, capital, digit, both cases of Latin-1's other letters; or hexadecimal digit), all together as one mixed-radix number."""
+    classes = ["0123456789abcdef"] if hexadecimal else _CLASSES
     value, size, places = 0, 1, []
     for at, c in enumerate(text):
         own = next((x for x in classes if c in x), None)
@@ -95,10 +100,15 @@ def _mixed(text: str, key: bytes, kind: str, back: bool, hexadecimal: bool = Fal
     return "".join(out)
 
 
-def _card(text, key, back):
+def _is_card(text: str) -> bool:
     digits = _digits(text)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    return luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _card(text, key, back):
+    if not _is_card(text):
         return None
+    digits = _digits(text)
     middle = permute(int(digits[1:-1]), 10 ** (len(digits) - 2), key, "card", back)
     payload = digits[0] + str(middle).zfill(len(digits) - 2)
     return _like(text, payload + luhn_digit(payload), str.isdigit)
@@ -156,7 +166,9 @@ def _ip(text, key, back):
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-_DAY_ONE, _DAY_LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: The days of 1900 to 2099 up to the twelfth of their months, and later ones. Only the latter can be written month first without being read day first,
+#: so each kind is permuted in itself: a day's pseudonym is the same in every order of its parts.
+_DAYS = [[n for n in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()) if (datetime.date.fromordinal(n).day > 12) == late] for late in (False, True)]
 
 
 def _date_parts(text: str) -> tuple[str, datetime.date] | None:
@@ -173,15 +185,13 @@ def _date_parts(text: str) -> tuple[str, datetime.date] | None:
 
 def _date(text, key, back):
     known = _date_parts(text)
-    if not known or not _DAY_ONE <= known[1].toordinal() <= _DAY_LAST:
+    if not known or not 1900 <= known[1].year <= 2099:
         return None
     order, day = known
-    sign = next(c for c in text if c in "/.-")
-    while True:
-        day = datetime.date.fromordinal(_DAY_ONE + permute(day.toordinal() - _DAY_ONE, _DAY_LAST - _DAY_ONE + 1, key, f"date{'mdy' * (order == 'mdy')}", back))
-        out = day.strftime({"ymd": f"%Y{sign}%m{sign}%d", "dmy": f"%d{sign}%m{sign}%Y", "mdy": f"%m{sign}%d{sign}%Y"}[order])
-        if _date_parts(out) == (order, day):
-            return out
+    late = day.day > 12
+    days, sign = _DAYS[late], next(c for c in text if c in "/.-")
+    new = datetime.date.fromordinal(days[permute(bisect_left(days, day.toordinal()), len(days), key, f"date{late}", back)])
+    return new.strftime({"ymd": f"%Y{sign}%m{sign}%d", "dmy": f"%d{sign}%m{sign}%Y", "mdy": f"%m{sign}%d{sign}%Y"}[order])
 
 
 def _email(text, key, back):
@@ -190,7 +200,11 @@ def _email(text, key, back):
 
 
 def _secret(value, key, back):
-    return _mixed(value, key, "secret", back, hexadecimal=bool(re.fullmatch("[0-9a-f]+", value)))
+    hexadecimal = lambda v: bool(re.fullmatch("[0-9a-f]+", v))
+    new = _mixed(value, key, "secret", back, hexadecimal(value))
+    while hexadecimal(new) != hexadecimal(value):
+        new = _mixed(new, key, "secret", back)
+    return new
 
 
 _MAPS = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
@@ -199,26 +213,44 @@ _MAPS = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn"
 _CARD_LIKE = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}", re.A)
 
 
-def _readings(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Where the value may stand: the whole match; else, as numbers or words may stand beside a card or IBAN, its parts between blanks and hyphens, those grouped like a card first, then the earliest and longest."""
+_CARD_RUN = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", re.A)
+
+
+def _readings(kind: str, text: str, start: int, end: int) -> tuple[list[tuple[int, int]], int]:
+    """Where the value may stand, and up to where the text decides it.
+
+    The whole match; else, as numbers or words may stand beside a card or IBAN, its parts between blanks and hyphens, those grouped like a card first,
+    then the earliest and longest. A phone number ends before the last valid card, grouped like one, that begins inside the match.
+    """
+    if kind == "phone":
+        reach = end
+        for gap in (k for k in range(end - 1, start, -1) if text[k] in " -"):
+            if m := _CARD_RUN.match(text, gap + 1):
+                reach = max(reach, m.end())
+                if any(a == gap + 1 and _CARD_LIKE.fullmatch(text, a, z) and _is_card(text[a:z]) for a, z in _readings("card", text, *m.span())[0]):
+                    return [(start, gap), (start, end)], reach
+        return [(start, end)], reach
     if kind not in ("card", "iban"):
-        return [(start, end)]
+        return [(start, end)], end
     gaps = [k for k in range(start, end) if text[k] in " -"]
     starts = [start, *[k + 1 for k in gaps]] if kind == "card" else [start]
     least = 13 if kind == "card" else 15
     parts = [(a, z) for a in starts for z in (end, *reversed(gaps)) if sum(c.isalnum() for c in text[a:z]) >= least and (a, z) != (start, end)]
-    return [(start, end), *sorted(parts, key=lambda p: not _CARD_LIKE.fullmatch(text, *p))]
+    return [(start, end), *sorted(parts, key=lambda p: not _CARD_LIKE.fullmatch(text, *p))], end
 
 
 def _next(text: str, at: int, key: bytes, back: bool) -> tuple[str, int, int, str, tuple[int, int] | None] | None:
-    """The first valid value from ``at`` on: kind, start, end, pseudonym, and the range of matches that were refused before it and reach it."""
+    """The first valid value from ``at`` on: kind, start, end, pseudonym, and the range of text that was refused before it, or decided where it ends, and reaches it."""
     refused = None
     while m := _SHAPES.search(text, at):
         kind = next(k for k in KINDS if m.group(k) is not None)
         start, end = m.span(kind if kind != "secret" else "value" if m["value"] else "key_id")
         if refused and refused[1] <= m.start():
             refused = None
-        for first, stop in _readings(kind, text, start, end):
+        readings, reach = _readings(kind, text, start, end)
+        if reach > end:
+            refused = (refused[0] if refused else m.start(), max(reach, refused[1] if refused else 0))
+        for first, stop in readings:
             new = _MAPS[kind](text[first:stop], key, back)
             if new is not None:
                 return kind, first, stop, new, refused
@@ -227,7 +259,7 @@ def _next(text: str, at: int, key: bytes, back: bool) -> tuple[str, int, int, st
     return None
 
 
-def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every valid value replaced, and (kind, start, length) of each. back undoes it.
 
     Where longer or earlier readings of the same characters were refused, the permutation is repeated until they
@@ -263,13 +295,15 @@ def _replaced(batches, key: bytes, back: bool):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in spans], pa.int64()), *counts, pa.array(spans, SPANS)], ["doc_id", "text", "n_pii", *[f"n_{k}" for k in KINDS], "spans"])
 
 
-def pseudonyms(docs: DataFrame, id_col="doc_id", text_col="text", key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, id_col="doc_id", text_col="text", back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, n_pii, a count for each kind, spans (kind, start and length in code points of the input).
 
     Kinds: payment cards (Luhn), IBANs (mod 97), US social security numbers, phone numbers (+country or
     North American), IPv4 addresses, calendar dates 1900-2099, local parts of e-mail addresses, and
-    values of password, token, secret and key assignments, and access key ids. What fails its validation stays. One row per
-    input row; a null text stays null with no spans, an empty one empty; other columns are ignored. No shuffle.
+    values of password, token, secret and key assignments (up to white space, a quote or closing punctuation), and access key ids. What fails its validation
+    stays, as do letters outside ASCII and Latin-1. Equal days written in different orders get equal days. One row per
+    input row, repeated rows and null ids too; a null text stays null with no spans, an empty one empty, long ones are read whole; an empty table gives an
+    empty one; other columns are ignored. No shuffle. Whoever has the key can undo it with ``back``: keep it out of the code.
     """
     rows = picked(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -278,4 +312,6 @@ def pseudonyms(docs: DataFrame, id_col="doc_id", text_col="text", key: bytes = K
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pseudonyms(documents(spark, sf_dir))
+    """The key is hexadecimal in spark.cutloom.pii.key; without one, a random key is drawn that nobody keeps."""
+    given = spark.conf.get(KEY_CONF, None)
+    return pseudonyms(documents(spark, sf_dir), bytes.fromhex(given) if given else secrets.token_bytes(32))
