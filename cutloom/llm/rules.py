@@ -20,8 +20,6 @@ from cutloom.llm._tables import documents, labels, materialize, picked
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 BINS = 32
-MOST_RULES = 12
-MOST_LITERALS = 3
 PRECISION = 0.9
 LEAST_COVERED = 3
 STATISTICS = ("n_words", "mean_word_chars", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "distinct_ratio", "capitals_ratio", "mark_ratio")
@@ -113,7 +111,9 @@ def _gain(bad: int, good: int, bad_before: int, good_before: int) -> float:
 def learn_rules(stats: DataFrame, marks: DataFrame, label_id_col="doc_id", label_col="quality", bad_label=0) -> list[list[Literal]]:
     """Conjunctions, in order; a row that one holds for is bad. Rows with a null label or id don't teach; without labels the list is empty.
 
-    The third that prunes is crc32(id) mod 3 = 0. Ties go to the first statistic and threshold by name and value.
+    A rule grows while a literal still gains, that is until no good row of the growing part is left in it or no literal tells bad from good; each literal
+    leaves fewer rows, and each rule covers LEAST_COVERED bad ones of the pruning part at least, so both end. An id with several labels teaches once for each, and
+    repeated rows once for each copy. The third that prunes is crc32(id) mod 3 = 0. Ties go to the first statistic and threshold by name and value.
     """
     c = F.col
     marked = marks.select(c(f"`{label_id_col}`").alias("doc_id"), (c(f"`{label_col}`") == bad_label).alias("bad")).filter("doc_id is not null and bad is not null")
@@ -130,9 +130,9 @@ def learn_rules(stats: DataFrame, marks: DataFrame, label_id_col="doc_id", label
     learning = materialize(taught.withColumn("bins", bins), "binned")
     rules: list[list[Literal]] = []
     uncovered = F.lit(True)
-    while len(rules) < MOST_RULES:
+    while True:
         grown: list[Literal] = []
-        while len(grown) < MOST_LITERALS:
+        while True:
             rows = learning.filter(~c("prunes") & uncovered & _conjunction(grown)).select("bad", F.explode("bins").alias("b")).groupBy("b.statistic", "b.bin").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
             counts = {(r["statistic"], r["bin"]): (r["bad"], r["n"] - r["bad"]) for r in rows}
             bad_all, good_all = (sum(v[k] for (s, _), v in counts.items() if s == STATISTICS[0]) for k in (0, 1))
@@ -147,7 +147,7 @@ def learn_rules(stats: DataFrame, marks: DataFrame, label_id_col="doc_id", label
                     options.append((_gain(*below, bad_all, good_all), Literal(s, False, t)))
                     options.append((_gain(bad_all - below[0], good_all - below[1], bad_all, good_all), Literal(s, True, t)))
             best = max(options, key=lambda o: o[0], default=(0.0, None))
-            if best[0] <= 1e-9:
+            if best[0] <= 1e-9:  # also a literal that leaves all rows
                 break
             grown.append(best[1])
         if not grown:
