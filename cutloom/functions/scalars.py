@@ -27,6 +27,37 @@ def make_range(start: Column, end: Column) -> Column:
     return F.when(start < end, F.struct(start.alias("start"), end.alias("end")))
 
 
+def range_from_duration(start: Column, duration: Column) -> Column:
+    """A (start, end) struct of that length, null unless it is over 0."""
+    return make_range(start, start + duration)
+
+
+def translate(x: Column, y: Column, dx: Column, dy: Column) -> Column:
+    return F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+
+
+def affine(x: Column, y: Column, m: tuple[float, float, float, float, float, float]) -> Column:
+    """(a x + b y + c, d x + e y + f)."""
+    a, b, c, d, e, f = m
+    return F.struct((x * a + y * b + c).alias("x"), (x * d + y * e + f).alias("y"))
+
+
+def size_area(width: Column, height: Column) -> Column:
+    return width * height
+
+
+def size_aspect(width: Column, height: Column) -> Column:
+    """width / height, null for a height of 0."""
+    return F.try_divide(width.cast("double"), height.cast("double"))
+
+
+def timecode(us: Column, fps: int = 25) -> Column:
+    """HH:MM:SS:FF of a time in microseconds, not under 0."""
+    part = lambda e: F.lpad(e.cast("string"), 2, "0")
+    s = F.floor(us / 1_000_000)
+    return F.concat_ws(":", part(F.floor(s / 3600)), part(F.floor(s / 60) % 60), part(s % 60), part(F.floor(us % 1_000_000 * fps / 1_000_000)))
+
+
 def range_duration(r: Column) -> Column:
     return r["end"] - r["start"]
 
@@ -169,6 +200,29 @@ def parse_points(text: Column) -> Column:
     return F.transform(pairs, lambda p: F.when(whole(p), F.struct(number(p, 0).alias("x"), number(p, 1).alias("y"))))
 
 
+def parse_boxes(text: Column) -> Column:
+    """'x1,y1,x2,y2 x1,y1,x2,y2' to an array of (x1, y1, x2, y2); entries that aren't four numbers are null."""
+    pairs = F.filter(F.split(F.trim(text), r"\s+"), lambda p: p != "")
+    number = lambda p, k: F.get(F.split(p, ","), F.lit(k)).try_cast("double")
+    names = ("x1", "y1", "x2", "y2")
+
+    def box(p):
+        whole = F.size(F.split(p, ",")) == 4
+        for k in range(4):
+            whole = whole & number(p, k).isNotNull()
+        return F.when(whole, F.struct(*[number(p, k).alias(n) for k, n in enumerate(names)]))
+
+    return F.transform(pairs, box)
+
+
+def parse_prompt(text: Column) -> Column:
+    """A prompt written as 'frame:object:points', as (frame, object, points); frame and object are 0 and 1 where they are left out or no numbers."""
+    parts = F.split(text, ":")
+    n = F.size(parts)
+    whole = lambda k, default: F.coalesce(F.get(parts, k).try_cast("int"), F.lit(default))
+    return F.struct(F.when(n > 2, whole(n - 3, 0)).otherwise(F.lit(0)).alias("frame"), F.when(n > 1, whole(n - 2, 1)).otherwise(F.lit(1)).alias("object"), parse_points(F.get(parts, n - 1)).alias("points"))
+
+
 def pad_labels(labels: Column, n: Column) -> Column:
     """Labels cut or filled with 1 to the number of points."""
     return F.slice(F.concat(labels, F.array_repeat(F.lit(1), n.cast("int"))), F.lit(1), n.cast("int"))

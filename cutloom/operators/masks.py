@@ -85,7 +85,7 @@ def alpha_ramp(objects: DataFrame) -> DataFrame:
 def top_alpha(masks: DataFrame, ramp: DataFrame, pixel: list[str], t: float = 0.5) -> DataFrame:
     """pixel, obj_id, alpha of the highest id whose mask is over t."""
     top = masks.filter(F.col("v") > t).groupBy(*pixel).agg(F.max("obj_id").alias("obj_id"))
-    return top.join(F.broadcast(ramp), "obj_id").select(*pixel, "obj_id", "alpha")  # one row an object id
+    return top.join(ramp, "obj_id").select(*pixel, "obj_id", "alpha")
 
 
 def mask_union(masks: DataFrame, pixel: list[str], t: float = 0.5) -> DataFrame:
@@ -102,6 +102,16 @@ def overlay(masks: DataFrame, pixel: list[str], base=(100, 100, 100), keep: floa
     return done.select(*pixel, *[F.floor(F.round(f"c.{k}", 6)).alias(k) for k in "rgb"])
 
 
+def red_overlay(masks: DataFrame, pixel: list[str], objects: list, base=(100, 100, 100), keep: float = 0.7, colour=(255, 0, 0), t: float = 0.5) -> DataFrame:
+    """pixel, r, g, b: the frame darkened to ``keep`` once for each of its objects, in order, with the rest of the colour added where the object's mask is over t; each step rounded, halves to even."""
+    found = masks.groupBy(*pixel).agg(F.collect_set(F.when(F.col("v") > t, F.col("obj_id"))).alias("ids"))
+    start = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("rgb", base, strict=True)])
+    shade = dict(zip("rgb", colour, strict=True))
+    step = lambda a, o: F.struct(*[F.least(F.rint(a[k] * keep + F.when(F.array_contains("ids", o), F.lit(float(shade[k])) * (1 - keep)).otherwise(F.lit(0.0))), F.lit(255.0)).alias(k) for k in "rgb"])
+    done = found.withColumn("c", F.aggregate(F.array(*[F.lit(o).cast(masks.schema["obj_id"].dataType) for o in objects]), start, step))
+    return done.select(*pixel, *[F.col(f"c.{k}").cast("long").alias(k) for k in "rgb"])
+
+
 def mask_scores(masks: DataFrame, truth: DataFrame, pixel: list[str], t: float = 0.5) -> DataFrame:
     """obj_id, iou, dice, precision, recall of two mask tables of the same pixels: one outer join and one aggregate."""
     a = masks.filter(F.col("v") > t).select(*pixel, "obj_id").withColumn("a", F.lit(1))

@@ -109,15 +109,14 @@ def adaptive_threshold_step(block: int = 11, c: float = 2.0) -> Callable[[DataFr
     radius = block // 2
 
     def run(images: DataFrame) -> DataFrame:
-        mean = R.box_filter(images, radius).select("image_id", F.col("pixels").alias("mean_"))
-        both = images.join(mean, "image_id")
+        both = images.withColumn("mean_", R.weighted("pixels", dict.fromkeys(R.window(radius), 1.0 / (2 * radius + 1) ** 2)))
         return both.withColumn("pixels", F.zip_with("pixels", "mean_", lambda v, m: F.when(v > m - c, F.lit(255.0)).otherwise(F.lit(0.0)))).drop("mean_")
 
     return run
 
 
 def blur_step(sigma: float = 1.0) -> Callable[[DataFrame], DataFrame]:
-    return lambda images: R.gaussian_blur(images, max(1, round(3 * sigma)))
+    return lambda images: R.blur_by_sigma(images, sigma)
 
 
 def minimum_area_step(least: float = 10.0) -> Callable[[DataFrame], DataFrame]:
@@ -286,7 +285,7 @@ def totals(shapes: DataFrame) -> DataFrame:
 def generalise(features: DataFrame, included, tolerance=0.01, least_ring=0.01, least_area=0.1, most: int | None = None) -> DataFrame:
     """Map features (name, rings) kept by name (``included`` is a list, or a table whose column name holds them), simplified, rounded and ordered: name, area, box, mid, rings.
 
-    Rings of fewer than 4 points go, holes under least_ring too; a feature whose exterior goes is left out (a hole never
+    Rings of fewer than 4 points, before or after simplification, go, holes under least_ring too; a feature whose exterior goes is left out (a hole never
     takes its place); so is one whose bounding box covers less than least_area. Ordered by that area, largest first, then by name.
     """
     chosen = features.join(included.select("name").distinct(), "name", "left_semi") if isinstance(included, DataFrame) else features.filter(F.col("name").isin(*included))
@@ -304,7 +303,11 @@ def generalise(features: DataFrame, included, tolerance=0.01, least_ring=0.01, l
                         if not k:
                             break
                         continue
-                    kept.append([{"x": x, "y": y} for x, y in G.visvalingam(points, tolerance).tolist()])
+                    simple = G.visvalingam(points, tolerance).tolist()
+                    if len(simple) >= 4:
+                        kept.append([{"x": x, "y": y} for x, y in simple])
+                    elif not k:
+                        break
                 out.append(kept)
             at = batch.schema.get_field_index("rings")
             yield batch.set_column(at, "rings", pa.array(out, kind))

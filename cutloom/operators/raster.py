@@ -71,6 +71,44 @@ def gaussian_blur(images: DataFrame, radius: int) -> DataFrame:
     return convolve(images, gaussian(radius)) if radius else images
 
 
+def clamped(pixels: str, i: Column, dx: int, dy: int) -> Column:
+    """The pixel dx to the right of and dy below pixel i, or the nearest one of the image."""
+    w, h = F.col("width"), F.col("height")
+    x, y = F.least(F.greatest(i % w + dx, F.lit(0)), w - 1), F.least(F.greatest(F.floor(i / w) + dy, F.lit(0)), h - 1)
+    return F.get(pixels, (y * w + x).cast("int"))
+
+
+def blur_by_sigma(images: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian blur whose window reaches 2 sigma, weights summing to 1, borders repeated: one pass along the rows and one along the columns."""
+    radius = math.ceil(2 * sigma)
+    raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
+    weights = list(zip(range(-radius, radius + 1), [v / sum(raw) for v in raw], strict=True))
+    for across in (True, False):
+        images = images.withColumn("pixels", each_pixel(lambda i, across=across: sum((clamped("pixels", i, k * across, k * (not across)) * w for k, w in weights), F.lit(0.0))))
+    return images
+
+
+def motion_blur(images: DataFrame, length: int = 3) -> DataFrame:
+    """Mean of the pixel and the length - 1 to the right of it; missing ones count 0."""
+    return convolve(images, {(dx, 0): 1.0 / length for dx in range(length)})
+
+
+def efficient_pipeline(images: DataFrame, radius=2, edge=0.15, most=1.0) -> DataFrame:
+    """Blur, outline and threshold in one plan without intermediate tables, which is how every chain here runs."""
+    return blur_outline_threshold(images, radius, edge, most)
+
+
+def iterated(step: Callable[[DataFrame], DataFrame], times: int) -> Callable[[DataFrame], DataFrame]:
+    """step, so many times in a row: iterated(erode, 2)(images)."""
+
+    def run(images: DataFrame) -> DataFrame:
+        for _ in range(times):
+            images = step(images)
+        return images
+
+    return run
+
+
 def box_filter(images: DataFrame, radius: int = 1) -> DataFrame:
     size = (2 * radius + 1) ** 2
     return convolve(images, dict.fromkeys(window(radius), 1.0 / size))
@@ -128,6 +166,15 @@ def grayscale(r: Column, g: Column, b: Column) -> Column:
     return r * 0.299 + g * 0.587 + b * 0.114
 
 
+def grayscale_image(images: DataFrame, channels: int = 3, planar: bool = False) -> DataFrame:
+    """Colour images to grey ones. pixels holds ``channels`` values a pixel, together or (planar) one plane after the other; a fourth channel becomes the column alpha."""
+    n = F.col("width") * F.col("height")
+    at = lambda i, k: F.get("pixels", ((i + n * k) if planar else (i * channels + k)).cast("int"))
+    grey = each_pixel(lambda i: grayscale(at(i, 0), at(i, 1), at(i, 2)))
+    kept = images.withColumn("alpha", each_pixel(lambda i: at(i, 3))) if channels == 4 else images
+    return kept.withColumn("pixels", grey)
+
+
 def resize_nearest(images: DataFrame, width: int, height: int) -> DataFrame:
     """Source pixel floor(x * w / width), floor(y * h / height)."""
     w, h = F.col("width"), F.col("height")

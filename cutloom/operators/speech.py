@@ -64,6 +64,13 @@ def skeleton_segments(utterances: DataFrame, min_gap_us=2_000_000, max_us=300_00
     return numbered.select("media_id", F.col("seg").cast("long").alias("seg"), "start_us", "end_us", name.alias("name"), text.alias("description"))
 
 
+def speaker_cuts(utterances: DataFrame) -> DataFrame:
+    """media_id, utt_id, cut_us: where another speaker begins than the one before, half-way through the gap (or overlap) between them."""
+    order = Window.partitionBy("media_id").orderBy("s_us", "utt_id")
+    seen = utterances.withColumns({"was_": F.lag("speaker").over(order), "end_": F.lag("e_us").over(order)})
+    return seen.filter(F.col("was_") != F.col("speaker")).select("media_id", "utt_id", F.expr("(s_us + end_) div 2").alias("cut_us"))
+
+
 def spanning(df: DataFrame, start: str, end: str, width_us: int) -> DataFrame:
     """df with a row for each time bucket that [start, end] touches."""
     return df.withColumn("bucket", F.explode(F.sequence(F.expr(f"{start} div {width_us}"), F.expr(f"{end} div {width_us}"))))

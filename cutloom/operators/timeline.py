@@ -55,19 +55,42 @@ def sequentise(frames: DataFrame, start_us: int, end_us: int, fps: float = 25.0)
 
 def reverse(frames: DataFrame, frame_us: int = FRAME_US) -> DataFrame:
     """Frames in reverse order; times are mirrored, so the first is 0 again."""
-    return frames.withColumns({"idx": F.max("idx").over(by_clip()) - F.col("idx"), "pts_us": F.max("pts_us").over(by_clip()) - F.col("pts_us")})
+    return _with_ends(frames).withColumns({"idx": F.col("top_") - F.col("idx"), "pts_us": F.col("last_") - F.col("pts_us")}).select(*frames.columns)
+
+
+def _with_ends(frames: DataFrame) -> DataFrame:
+    """frames with top_ and last_, its clip's greatest idx and pts_us: an aggregate joined back, so a long clip is a join Spark can split, not one task's window. Null clip ids are one clip."""
+    ends = frames.groupBy(F.col("clip_id").alias("of_")).agg(F.max("idx").alias("top_"), F.max("pts_us").alias("last_"))
+    return frames.join(ends, F.col("clip_id").eqNullSafe(F.col("of_"))).drop("of_")
 
 
 def loop(frames: DataFrame, frame_us: int = FRAME_US) -> DataFrame:
-    """Forward, then reversed: twice the frames, the turning one twice. Each frame becomes two rows, so the clip is read once."""
-    top, last = F.max("idx").over(by_clip()), F.max("pts_us").over(by_clip())
-    both = frames.withColumns({"top_": top, "last_": last}).withColumn("turn_", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Forward, then reversed: twice the frames, the turning one twice. Each frame becomes two rows."""
+    both = _with_ends(frames).withColumn("turn_", F.explode(F.array(F.lit(0), F.lit(1))))
     back = F.col("turn_") == 1
     idx = F.when(back, 2 * F.col("top_") + 1 - F.col("idx")).otherwise(F.col("idx"))
     pts = F.when(back, 2 * F.col("last_") + frame_us - F.col("pts_us")).otherwise(F.col("pts_us"))
     return both.withColumns({"idx": idx, "pts_us": pts}).select(*frames.columns)
 
 
+def has_audio(frames: DataFrame, audio: DataFrame) -> DataFrame:
+    """clip_id, has_audio of every clip of frames."""
+    heard = audio.select("clip_id").distinct().withColumn("has_audio", F.lit(True))
+    return frames.select("clip_id").distinct().join(heard, "clip_id", "left").fillna(False, ["has_audio"])
+
+
+def make_loop(frames: DataFrame, audio: DataFrame | None = None, keep_reversed: bool = False, sample_us: int = FRAME_US) -> DataFrame:
+    """Every clip forward, then reversed, its sound too where it has any; rows as in frames, and part: 'video', 'audio' and, if kept, 'reversed' and 'reversed audio'."""
+    parts = {"video": loop(frames)} | ({"audio": loop(audio, sample_us)} if audio is not None else {})
+    if keep_reversed:
+        parts |= {"reversed": reverse(frames)} | ({"reversed audio": reverse(audio)} if audio is not None else {})
+    out = None
+    for name, df in parts.items():
+        named = df.withColumn("part", F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def poster(frames: DataFrame, at_us: int) -> DataFrame:
     """clip_id, idx, pts_us, payload of each clip's frame nearest to the time (the earlier of two)."""
     best = frames.groupBy("clip_id").agg(F.min_by(F.struct("idx", "pts_us", "payload"), F.struct(F.abs(F.col("pts_us") - at_us), F.col("idx"))).alias("f"))
@@ -93,5 +116,9 @@ class Timeline:
     def loop(self) -> Timeline:
         return Timeline(loop(self.frames), self.first_splice_us)
 
+    def poster(self) -> DataFrame:
+        """Each clip's frame nearest to where the first splice begins, or to 0."""
+        return poster(self.frames, self.first_splice_us or 0)
+
     def save(self, path: str, mode: str = "error") -> None:
         self.frames.write.mode(mode).parquet(path)

@@ -68,10 +68,11 @@ QUERIES = {
     "frame_picks": _picks,
     "mask_object_sets": _objects,
     "mask_visualise": _laid,
+    "mask_red_overlay": lambda s, d: M.red_overlay(A.presence(s, d), PX, [1, 2, 3, 4, 5]),
     "image_outlines": _outlines,
     "image_outline_totals": _totals,
     "map_generalise": _map,
-    "letterbox_normalise": lambda s, d: R.pixels_of(R.letterbox(A.rasters(s, d).withColumn("height", F.lit(4)).withColumn("pixels", F.slice("pixels", 1, 32)), 16), 6),
+    "letterbox_normalise": lambda s, d: R.pixels_of(R.letterbox(A.rasters(s, d).withColumns({"width": F.lit(16), "height": F.lit(4)}), 24), 6),
     "parameter_names": lambda s, d: A.read(s, d, "nation").select("n_nationkey", M.renamed_parameter(F.concat(F.lit("encoder.blocks."), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 3 == 0, F.lit(".norm1.weight")).when(F.col("n_nationkey") % 3 == 1, F.lit(".attn.qkv.bias")).otherwise(F.lit(".mlp.fc1.weight")))).alias("name")),
     "command_registry": lambda s, d: O.command_table(s).fillna("", ["parameter", "parameter_description"]),
 }
@@ -87,6 +88,17 @@ def _blend_sql(channel: int) -> str:
     return f"CAST({value} AS BIGINT)"
 
 
+def _text(text: str | None) -> str:
+    return "'" + (text or "").replace("'", "''") + "'"
+
+
+def _red_sql(colour: int) -> str:
+    value = "100.0::DOUBLE"
+    for k in range(1, 6):
+        value = f"round_even({value} * 0.7::DOUBLE + CASE WHEN o{k} THEN {colour}.0::DOUBLE * 0.3::DOUBLE ELSE 0.0::DOUBLE END, 0)"
+    return f"CAST({value} AS BIGINT)"
+
+
 ORACLE = {
     "cues_json": f"WITH {A.CUES} SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS nth, start_ms, end_ms, text, speaker FROM cues",
     "subtitle_rows": f"WITH {A.UTTERANCES} SELECT media_id, utt_id, s_us AS start_us, e_us AS end_us, transcript AS text, 'Speaker ' || CAST(speaker AS VARCHAR) AS speaker, 'en' AS language FROM utterances",
@@ -98,7 +110,10 @@ c AS (SELECT py, count(DISTINCT coalesce(s, '')) AS codes FROM sets GROUP BY py)
 SELECT p.py, count(DISTINCT obj_id) AS objects, string_agg(DISTINCT CAST(obj_id AS VARCHAR), ',' ORDER BY CAST(obj_id AS VARCHAR)) AS ids, any_value(codes) AS codes FROM presence p JOIN c ON p.py = c.py WHERE v > 0.5 GROUP BY p.py""",
     "mask_visualise": f"""WITH {A.PRESENCE}, o AS (SELECT px, py, {', '.join(f'bool_or(obj_id = {k} AND v > 0.5) AS o{k}' for k in range(1, 6))} FROM presence GROUP BY ALL)
 SELECT px, py, {', '.join(f'{_blend_sql(k)} AS {c}' for k, c in enumerate('rgb'))} FROM o""",
-    "letterbox_normalise": f"""WITH {A.RASTERS}, g AS (SELECT image_id, i % 16 AS x, i // 16 AS y FROM (SELECT DISTINCT image_id FROM px), range(256) r(i))
-SELECT g.image_id, CAST(g.x AS INTEGER) AS x, CAST(g.y AS INTEGER) AS y, round(coalesce(p.v, 0.0), 6) + 0.0 AS v FROM g LEFT JOIN px p ON p.image_id = g.image_id AND g.y BETWEEN 4 AND 11 AND p.x = g.x // 2 AND p.y = (g.y - 4) // 2""",
+    "letterbox_normalise": f"""WITH {A.RASTERS}, g AS (SELECT image_id, i % 24 AS x, i // 24 AS y FROM (SELECT DISTINCT image_id FROM px), range(576) r(i))
+SELECT g.image_id, CAST(g.x AS INTEGER) AS x, CAST(g.y AS INTEGER) AS y, round(coalesce(p.v, 0.0), 6) + 0.0 AS v FROM g LEFT JOIN px p ON p.image_id = g.image_id AND g.y BETWEEN 9 AND 14 AND p.y * 8 + p.x = (g.y - 9) * 4 // 6 * 16 + g.x * 16 // 24""",
+    "command_registry": "SELECT * FROM (VALUES " + ", ".join(f"({_text(name)}, {_text(text)}, {_text(p)}, {_text(about)}, {str(p is not None).lower()})" for name, (text, parameters) in O.COMMANDS.items() for p, about in parameters or ((None, None),)) + ") v(command, description, parameter, parameter_description, required)",
+    "mask_red_overlay": f"""WITH {A.PRESENCE}, o AS (SELECT px, py, {', '.join(f'bool_or(obj_id = {k} AND v > 0.5) AS o{k}' for k in range(1, 6))} FROM presence GROUP BY ALL)
+SELECT px, py, {_red_sql(255)} AS r, {_red_sql(0)} AS g, {_red_sql(0)} AS b FROM o""",
     "parameter_names": """SELECT n_nationkey, 'encoder.blocks.' || CAST(n_nationkey AS VARCHAR) || CASE n_nationkey % 3 WHEN 0 THEN '.norm1.gamma' WHEN 1 THEN '.attn.query.bias' ELSE '.mlp.fc1.weight' END AS name FROM nation""",
 }

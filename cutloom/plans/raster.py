@@ -12,8 +12,10 @@ def _scaled(s, d):
 
 
 def _grey(s, d):
-    at = lambda k: F.get("pixels", F.lit(k))
-    return A.rasters(s, d).select("image_id", F.round(R.grayscale(at(0), at(1), at(2)), 6).alias("grey"))
+    """The 64 values as a 4 x 4 image of red, green, blue and alpha."""
+    small = A.rasters(s, d).withColumns({"width": F.lit(4), "height": F.lit(4)})
+    both = R.grayscale_image(small, 4).select("image_id", F.posexplode(F.arrays_zip(F.col("pixels").alias("grey"), F.col("alpha").alias("alpha"))).alias("i", "p"))
+    return both.select("image_id", "i", F.round("p.grey", 6).alias("grey"), F.round("p.alpha", 6).alias("alpha"))
 
 
 def _pyramid(s, d):
@@ -71,6 +73,11 @@ QUERIES = {
     "raster_boundary": lambda s, d: R.boundary(A.rasters(s, d), 0.0),
     "raster_otsu": lambda s, d: R.otsu_threshold(A.rasters(s, d)),
     "raster_kernel_batches": lambda s, d: R.pixels_of(R.kernel_batches(A.rasters(s, d), R.gaussian(2))),
+    "raster_close": lambda s, d: R.pixels_of(R.morphology_close(A.rasters(s, d), 3)),
+    "raster_erode_twice": lambda s, d: R.pixels_of(R.iterated(R.erode, 2)(A.rasters(s, d))),
+    "raster_motion_blur": lambda s, d: R.pixels_of(R.motion_blur(A.rasters(s, d), 3)),
+    "raster_blur_by_sigma": lambda s, d: R.pixels_of(R.blur_by_sigma(A.rasters(s, d), 1.0)),
+    "raster_advanced": lambda s, d: R.pixels_of(R.advanced_pipeline(A.rasters(s, d), 2, 3, 0.15)),
     "raster_sharpen": lambda s, d: R.pixels_of(R.sharpen(A.rasters(s, d))),
     "raster_median": lambda s, d: R.pixels_of(R.median_filter(A.rasters(s, d), 1)),
     "raster_pyramid": _pyramid,
@@ -123,7 +130,13 @@ ORACLE = {
     "raster_open": f"WITH {A.RASTERS}, {_K1}, er AS ({_pick('least', 'px')}), o AS ({_pick('greatest', 'er')}) {_out()}",
     "raster_pipeline": f"WITH {A.RASTERS}, {_KXY}, {_kernel('g', R.gaussian(2))}, bl AS ({_conv('g')}), {_SOBEL('bl')} {_out('CASE WHEN v > 0.15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'so')}",
     "raster_minmax": f"WITH {A.RASTERS}, o AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image_id)) {_out('CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 255) ELSE 0.0 END')}",
-    "raster_grayscale": "SELECT vec_id AS image_id, round(CAST(embedding[1] AS DOUBLE) * 0.299::DOUBLE + CAST(embedding[2] AS DOUBLE) * 0.587::DOUBLE + CAST(embedding[3] AS DOUBLE) * 0.114::DOUBLE, 6) AS grey FROM embeddings",
+    "raster_grayscale": "SELECT vec_id AS image_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[4 * i + 1] AS DOUBLE) * 0.299::DOUBLE + CAST(embedding[4 * i + 2] AS DOUBLE) * 0.587::DOUBLE + CAST(embedding[4 * i + 3] AS DOUBLE) * 0.114::DOUBLE, 6) AS grey, round(CAST(embedding[4 * i + 4] AS DOUBLE), 6) AS alpha FROM embeddings, range(16) r(i)",
+    "raster_close": f"WITH {A.RASTERS}, {_K1}, di AS ({_pick('greatest', 'px')}), o AS ({_pick('least', 'di')}) {_out()}",
+    "raster_erode_twice": f"WITH {A.RASTERS}, {_K1}, er AS ({_pick('least', 'px')}), o AS ({_pick('least', 'er')}) {_out()}",
+    "raster_motion_blur": f"WITH {A.RASTERS}, {_kernel('g', {(k, 0): 1.0 / 3 for k in range(3)})}, o AS ({_conv('g')}) {_out()}",
+    "raster_blur_by_sigma": f"""WITH {A.RASTERS}, k(dx, w) AS (SELECT i - 2, exp(-(i - 2) * (i - 2) / 2.0::DOUBLE) / (1 + 2 * exp(-0.5::DOUBLE) + 2 * exp(-2.0::DOUBLE)) FROM range(5) r(i)),
+o AS (SELECT p.image_id, p.x, p.y, sum(q.v * a.w * b.w) AS v FROM px p, k a, k b JOIN px q ON true WHERE q.image_id = p.image_id AND q.x = greatest(0, least(7, p.x + a.dx)) AND q.y = greatest(0, least(7, p.y + b.dx)) GROUP BY ALL) {_out()}""",
+    "raster_advanced": f"WITH {A.RASTERS}, {_K1}, {_KXY}, {_kernel('g', R.gaussian(2))}, bl AS ({_conv('g')}), {_SOBEL('bl')}, er AS ({_pick('least', 'so')}), di AS ({_pick('greatest', 'er')}) {_out('CASE WHEN v > 0.15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'di')}",
     "raster_resize_nearest": f"WITH {A.RASTERS}, o AS (SELECT p.image_id, i % 5 AS x, i // 5 AS y, p.v FROM range(55) r(i) JOIN px p ON p.x = (i % 5) * 8 // 5 AND p.y = (i // 5) * 8 // 11) {_out('round(v, 6) + 0.0')}",
     "raster_box_smooth": f"""WITH {A.RASTERS}, sc AS (SELECT image_id, x, y, floor((v + 1) * 127) AS v FROM px), {_K1}, s AS ({_conv('k1', 'sc')}),
 o AS (SELECT sc.image_id, sc.x, sc.y, CASE WHEN sc.x BETWEEN 1 AND 6 AND sc.y BETWEEN 1 AND 6 THEN floor(s.v / 9) ELSE sc.v END AS v FROM sc JOIN s USING (image_id, x, y)) {_out('v')}""",

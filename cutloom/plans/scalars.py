@@ -104,3 +104,31 @@ SELECT p_partkey, 1, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 1.5::DOUBLE END,
     "language_codes": f"SELECT doc_id, CASE WHEN lang IN {S.LANGUAGES!r} THEN lang WHEN lang IS NOT NULL THEN 'en_US' END AS code, CASE doc_id % 4 WHEN 0 THEN 'Nova3' WHEN 1 THEN 'Nova2' WHEN 2 THEN 'Nova3' ELSE 'Nova2' END AS model FROM documents",
     "coordinate_rounding": f"WITH {A.RINGS} SELECT shape_id, CAST(k AS INTEGER) AS k, sign(x) * floor(abs(x) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS x, sign(y) * floor(abs(y) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS y FROM pts",
 }
+
+
+def _shapes(s, d):
+    p = A.read(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("w"), (F.col("p_partkey") % 9).cast("double").alias("h"))
+    moved = S.translate(F.col("w"), F.col("h"), F.lit(1.5), F.lit(-2.0))
+    turned = S.affine(F.col("w"), F.col("h"), (0.0, -1.0, 10.0, 1.0, 0.0, 0.5))
+    span = S.range_from_duration(F.col("p_partkey"), F.col("w").cast("long") - 25)
+    return p.select(
+        "p_partkey", S.size_area(F.col("w"), F.col("h")).alias("area"), F.round(S.size_aspect(F.col("w"), F.col("h")), 6).alias("aspect"), moved["x"].alias("mx"), moved["y"].alias("my"),
+        turned["x"].alias("tx"), turned["y"].alias("ty"), F.coalesce(span["end"], F.lit(-1)).alias("range_end"), S.timecode(F.col("p_partkey") * 7_654_321).alias("timecode"),
+    )
+
+
+def _prompts(s, d):
+    """Boxes and a prompt written out of each part's numbers, every seventh box not whole, and read again."""
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    boxes = F.concat(k, F.lit(","), z, F.lit(",10.5,"), F.when(F.col("p_partkey") % 7 == 0, F.lit("x")).otherwise(z), F.lit("  1,2,3,4"))
+    p = A.read(s, d, "part").select("p_partkey", S.parse_boxes(boxes).alias("b"), S.parse_prompt(F.concat(z, F.lit(":2:"), k, F.lit(",5"))).alias("q"))
+    return p.select("p_partkey", F.size("b").alias("n"), F.col("b")[0]["x1"].alias("x1"), F.col("b")[0]["y2"].alias("y2"), F.col("b")[1]["y2"].alias("second"), "q.frame", "q.object", F.col("q.points")[0]["x"].alias("px"))
+
+
+QUERIES |= {"shape_scalars": _shapes, "prompt_parse": _prompts}
+ORACLE |= {
+    "shape_scalars": """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS w, CAST(p_partkey % 9 AS DOUBLE) AS h, p_partkey * 7654321 AS us FROM part)
+SELECT p_partkey, w * h AS area, CASE WHEN h <> 0 THEN round(w / h, 6) END AS aspect, w + 1.5 AS mx, h - 2.0 AS my, 10.0 - h AS tx, w + 0.5 AS ty, CASE WHEN w > 25 THEN p_partkey + CAST(w AS BIGINT) - 25 ELSE -1 END AS range_end,
+  concat_ws(':', CASE WHEN us // 3600000000 < 100 THEN lpad(CAST(us // 3600000000 AS VARCHAR), 2, '0') ELSE left(CAST(us // 3600000000 AS VARCHAR), 2) END, lpad(CAST(us // 60000000 % 60 AS VARCHAR), 2, '0'), lpad(CAST(us // 1000000 % 60 AS VARCHAR), 2, '0'), lpad(CAST(us % 1000000 * 25 // 1000000 AS VARCHAR), 2, '0')) AS timecode FROM p""",
+    "prompt_parse": """SELECT p_partkey, 2 AS n, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey AS DOUBLE) END AS x1, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS y2, 4.0::DOUBLE AS second, CAST(p_size AS INTEGER) AS frame, 2 AS object, CAST(p_partkey AS DOUBLE) AS px FROM part""",
+}

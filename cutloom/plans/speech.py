@@ -13,6 +13,7 @@ TENTHS = "CAST((({0}) + 50000) // 100000 // 10 AS VARCHAR) || '.' || CAST((({0})
 QUERIES = {
     "speech_natural_breaks": lambda s, d: speech.natural_breaks(A.utterances(s, d)),
     "speech_skeleton_segments": lambda s, d: speech.skeleton_segments(A.utterances(s, d), MIN_GAP, MAX),
+    "speech_speaker_cuts": lambda s, d: speech.speaker_cuts(A.utterances(s, d)),
     "speech_optimal_cuts": lambda s, d: speech.optimal_cuts(A.utterances(s, d), A.desired(s, d)),
     "speech_by_speaker": lambda s, d: speech.by_speaker(A.utterances(s, d)),
     "range_overlaps": lambda s, d: speech.overlapping_pairs(A.utterances(s, d)),
@@ -52,6 +53,8 @@ ORACLE = {
   SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us, end_us) AS seg FROM (SELECT * FROM parts UNION ALL SELECT * FROM tails WHERE start_us < end_us))
 SELECT media_id, seg, start_us, end_us, 'segment_' || CASE WHEN seg < 1000 THEN lpad(CAST(seg AS VARCHAR), 3, '0') ELSE CAST(seg AS VARCHAR) END AS name,
   'Natural segment ' || CAST(seg AS VARCHAR) || ' (' || {TENTHS.format('start_us')} || 's - ' || {TENTHS.format('end_us')} || 's, duration: ' || {TENTHS.format('end_us - start_us')} || 's)' AS description FROM numbered""",
+    "speech_speaker_cuts": f"""WITH {A.UTTERANCES}, seen AS (SELECT *, lag(speaker) OVER w AS was, lag(e_us) OVER w AS before FROM utterances WINDOW w AS (PARTITION BY media_id ORDER BY s_us, utt_id))
+SELECT media_id, utt_id, (s_us + before) // 2 AS cut_us FROM seen WHERE was <> speaker""",
     "speech_optimal_cuts": f"""WITH {A.UTTERANCES}, {A.DESIRED}, {_first('s', 'start_us')}, {_first('e', 'end_us')}
 SELECT d.media_id, d.seg_id, d.start_us AS wanted_start_us, d.end_us AS wanted_end_us,
   CASE WHEN su.seg_id IS NULL THEN d.start_us WHEN d.start_us - su.s_us < su.e_us - d.start_us THEN su.s_us - 100000 ELSE su.e_us + 100000 END AS start_us,

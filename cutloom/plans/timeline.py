@@ -1,5 +1,7 @@
 """Timeline queries over ``lineitem``, an order being a clip of 25 frames a second."""
 
+from pyspark.sql import functions as F
+
 from cutloom.operators import timeline as T
 from cutloom.sources import adapters as A
 
@@ -21,7 +23,18 @@ REVERSED = "reversed AS (SELECT clip_id, max(idx) OVER w - idx AS idx, max(pts_u
 LOOPED = """looped AS (SELECT clip_id, idx, pts_us, payload FROM {0} UNION ALL
   SELECT clip_id, 2 * max(idx) OVER w + 1 - idx, 2 * max(pts_us) OVER w + 40000 - pts_us, payload FROM {0} WINDOW w AS (PARTITION BY clip_id))"""
 
+
+
+def _made(s, d):
+    """Loops with the reversed clips kept; the clips of urgent orders have sound, a sample a frame."""
+    frames = A.frames(s, d)
+    urgent = A.read(s, d, "orders").filter("o_orderpriority < '3'").select(F.col("o_orderkey").alias("clip_id"))
+    return T.make_loop(frames, frames.join(urgent, "clip_id", "left_semi").withColumn("payload", -F.col("payload")), keep_reversed=True)
+
+
 QUERIES = {
+    "timeline_make_loop": _made,
+    "timeline_chain_poster": lambda s, d: T.Timeline(A.frames(s, d)).splice(SEGMENTS).poster(),
     "timeline_splice": lambda s, d: T.splice(A.frames(s, d), SEGMENTS),
     "timeline_sequentise": lambda s, d: T.sequentise(A.frames(s, d), 20_000, 320_000, 30.0),
     "timeline_reverse": lambda s, d: T.reverse(A.frames(s, d)),
@@ -30,6 +43,10 @@ QUERIES = {
     "timeline_chain": lambda s, d: T.Timeline(A.frames(s, d)).splice(SEGMENTS).reverse().loop().frames,
 }
 ORACLE = {
+    "timeline_make_loop": f"""WITH {A.FRAMES}, {LOOPED.format('frames')}, {REVERSED.format('frames')}, heard AS (SELECT o_orderkey FROM orders WHERE o_orderpriority < '3')
+SELECT {OUT}, 'video' AS part FROM looped UNION ALL SELECT {OUT}, 'reversed' FROM reversed
+UNION ALL SELECT clip_id, idx, pts_us, -payload, 'audio' FROM looped WHERE clip_id IN (FROM heard) UNION ALL SELECT clip_id, idx, pts_us, -payload, 'reversed audio' FROM reversed WHERE clip_id IN (FROM heard)""",
+    "timeline_chain_poster": f"WITH {A.FRAMES}, {SPLICED} SELECT {OUT} FROM spliced QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY abs(pts_us - {SEGMENTS[0][0]}), idx) = 1",
     "timeline_splice": f"WITH {A.FRAMES}, {SPLICED} SELECT {OUT} FROM spliced",
     "timeline_sequentise": f"""WITH {A.FRAMES}, shots AS (SELECT clip_id, shot, 20000 + CAST(floor(shot * 1000000 / 30.0::DOUBLE) AS BIGINT) AS t_us FROM (SELECT DISTINCT clip_id FROM frames), range(9) r(shot))
 SELECT s.clip_id, s.shot, s.t_us, max(f.idx) AS idx, arg_max(f.payload, f.idx) AS payload FROM shots s JOIN frames f ON f.clip_id = s.clip_id AND f.pts_us <= s.t_us GROUP BY ALL""",

@@ -29,13 +29,17 @@ UTTERANCES = """utterances AS (
 
 
 def desired(spark, sf_dir) -> DataFrame:
-    """A wished segment for every fifth utterance: from a third into it to an hour later."""
-    u = utterances(spark, sf_dir).filter("utt_id % 5 = 0")
+    """A wished segment for every utterance, from a third into it to an hour later, and the 24 hours of each medium's first day, most of which meet no utterance."""
+    u = utterances(spark, sf_dir)
     start = F.expr("s_us + (e_us - s_us) div 3")
-    return u.select("media_id", F.col("utt_id").alias("seg_id"), start.alias("start_us"), (start + 3_600_000_000).alias("end_us"))
+    said = u.select("media_id", F.col("utt_id").alias("seg_id"), start.alias("start_us"), (start + 3_600_000_000).alias("end_us"))
+    hours = u.select("media_id").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    fixed = hours.select("media_id", (-(F.col("media_id") * 24 + F.col("hour")) - 1).alias("seg_id"), (F.col("hour") * F.lit(3_600_000_000)).alias("start_us"), ((F.col("hour") + 1) * F.lit(3_600_000_000)).alias("end_us"))
+    return said.unionByName(fixed)
 
 
-DESIRED = "desired AS (SELECT media_id, utt_id AS seg_id, s_us + (e_us - s_us) // 3 AS start_us, s_us + (e_us - s_us) // 3 + 3600000000 AS end_us FROM utterances WHERE utt_id % 5 = 0)"
+DESIRED = """desired AS (SELECT media_id, utt_id AS seg_id, s_us + (e_us - s_us) // 3 AS start_us, s_us + (e_us - s_us) // 3 + 3600000000 AS end_us FROM utterances
+  UNION ALL SELECT media_id, -(media_id * 24 + h) - 1, h * 3600000000, (h + 1) * 3600000000 FROM (SELECT DISTINCT media_id FROM utterances), range(24) r(h))"""
 
 
 def frames(spark, sf_dir) -> DataFrame:

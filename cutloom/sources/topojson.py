@@ -11,7 +11,7 @@ from cutloom.operators.geometry import RING
 
 
 def decode(document: str, object_name: str) -> list[tuple[str | None, list[list[tuple[float, float]]]]]:
-    """(name, rings) of the object's polygons; of a multipolygon all rings in a row. Arc ~k is arc k backwards; a quantised topology's arcs are steps, scaled and moved."""
+    """(name, rings) of each of the object's polygons; a multipolygon gives one for each of its own, under one name. Arc ~k is arc k backwards; a quantised topology's arcs are steps, scaled and moved."""
     topology = json.loads(document)
     scale, move = ((topology["transform"][k] for k in ("scale", "translate")) if "transform" in topology else ((1, 1), (0, 0)))
     arcs = []
@@ -33,13 +33,12 @@ def decode(document: str, object_name: str) -> list[tuple[str | None, list[list[
     found = []
     for g in topology["objects"][object_name].get("geometries", []):
         polygons = [g["arcs"]] if g["type"] == "Polygon" else g["arcs"] if g["type"] == "MultiPolygon" else []
-        if polygons:
-            found.append(((g.get("properties") or {}).get("name"), [ring(r) for p in polygons for r in p]))
+        found += [((g.get("properties") or {}).get("name"), [ring(r) for r in p]) for p in polygons if p]
     return found
 
 
 def features(documents: DataFrame, object_name: str = "units", json_col: str = "json") -> DataFrame:
-    """name, rings of each polygon feature of each document."""
+    """name, rings (the exterior first) of each polygon of each document."""
 
     def run(batches):
         kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
