@@ -25,7 +25,7 @@ FRAME = 1024
 HOP = 256
 SPAN = 16
 SILENCE = 1e-4
-REACH = 6
+REACH = 4
 OVERLAP = 8
 MOST_ERROR = 0.05
 QUERY_EVERY = 20
