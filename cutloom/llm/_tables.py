@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one is set if all runs on this machine; on a cluster that is an error."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one serves if all runs on this machine; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cutloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="cutloom-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 
