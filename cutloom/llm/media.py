@@ -3,7 +3,7 @@
 Samples become pitch-class frames: the power of short-time spectra, summed over octaves, smoothed over time
 and scaled to length 1. Filters, each a difference of two rectangle sums of an integral image over the last
 SPAN frames, give two Gray-coded bits each; 16 of them pack into one 32-bit integer a frame. Recordings are
-candidates at the offset between two integers that differ in few enough bits, if the REACH integers from there on do so too; every match has
+candidates at the offset between two integers that differ in few enough bits, if a WINDOW of integers around them does so too; every match has
 such a place, so none is lost. The share of differing bits at each candidate offset decides.
 """
 
@@ -15,7 +15,7 @@ from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutloom.llm._tables import materialize, picked
@@ -25,12 +25,16 @@ FRAME = 1024
 HOP = 256
 SPAN = 16
 SILENCE = 1e-4
-REACH = 4
+WINDOW = 8
 OVERLAP = 8
 MOST_ERROR = 0.05
 QUERY_EVERY = 20
 RECORDINGS = 64
 
+#: The neighbours of an integer that the candidate join compares, three to a long: of each the upper PART bits.
+NEIGHBOURS = ((-6, -5, -4), (-3, -2, -1), (1, 2, 3), (4, 5, 6))
+PART = 21
+
 #: Of each filter the shape, the first pitch class, the number of classes, the number of frames, and the outer quantiser threshold (the middle one is 0).
 #: Shapes: 0 low minus high classes, 1 early minus late frames, 2 checkerboard, 3 middle minus outer classes, 4 middle minus outer frames.
 FILTERS: tuple[tuple[int, int, int, int, float], ...] = (
@@ -128,7 +132,55 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.select("rec_id", "fingerprint", F.md5(text.cast("binary")).alias("print_id"))
 
 
-def align(prints: DataFrame, is_query, reach=REACH, overlap=OVERLAP, most_error=MOST_ERROR) -> DataFrame:
+def _neighbours(side: str) -> list[Column]:
+    """The packed neighbours of the integer at ``at``; 0 past an end and in silence."""
+    part = lambda k: F.shiftright(F.coalesce(F.get("fingerprint", F.col("at") + k), F.lit(0).cast("long")), 32 - PART)
+    return [sum((F.shiftleft(part(k), PART * (2 - i)) for i, k in enumerate(word)), F.lit(0).cast("long")).alias(f"{side}_{w}") for w, word in enumerate(NEIGHBOURS)]
+
+
+def _apart(places: range) -> Column:
+    """Differing bits of the neighbours at these places."""
+    total = F.lit(0)
+    for w, word in enumerate(NEIGHBOURS):
+        mask = sum(((1 << PART) - 1) << PART * (2 - i) for i, k in enumerate(word) if k in places)
+        if mask:
+            total += F.bit_count(F.col(f"q_{w}").bitwiseXOR(F.col(f"r_{w}")).bitwiseAND(F.lit(mask)))
+    return total
+
+
+def _sounding_apart(places: range) -> Column:
+    """The same, without those that are 0 on a side, which silence is."""
+    total, field = F.lit(0), (1 << PART) - 1
+    for w, word in enumerate(NEIGHBOURS):
+        for i, k in enumerate(word):
+            if k in places:
+                a, b = (F.shiftright(F.col(f"{side}_{w}"), PART * (2 - i)).bitwiseAND(F.lit(field)) for side in "qr")
+                total += F.when((a == 0) | (b == 0), F.lit(0)).otherwise(F.bit_count(a.bitwiseXOR(b)))
+    return total
+
+
+def _promising(window: int, share: float) -> Column:
+    """Whether an integer and its neighbours may be the place that align() proves of every match."""
+    furthest = NEIGHBOURS[-1][-1]
+    before, behind = F.least("q_at", "r_at"), F.least("q_left", "r_left")
+    most = lambda n: floor(share * n + 1e-9)
+    cond = F.lit(False)
+    for ahead in range(window - 1, -1, -1):
+        back = window - 1 - ahead
+        if 0 < ahead + 1 <= min(furthest, window - 1):
+            cond = (F.col("differ") + _apart(range(1, ahead + 2)) <= most(ahead + 2)) & cond
+        spare = F.when(before - back < window, before - back).otherwise(0)
+        fits = F.col("differ") + _apart(range(-back, ahead + 1)) <= share * (window + spare) + 1e-9
+        cond = ((before >= back) & (behind >= ahead) & fits) | cond
+    half = window // 2
+    onwards = F.lit(True)
+    for k in range(1, min(half, 4)):
+        onwards &= F.col("differ") + _sounding_apart(range(1, k + 1)) <= most(k + 1)
+    backwards = F.col("differ") + _sounding_apart(range(-min(window - half, furthest), 0)) <= most(2 * window - 1)
+    return F.when(F.col("q_quiet") | F.col("r_quiet"), onwards | backwards).otherwise(cond)
+
+
+def align(prints: DataFrame, is_query, overlap=OVERLAP, most_error=MOST_ERROR) -> DataFrame:
     """Recordings that align with queries: rows (relation, rec_id, match_id, offset, aligned, bit_error, copies).
 
     prints has rec_id and fingerprint; is_query is a condition on rec_id. Equal fingerprints form a class,
@@ -138,28 +190,27 @@ def align(prints: DataFrame, is_query, reach=REACH, overlap=OVERLAP, most_error=
     most_error of their bits differ; of such offsets it is the one at which most bits agree (ties: the smallest).
     Recordings without sound match nothing. Rows with a null id are left out.
 
-    No match is missed. Where at most most_error of the bits differ over all integers, they do so over every stretch that
-    begins at some one integer (the one after the highest of the running sums of differing bits less the share allowed). That integer differs in
-    32 * most_error bits at most: queries look up each value that near (33 at 5%), and up to ``reach`` integers from there are compared in the join.
+    No match is missed. Take the integers that lie over each other, w = min(WINDOW, overlap) or more, of whose bits a share s differs at most.
+    Behind the last place where the running sum of (differing bits - 32 s) is highest, every stretch begins with a share of s at most.
+    If w integers or more follow, the first w of them are a window around that place. If fewer, look at the last w: either a share of s of
+    them differs at most, and they are the window, or the rest has that share too and is looked at instead, down to a rest of fewer than 2 w
+    integers at the very beginning, whose last w have at most 32 s differing bits for each integer of the rest. The place itself
+    differs in 32 s bits at most: queries look up each value that near (33 at 5%), and the join compares the window around it.
     """
     known = materialize(classes(prints.filter("rec_id is not null")), "prints")
-    per = known.groupBy("print_id").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("copies"), F.max("fingerprint").alias("fingerprint"), F.max(is_query.cast("int")).alias("asks"))
+    per = known.groupBy("print_id").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("copies"), F.max("fingerprint").alias("fingerprint"), F.max(is_query.cast("int")).alias("asks"), F.max(F.exists("fingerprint", lambda x: x.isNull())).alias("quiet"))
     per = materialize(per, "print-classes")
     members = known.select("rec_id", "print_id").join(per.select("print_id", "class_id", "copies"), "print_id")
     zero = F.lit(0).cast("long")
     member = members.select(F.lit("member").alias("relation"), "rec_id", F.col("class_id").alias("match_id"), zero.alias("offset"), zero.alias("aligned"), F.lit(0.0).alias("bit_error"), "copies")
     share = 32 * most_error
     flips = [sum(1 << b for b in bits) for n in range(floor(share + 1e-9) + 1) for bits in combinations(range(32), n)]
-    placed = per.select("class_id", "asks", "fingerprint", F.posexplode("fingerprint").alias("at", "value")).filter("value is not null")
-    after = lambda side: [F.get("fingerprint", F.col("at") + k).alias(f"{side}_{k}") for k in range(1, reach)]
-    asked = placed.filter("asks = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "value", *after("q"), F.explode(F.array(*map(F.lit, flips)).cast("array<long>")).alias("flip"))
+    placed = per.select("class_id", "asks", "quiet", "fingerprint", F.posexplode("fingerprint").alias("at", "value")).filter("value is not null")
+    place = lambda side: [F.col("class_id").alias(side), F.col("at").alias(f"{side}_at"), (F.size("fingerprint") - 1 - F.col("at")).alias(f"{side}_left"), F.col("quiet").alias(f"{side}_quiet"), *_neighbours(side)]
+    asked = placed.filter("asks = 1").select(*place("q"), "value", F.explode(F.array(*map(F.lit, flips)).cast("array<long>")).alias("flip"))
     asked = asked.withColumn("key", F.col("value").bitwiseXOR(F.col("flip"))).withColumn("differ", F.bit_count("flip")).drop("value", "flip")
-    held = placed.select(F.col("class_id").alias("r"), F.col("at").alias("r_at"), F.col("value").alias("r_key"), *after("r"))
-    near, bits, places = (F.col("key") == F.col("r_key")) & (F.col("q") != F.col("r")), F.col("differ"), F.lit(1)
-    for k in range(1, reach):
-        apart = F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(f"r_{k}")))  # null past an end and in silence
-        bits, places = bits + F.coalesce(apart, F.lit(0)), places + apart.isNotNull().cast("int")
-        near &= bits <= share * places + 1e-9
+    held = placed.select(*place("r"), F.col("value").alias("r_key"))
+    near = (F.col("key") == F.col("r_key")) & (F.col("q") != F.col("r")) & _promising(min(WINDOW, overlap), share)
     voted = asked.join(held, near).select("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).distinct()
     side = per.select("class_id", "fingerprint", "copies")
     pairs = voted.join(side.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("q_print")), "q").join(side.withColumnsRenamed({"class_id": "r", "fingerprint": "r_print"}), "r")
