@@ -6,6 +6,7 @@ from cutloom.operators import masks as M
 from cutloom.operators import outline as O
 from cutloom.operators import raster as R
 from cutloom.operators import speech as S
+from cutloom.plans.geometry import LISTS, visvalingam_sql
 from cutloom.sources import adapters as A
 
 PX = ["px", "py"]
@@ -115,5 +116,8 @@ SELECT g.image_id, CAST(g.x AS INTEGER) AS x, CAST(g.y AS INTEGER) AS y, round(c
     "command_registry": "SELECT * FROM (VALUES " + ", ".join(f"({_text(name)}, {_text(text)}, {_text(p)}, {_text(about)}, {str(p is not None).lower()})" for name, (text, parameters) in O.COMMANDS.items() for p, about in parameters or ((None, None),)) + ") v(command, description, parameter, parameter_description, required)",
     "mask_red_overlay": f"""WITH {A.PRESENCE}, o AS (SELECT px, py, {', '.join(f'bool_or(obj_id = {k} AND v > 0.5) AS o{k}' for k in range(1, 6))} FROM presence GROUP BY ALL)
 SELECT px, py, {_red_sql(255)} AS r, {_red_sql(0)} AS g, {_red_sql(0)} AS b FROM o""",
+    "map_generalise": f"""WITH RECURSIVE {LISTS}, closed AS (SELECT shape_id, label, list_concat(xs, xs[:1]) AS xs, list_concat(ys, ys[:1]) AS ys, (list_max(xs) - list_min(xs)) * (list_max(ys) - list_min(ys)) AS area, (list_min(xs) + list_max(xs)) / 2 AS mx, (list_min(ys) + list_max(ys)) / 2 AS my FROM rl
+  WHERE label IN (SELECT n_nationkey FROM nation)), big AS (SELECT * FROM closed WHERE area >= 0.1), {visvalingam_sql(0.01, 'big')}
+SELECT 'land ' || CAST(label AS VARCHAR) || ' ' || CAST(shape_id AS VARCHAR) AS name, round(area, 5) AS area, CAST(len(vw.xs) AS INTEGER) AS points, round(mx, 5) AS x, round(my, 5) AS y FROM vw JOIN big USING (shape_id) WHERE len(vw.xs) >= 4""",
     "parameter_names": """SELECT n_nationkey, 'encoder.blocks.' || CAST(n_nationkey AS VARCHAR) || CASE n_nationkey % 3 WHEN 0 THEN '.norm1.gamma' WHEN 1 THEN '.attn.query.bias' ELSE '.mlp.fc1.weight' END AS name FROM nation""",
 }

@@ -65,3 +65,54 @@ ORACLE = {
   SELECT i.image_id, i.shape_id, arg_max(o.shape_id, (o.area, -o.shape_id)) AS owner_id FROM sized i JOIN sized o ON i.image_id = o.image_id AND o.x0 < i.x0 AND o.y0 < i.y0 AND o.x1 > i.x1 AND o.y1 > i.y1 GROUP BY ALL)
 SELECT s.image_id, s.shape_id, s.area, coalesce(own.owner_id, -1) AS owner_id FROM sized s LEFT JOIN own USING (image_id, shape_id)""",
 }
+
+
+# Simplification as recursive queries over lists of a ring's x and y.
+LISTS = """rl AS (SELECT vec_id AS shape_id, label, list_transform(range(32), lambda k: CAST(embedding[2 * k + 1] AS DOUBLE)) AS xs, list_transform(range(32), lambda k: CAST(embedding[2 * k + 2] AS DOUBLE)) AS ys FROM embeddings)"""
+
+
+def visvalingam_sql(tolerance: float, source: str = "rl") -> str:
+    """vw: source with the xs and ys that are left; a round takes the point of least area from each ring whose least is under tolerance."""
+    area = "abs((xs[i] - xs[i - 1]) * (ys[i + 1] - ys[i - 1]) - (xs[i + 1] - xs[i - 1]) * (ys[i] - ys[i - 1])) / 2"
+    return f"""step AS (SELECT shape_id, xs, ys FROM {source} UNION ALL
+  SELECT shape_id, list_concat(xs[:p - 1], xs[p + 1:]), list_concat(ys[:p - 1], ys[p + 1:]) FROM (SELECT *, list_position(a, list_min(a)) + 1 AS p FROM (
+    SELECT *, list_transform(range(2, len(xs)), lambda i: {area}) AS a FROM step)) WHERE list_min(a) < {tolerance}),
+vw AS (SELECT shape_id, arg_min(xs, len(xs)) AS xs, arg_min(ys, len(ys)) AS ys FROM step GROUP BY shape_id)"""
+
+
+def douglas_peucker_sql(tolerance: float, source: str = "rl") -> str:
+    """dp: the points that stay, as (shape_id, k, x, y); a round cuts each stretch at its farthest point if that is over tolerance away."""
+    away = "CASE WHEN len_ = 0 THEN sqrt((xs[i] - xs[a]) ** 2 + (ys[i] - ys[a]) ** 2) ELSE abs((xs[b] - xs[a]) * (ys[i] - ys[a]) - (ys[b] - ys[a]) * (xs[i] - xs[a])) / len_ END"
+    return f"""cut AS (SELECT shape_id, xs, ys, CAST(1 AS BIGINT) AS a, CAST(len(xs) AS BIGINT) AS b FROM {source} UNION ALL
+  SELECT shape_id, xs, ys, unnest([a, m]) AS a, unnest([m, b]) AS b FROM (SELECT *, a + list_position(d, list_max(d)) AS m FROM (
+    SELECT *, list_transform(range(a + 1, b), lambda i: {away}) AS d FROM (SELECT *, sqrt((xs[b] - xs[a]) ** 2 + (ys[b] - ys[a]) ** 2) AS len_ FROM cut))) WHERE list_max(d) > {tolerance}),
+kept AS (SELECT DISTINCT shape_id, xs[nth] AS x, ys[nth] AS y, nth FROM (SELECT shape_id, xs, ys, unnest([a, b]) AS nth FROM cut)),
+dp AS (SELECT shape_id, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY nth) - 1 AS INTEGER) AS k, x, y FROM kept)"""
+
+
+def _cut_corners(values: str) -> str:
+    return f"list_concat([{values}[1]], flatten(list_transform(range(1, len({values})), lambda i: [{values}[i] * 0.75 + {values}[i + 1] * 0.25, {values}[i] * 0.25 + {values}[i + 1] * 0.75])), [{values}[-1]])"
+
+
+ORACLE |= {
+    "ring_visvalingam": f"WITH RECURSIVE {LISTS}, {visvalingam_sql(0.005)} SELECT shape_id, CAST(i - 1 AS INTEGER) AS k, {XY.format('xs[i]', 'ys[i]')} FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM vw)",
+    "ring_douglas_peucker": f"WITH RECURSIVE {LISTS}, {douglas_peucker_sql(0.1)} SELECT shape_id, k, {XY.format('x', 'y')} FROM dp",
+    "features_smoothed_outline": f"""WITH RECURSIVE {LISTS}, c1 AS (SELECT shape_id, {_cut_corners('xs')} AS xs, {_cut_corners('ys')} AS ys FROM rl), c2 AS (SELECT shape_id, {_cut_corners('xs')} AS xs, {_cut_corners('ys')} AS ys FROM c1),
+{douglas_peucker_sql(0.05, 'c2')} SELECT shape_id, k, {XY.format('x', 'y')} FROM dp""",
+    # An edge is on the hull if no point lies to its right; those to the right (lower chain) come first, by their start, then those back.
+    "ring_hull": f"""WITH {A.RINGS}, p AS (SELECT DISTINCT shape_id, x, y FROM pts),
+out_ AS (SELECT a.shape_id, a.x, a.y, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.shape_id = b.shape_id AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.shape_id = a.shape_id AND (b.x - a.x) * (c.y - a.y) < (b.y - a.y) * (c.x - a.x))),
+edge AS (SELECT *, (bx, by_) > (x, y) AS lower FROM out_),
+walk AS (SELECT shape_id, x, y, row_number() OVER (PARTITION BY shape_id ORDER BY lower DESC, CASE WHEN lower THEN x ELSE -x END, CASE WHEN lower THEN y ELSE -y END) - 1 AS k FROM edge),
+closed AS (SELECT * FROM walk UNION ALL SELECT shape_id, arg_min(x, k), arg_min(y, k), max(k) + 1 FROM walk GROUP BY shape_id)
+SELECT shape_id, CAST(k AS INTEGER) AS k, {XY.format('x', 'y')} FROM closed""",
+    # One round a rank: the shape there, if nobody has claimed it, claims those of its list that are free.
+    "holes_area_ratio": f"""WITH RECURSIVE {A.BOXES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, shape_id) AS k FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM boxes)),
+kids AS (SELECT o.image_id, o.k, o.shape_id, coalesce(list(i.k) FILTER (i.k IS NOT NULL), []) AS held FROM ranked o LEFT JOIN ranked i
+  ON i.image_id = o.image_id AND i.k > o.k AND o.x0 < i.x0 AND o.y0 < i.y0 AND o.x1 > i.x1 AND o.y1 > i.y1 AND CAST(i.area AS DOUBLE) / o.area BETWEEN 0.01 AND 0.8 GROUP BY ALL),
+image AS (SELECT image_id, list(shape_id ORDER BY k) AS ids, list(held ORDER BY k) AS held, count(*) AS n FROM kids GROUP BY image_id),
+turn AS (SELECT image_id, CAST(1 AS BIGINT) AS k, list_transform(ids, lambda v: CAST(0 AS BIGINT)) AS own FROM image UNION ALL
+  SELECT t.image_id, t.k + 1, list_transform(own, lambda v, j: CASE WHEN v = 0 AND own[t.k] = 0 AND list_contains(held[t.k], j) THEN t.k ELSE v END) FROM turn t JOIN image USING (image_id) WHERE t.k <= n),
+done AS (SELECT t.image_id, ids, own, unnest(range(1, n + 1)) AS j FROM turn t JOIN image USING (image_id) WHERE t.k = n + 1)
+SELECT image_id, ids[j] AS shape_id, CASE WHEN own[j] > 0 THEN ids[own[j]] ELSE -1 END AS owner_id FROM done""",
+}
