@@ -140,22 +140,41 @@ def candidates(sh: np.ndarray, found: Index) -> set[tuple[int, int]]:
     return hits
 
 
-def matches(s: _words.Slice, found: Index) -> list[dict[int, tuple[float, int]]]:
-    """For each row of the slice: template -> (greatest containment, first shingle of that window in the row), containment or more."""
+def place(own: np.ndarray, sh: np.ndarray, containment: float) -> tuple[float, int, int]:
+    """Of a run of shingles that holds containment of the template's own (sorted) ones: (share, first, end) of the place where it does so soonest.
+
+    The place goes on behind that by the length that the missing shingles would have, and begins as late as it can without losing one.
+    """
+    k = np.minimum(np.searchsorted(own, sh), len(own) - 1)
+    held = np.flatnonzero(own[k] == sh)
+    _, first = np.unique(k[held], return_index=True)
+    news = held[np.sort(first)]
+    enough = max(1, math.ceil(containment * len(own) - 1e-9))
+    reach = int(news[enough - 1]) + math.ceil(1.1 * (len(own) - enough))
+    end = int(news[news <= reach][-1]) + 1
+    held = held[held < end]
+    back = np.unique(k[held][::-1], return_index=True)[1]
+    return len(back) / len(own), int(held[len(held) - 1 - back.max()]), end
+
+
+def matches(s: _words.Slice, found: Index) -> list[dict[int, list[tuple[float, int]]]]:
+    """For each row of the slice: template -> (containment, first shingle in the row) of all its places, which don't overlap, in order."""
     sh, first = shingle_rows(s, found.k)
-    out: list[dict[int, tuple[float, int]]] = [{} for _ in range(s.rows)]
+    out: list[dict[int, list[tuple[float, int]]]] = [{} for _ in range(s.rows)]
     if not len(sh) or not found.names:
         return out
+    taken: dict[int, int] = {}
     for t, at in sorted(candidates(sh, found)):
         size = found.sizes[t]
-        low, high = at - size // 4, at + size + size // 4
+        low, high = max(at - size // 4, taken.get(t, 0)), at + size + size // 4
         row = int(np.searchsorted(first, max(at, 0), "right")) - 1
         while row < s.rows and first[row] < at + size:
-            a, b = max(low, int(first[row])), min(high, int(first[row + 1]))
-            if b > a:
-                share = np.isin(found.sets[t], sh[a:b]).mean()
-                if share >= found.containment - 1e-9 and share > out[row].get(t, (0.0, 0))[0]:
-                    out[row][t] = (float(share), a - int(first[row]))
+            last = int(first[row + 1])
+            a, b = max(low, int(first[row])), min(high, last)
+            while b > a and np.isin(found.sets[t], sh[a:b]).mean() >= found.containment - 1e-9:
+                share, start, end = place(found.sets[t], sh[a : min(b + size, last)], found.containment)
+                out[row].setdefault(t, []).append((share, a + start - int(first[row])))
+                a = taken[t] = a + end
             row += 1
     return out
 
@@ -167,7 +186,7 @@ def _scanned(batches, found: Index):
     for batch in batches:
         for s in _words.slices(batch.column(1)):
             rows = matches(s, found)
-            lists = [[{"license": found.names[t], "template": t, "containment": round(c, 6), "word": w} for t, (c, w) in sorted(r.items())] for r in rows]
+            lists = [[{"license": found.names[t], "template": t, "containment": round(c, 6), "word": w} for t, places in sorted(r.items()) for c, w in places] for r in rows]
             names = [sorted({m["license"] for m in row}) for row in lists]
             part = batch.slice(s.first, s.rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(n) for n in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(lists, MATCHES)], ["doc_id", "n_licenses", "licenses", "matches"])
@@ -177,7 +196,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES,
     """doc_id, n_licenses, licenses (sorted), matches (license, template, containment, first word) of every whole text.
 
     A template matches where a window and a quarter of it on either side holds ``containment`` of its shingles
-    or more. Null and empty texts have none. One row per input row, repeated ones included; an empty table
+    or more; a text has a match for each place of it, and a template's places don't overlap. Null and empty texts have none. One row per input row, repeated ones included; an empty table
     gives an empty table; other columns are ignored. No shuffle; the templates' index is sent to the tasks, at
     most MOST_TEMPLATES of them.
     """
