@@ -21,18 +21,27 @@ END_MOVED = "Adjusted end to avoid cutting mid-speech"
 BOTH_MOVED = "Adjusted both start and end to avoid cutting mid-speech"
 
 
-def with_next_start(utterances: DataFrame, bucket_us: int = 86_400_000_000) -> DataFrame:
-    """utterances with next_us, where the next one in order begins.
+DAY_US = 86_400_000_000
+
+
+def with_next(utterances: DataFrame, columns: list[str], bucket_us: int = DAY_US) -> DataFrame:
+    """utterances with next_, those columns (s_us and utt_id first) of the one that follows in order; null after a medium's last.
 
     A medium may hold a third of all rows, so the window runs within (medium, day); the last of a day takes the first
-    start of the next day that has any, from a table of one row a medium and day.
+    of the next day that has any, from a table of one row a medium and day.
     """
     dayed = utterances.withColumn("day_", F.expr(f"s_us div {bucket_us}"))
-    firsts = dayed.groupBy("media_id", "day_").agg(F.min("s_us").alias("first_"))
+    own = F.struct("s_us", "utt_id", *columns)
+    firsts = dayed.groupBy("media_id", "day_").agg(F.min(own).alias("first_"))
     after = firsts.select("media_id", "day_", F.lead("first_").over(Window.partitionBy("media_id").orderBy("day_")).alias("after_"))
     in_day = Window.partitionBy("media_id", "day_").orderBy("s_us", "utt_id")
-    joined = dayed.withColumn("next_us", F.lead("s_us").over(in_day)).join(after, ["media_id", "day_"])
-    return joined.withColumn("next_us", F.coalesce("next_us", "after_")).select(*utterances.columns, "next_us")
+    joined = dayed.withColumn("next_", F.lead(own).over(in_day)).join(after, ["media_id", "day_"])
+    return joined.withColumn("next_", F.coalesce("next_", "after_")).select(*utterances.columns, "next_")
+
+
+def with_next_start(utterances: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
+    """utterances with next_us, where the next one in order begins."""
+    return with_next(utterances, [], bucket_us).withColumn("next_us", F.col("next_.s_us")).drop("next_")
 
 
 def natural_breaks(utterances: DataFrame, min_gap_us: int = 2_000_000) -> DataFrame:
@@ -46,18 +55,23 @@ def skeleton_segments(utterances: DataFrame, min_gap_us=2_000_000, max_us=300_00
 
     One longer than max_us becomes ceil(length / max_us) parts, the last one ending at the break. What follows
     the last break, up to tail_us after the last utterance's end, is one segment, never split, if it is longer than 0.
-    One shuffle by media_id serves both windows and the numbering.
+    The spans end at the breaks and at the last utterance, which has no next one; they rise by time, so where one begins and the
+    number of its first part come from a window within (medium, day) and a table of one row a medium and day.
     """
-    breaks = natural_breaks(utterances, min_gap_us)
-    in_order = Window.partitionBy("media_id").orderBy("break_us")
-    spans = breaks.select("media_id", F.lag("break_us", 1, 0).over(in_order).alias("from_us"), F.col("break_us").alias("to_us"))
-    n = F.greatest(F.lit(1), F.ceil((F.col("to_us") - F.col("from_us")) / max_us)).cast("int")
-    parts = spans.withColumn("n", n).select("media_id", "from_us", "to_us", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    parts = parts.select("media_id", F.expr("from_us + i * (to_us - from_us) div n").alias("start_us"), F.expr("from_us + (i + 1) * (to_us - from_us) div n").alias("end_us"))
-    last = utterances.groupBy("media_id").agg(F.max(F.struct("s_us", "utt_id", "e_us")).alias("u")).select("media_id", (F.col("u.e_us") + tail_us).alias("end_us"))
-    last_break = breaks.groupBy("media_id").agg(F.max("break_us").alias("start_us"))
-    tail = last.join(last_break, "media_id", "left").select("media_id", F.coalesce("start_us", F.lit(0)).alias("start_us"), "end_us").filter("start_us < end_us")
-    numbered = parts.unionByName(tail).withColumn("seg", F.row_number().over(Window.partitionBy("media_id").orderBy("start_us", "end_us")))
+    gap = with_next_start(utterances).withColumn("gap_", F.col("next_us") - F.col("e_us")).withColumn("last_", F.col("next_us").isNull())
+    ends = gap.filter(F.col("last_") | (F.col("gap_") >= min_gap_us)).select("media_id", "last_", F.when(F.col("last_"), F.col("e_us") + tail_us).otherwise(F.expr("e_us + gap_ div 2")).alias("to_us"))
+    day, earlier = F.expr(f"to_us div {DAY_US}"), Window.partitionBy("media_id").orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    in_day = Window.partitionBy("media_id", "day_").orderBy("last_", "to_us")
+    dayed = ends.withColumn("day_", day)
+    before = dayed.groupBy("media_id", "day_").agg(F.max("to_us").alias("top_")).select("media_id", "day_", F.max("top_").over(earlier).alias("before_"))
+    spans = dayed.withColumn("from_us", F.lag("to_us").over(in_day)).join(before, ["media_id", "day_"]).withColumn("from_us", F.coalesce("from_us", "before_", F.lit(0)))
+    n = F.when(F.col("last_"), 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("to_us") - F.col("from_us")) / max_us))).cast("int")
+    sized = spans.filter(~F.col("last_") | (F.col("from_us") < F.col("to_us"))).withColumn("n", n).select("media_id", "day_", "last_", "from_us", "to_us", "n")
+    counts = sized.groupBy("media_id", "day_").agg(F.sum("n").alias("n_")).select("media_id", "day_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("prior_"))
+    running = F.sum("n").over(in_day.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = sized.withColumn("run_", running).join(counts, ["media_id", "day_"])
+    parts = placed.select("media_id", "from_us", "to_us", "n", (F.col("prior_") + F.col("run_") + 1).alias("first_"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    numbered = parts.select("media_id", (F.col("first_") + F.col("i")).alias("seg"), F.expr("from_us + i * (to_us - from_us) div n").alias("start_us"), F.expr("from_us + (i + 1) * (to_us - from_us) div n").alias("end_us"))
     tenths = lambda us: F.concat(F.expr(f"(({us}) + 50000) div 100000 div 10").cast("string"), F.lit("."), F.expr(f"(({us}) + 50000) div 100000 % 10").cast("string"))
     text = F.concat(F.lit("Natural segment "), F.col("seg").cast("string"), F.lit(" ("), tenths("start_us"), F.lit("s - "), tenths("end_us"), F.lit("s, duration: "), tenths("end_us - start_us"), F.lit("s)"))
     name = F.concat(F.lit("segment_"), F.when(F.col("seg") < 1000, F.lpad(F.col("seg").cast("string"), 3, "0")).otherwise(F.col("seg").cast("string")))
@@ -66,9 +80,8 @@ def skeleton_segments(utterances: DataFrame, min_gap_us=2_000_000, max_us=300_00
 
 def speaker_cuts(utterances: DataFrame) -> DataFrame:
     """media_id, utt_id, cut_us: where another speaker begins than the one before, half-way through the gap (or overlap) between them."""
-    order = Window.partitionBy("media_id").orderBy("s_us", "utt_id")
-    seen = utterances.withColumns({"was_": F.lag("speaker").over(order), "end_": F.lag("e_us").over(order)})
-    return seen.filter(F.col("was_") != F.col("speaker")).select("media_id", "utt_id", F.expr("(s_us + end_) div 2").alias("cut_us"))
+    seen = with_next(utterances, ["speaker"])
+    return seen.filter(F.col("next_.speaker") != F.col("speaker")).select("media_id", F.col("next_.utt_id").alias("utt_id"), F.expr("(next_.s_us + e_us) div 2").alias("cut_us"))
 
 
 def spanning(df: DataFrame, start: str, end: str, width_us: int) -> DataFrame:

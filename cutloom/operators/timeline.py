@@ -15,11 +15,12 @@ def by_clip():
     return Window.partitionBy("clip_id")
 
 
-def splice(frames: DataFrame, segments: list[tuple[int, int]] | DataFrame, frame_us: int = FRAME_US) -> DataFrame:
+def splice(frames: DataFrame, segments: list[tuple[int, int]] | DataFrame, frame_us: int = FRAME_US, bucket_us: int = 60_000_000) -> DataFrame:
     """Frames of the segments [start, end), one segment after the other in list order; times begin anew at 0.
 
     segments: one list for all clips, or a DataFrame (clip_id, ord, start_us, end_us). They may overlap, repeat
-    and stand in any order; an empty list copies. A list needs no join: each frame meets the few segments in an array.
+    and stand in any order; an empty list copies. A list needs no join: each frame meets the few segments in an array. With a table, a frame meets the
+    segments that touch its time bucket, not all of its clip.
     """
     if not isinstance(segments, DataFrame):
         if not segments:
@@ -32,7 +33,10 @@ def splice(frames: DataFrame, segments: list[tuple[int, int]] | DataFrame, frame
     else:
         before = Window.partitionBy("clip_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
         shifted = segments.withColumn("offset_us", F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(before), F.lit(0)))
-        met = frames.join(shifted, "clip_id").filter((F.col("pts_us") >= F.col("start_us")) & (F.col("pts_us") < F.col("end_us")))
+        span = F.sequence(F.expr(f"start_us div {bucket_us}"), F.expr(f"end_us div {bucket_us}"))
+        spread = shifted.filter("start_us < end_us").select("clip_id", "ord", "start_us", "end_us", "offset_us", F.explode(span).alias("bucket_"))
+        bucketed = frames.withColumn("bucket_", F.expr(f"pts_us div {bucket_us}"))
+        met = bucketed.join(spread, ["clip_id", "bucket_"]).filter((F.col("pts_us") >= F.col("start_us")) & (F.col("pts_us") < F.col("end_us")))
     placed = met.withColumn("pts_us", F.col("pts_us") - F.col("start_us") + F.col("offset_us"))
     order = by_clip().orderBy("ord", "idx")
     return placed.withColumn("idx", F.row_number().over(order).cast("long") - 1).select(*frames.columns)

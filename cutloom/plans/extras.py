@@ -67,6 +67,7 @@ QUERIES = {
     "subtitle_rows": lambda s, d: S.subtitles(A.utterances(s, d), "en"),
     "mask_merge_prompts": _merged,
     "frame_picks": _picks,
+    "prompt_frames": lambda s, d: A.read(s, d, "part").select("p_partkey", M.prompt_frame(F.col("p_partkey") % 60 - 5, F.col("p_size")).cast("long").alias("frame")),
     "mask_object_sets": _objects,
     "mask_visualise": _laid,
     "mask_red_overlay": lambda s, d: M.red_overlay(A.presence(s, d), PX, [1, 2, 3, 4, 5]),
@@ -106,6 +107,7 @@ ORACLE = {
     "mask_merge_prompts": "SELECT user_id AS px, event_id % 7 AS py, event_type AS obj, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 7, event_type ORDER BY event_id % 3 DESC, event_id DESC) = 1",
     "frame_picks": f"""WITH p AS (SELECT p_partkey, p_partkey % 200 AS prompt, 60 + p_size AS n FROM part), e AS (SELECT p_partkey, unnest({_SHOW}) AS frame, unnest(range(11)) AS k FROM p),
 f AS (SELECT p_partkey, frame, min(k) AS k FROM e GROUP BY ALL) SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1 AS INTEGER) AS k, frame FROM f""",
+    "prompt_frames": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 60 - 5 BETWEEN 0 AND p_size - 1 THEN p_partkey % 60 - 5 ELSE p_size // 2 END AS BIGINT) AS frame FROM part",
     "mask_object_sets": f"""WITH {A.PRESENCE}, sets AS (SELECT px, py, string_agg(CAST(obj_id AS VARCHAR), ',' ORDER BY obj_id) FILTER (v > 0.5) AS s FROM presence GROUP BY ALL),
 c AS (SELECT py, count(DISTINCT coalesce(s, '')) AS codes FROM sets GROUP BY py)
 SELECT p.py, count(DISTINCT obj_id) AS objects, string_agg(DISTINCT CAST(obj_id AS VARCHAR), ',' ORDER BY CAST(obj_id AS VARCHAR)) AS ids, any_value(codes) AS codes FROM presence p JOIN c ON p.py = c.py WHERE v > 0.5 GROUP BY p.py""",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cutloom.operators import geometry as G
 from cutloom.operators import raster as R
 from cutloom.sources import adapters as A
+from cutloom.sources import geojson as J
 
 r6 = lambda c: F.round(c, 6) + 0.0
 
@@ -21,16 +22,24 @@ def _areas(s, d):
     return A.rings(s, d).select("shape_id", "label", r6(G.ring_area(F.col("ring"))).alias("area"))
 
 
+def _validated(s, d):
+    """Rings whole, of two points, with an infinite x, with a y that is no number, and with a null point."""
+    odd = lambda x, y: F.concat("ring", F.array(F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))))
+    kind = F.col("shape_id") % 6
+    ring = F.when(kind == 0, F.slice("ring", 1, 2)).when(kind == 1, odd("infinity", 0)).when(kind == 2, odd(0, "NaN")).when(kind == 3, odd(None, None)).when(kind == 4, odd("-infinity", 0)).otherwise(F.col("ring"))
+    return A.rings(s, d).withColumn("ring", ring).select("shape_id", F.size(G.valid_ring(F.col("ring"))).alias("points"))
+
+
 QUERIES = {
     "ring_measures": _measures,
     "ring_decimate": lambda s, d: G.points_of(A.rings(s, d).withColumn("ring", G.decimate(F.col("ring"), 3))),
     "ring_smooth": lambda s, d: G.points_of(A.rings(s, d).withColumn("ring", G.smooth(F.col("ring"), 3))),
     "ring_chaikin": lambda s, d: G.points_of(G.chaikin_rounds(A.rings(s, d), "ring", 1)),
     "ring_round": lambda s, d: G.points_of(A.rings(s, d).withColumn("ring", G.round_ring(F.col("ring")))),
-    "ring_validate": lambda s, d: A.rings(s, d).withColumn("ring", F.when(F.col("shape_id") % 2 == 0, F.slice("ring", 1, 2)).otherwise(F.col("ring"))).select("shape_id", F.size(G.valid_ring(F.col("ring"))).alias("points")),
-    "min_area_filter": lambda s, d: _areas(s, d).filter(F.col("area") >= 0.1).select("shape_id", "area"),
+    "ring_validate": _validated,
+    "min_area_filter": lambda s, d: G.over_area(A.rings(s, d), "ring", 0.1).select("shape_id", r6(G.ring_area(F.col("ring"))).alias("area")),
     "largest_feature": lambda s, d: G.largest_by(_areas(s, d), "label"),
-    "features_by_area": lambda s, d: _areas(s, d).filter(F.col("area").between(0.02, 0.2)).select("shape_id", "area"),
+    "features_by_area": lambda s, d: J.features_by_area(_areas(s, d), 0.02, 0.2).select("shape_id", "area"),
     "features_topk": lambda s, d: G.top_features(_areas(s, d), 20).select("shape_id", "area"),
     "holes_containment": lambda s, d: G.contained_boxes(A.boxes(s, d)).fillna(-1, ["owner_id"]),
     "holes_area_ratio": lambda s, d: G.area_ratio_holes(A.boxes(s, d)).fillna(-1, ["owner_id"]),
@@ -56,7 +65,7 @@ ORACLE = {
     "ring_chaikin": f"""WITH {NEXT}, cut AS (SELECT shape_id, 2 * k + 1 AS k, x * 0.75 + nx * 0.25 AS cx, y * 0.75 + ny * 0.25 AS cy FROM c WHERE nx IS NOT NULL UNION ALL SELECT shape_id, 2 * k + 2, x * 0.25 + nx * 0.75, y * 0.25 + ny * 0.75 FROM c WHERE nx IS NOT NULL
   UNION ALL SELECT shape_id, 0, x, y FROM c WHERE k = 0 UNION ALL SELECT shape_id, 63, x, y FROM c WHERE k = 31) SELECT shape_id, CAST(k AS INTEGER) AS k, {XY.format('cx', 'cy')} FROM cut""",
     "ring_round": f"WITH {A.RINGS} SELECT shape_id, CAST(k AS INTEGER) AS k, {XY.format('sign(x) * floor(abs(x) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE', 'sign(y) * floor(abs(y) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE')} FROM pts",
-    "ring_validate": "SELECT vec_id AS shape_id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 32 END AS points FROM embeddings",
+    "ring_validate": "SELECT vec_id AS shape_id, CASE WHEN vec_id % 6 = 5 THEN 32 ELSE 0 END AS points FROM embeddings",
     "min_area_filter": f"WITH {NEXT} SELECT shape_id, area FROM areas WHERE area >= 0.1",
     "largest_feature": f"WITH {NEXT} SELECT label, shape_id, area FROM areas QUALIFY row_number() OVER (PARTITION BY label ORDER BY area DESC, shape_id DESC) = 1",
     "features_by_area": f"WITH {NEXT} SELECT shape_id, area FROM areas WHERE area BETWEEN 0.02 AND 0.2",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cutloom.operators import outline as O
 from cutloom.operators import raster as R
 from cutloom.sources import adapters as A
 
@@ -77,6 +78,7 @@ QUERIES = {
     "raster_erode_twice": lambda s, d: R.pixels_of(R.iterated(R.erode, 2)(A.rasters(s, d))),
     "raster_motion_blur": lambda s, d: R.pixels_of(R.motion_blur(A.rasters(s, d), 3)),
     "raster_blur_by_sigma": lambda s, d: R.pixels_of(R.blur_by_sigma(A.rasters(s, d), 1.0)),
+    "raster_adaptive": lambda s, d: R.pixels_of(O.adaptive_threshold_step(3, 0.05)(A.rasters(s, d)), None),
     "raster_advanced": lambda s, d: R.pixels_of(R.advanced_pipeline(A.rasters(s, d), 2, 3, 0.15)),
     "raster_sharpen": lambda s, d: R.pixels_of(R.sharpen(A.rasters(s, d))),
     "raster_median": lambda s, d: R.pixels_of(R.median_filter(A.rasters(s, d), 1)),
@@ -136,6 +138,7 @@ ORACLE = {
     "raster_motion_blur": f"WITH {A.RASTERS}, {_kernel('g', {(k, 0): 1.0 / 3 for k in range(3)})}, o AS ({_conv('g')}) {_out()}",
     "raster_blur_by_sigma": f"""WITH {A.RASTERS}, k(dx, w) AS (SELECT i - 2, exp(-(i - 2) * (i - 2) / 2.0::DOUBLE) / (1 + 2 * exp(-0.5::DOUBLE) + 2 * exp(-2.0::DOUBLE)) FROM range(5) r(i)),
 o AS (SELECT p.image_id, p.x, p.y, sum(q.v * a.w * b.w) AS v FROM px p, k a, k b JOIN px q ON true WHERE q.image_id = p.image_id AND q.x = greatest(0, least(7, p.x + a.dx)) AND q.y = greatest(0, least(7, p.y + b.dx)) GROUP BY ALL) {_out()}""",
+    "raster_adaptive": f"WITH {A.RASTERS}, {_kernel('g', dict.fromkeys(R.window(1), 1.0 / 9))}, m AS ({_conv('g')}), o AS (SELECT p.image_id, p.x, p.y, CASE WHEN p.v > m.v - 0.05::DOUBLE THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM px p JOIN m USING (image_id, x, y)) {_out('v')}",
     "raster_advanced": f"WITH {A.RASTERS}, {_K1}, {_KXY}, {_kernel('g', R.gaussian(2))}, bl AS ({_conv('g')}), {_SOBEL('bl')}, er AS ({_pick('least', 'so')}), di AS ({_pick('greatest', 'er')}) {_out('CASE WHEN v > 0.15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'di')}",
     "raster_resize_nearest": f"WITH {A.RASTERS}, o AS (SELECT p.image_id, i % 5 AS x, i // 5 AS y, p.v FROM range(55) r(i) JOIN px p ON p.x = (i % 5) * 8 // 5 AND p.y = (i // 5) * 8 // 11) {_out('round(v, 6) + 0.0')}",
     "raster_box_smooth": f"""WITH {A.RASTERS}, sc AS (SELECT image_id, x, y, floor((v + 1) * 127) AS v FROM px), {_K1}, s AS ({_conv('k1', 'sc')}),

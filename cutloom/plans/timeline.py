@@ -24,7 +24,6 @@ LOOPED = """looped AS (SELECT clip_id, idx, pts_us, payload FROM {0} UNION ALL
   SELECT clip_id, 2 * max(idx) OVER w + 1 - idx, 2 * max(pts_us) OVER w + 40000 - pts_us, payload FROM {0} WINDOW w AS (PARTITION BY clip_id))"""
 
 
-
 def _made(s, d):
     """Loops with the reversed clips kept; the clips of urgent orders have sound, a sample a frame."""
     frames = A.frames(s, d)
@@ -32,7 +31,16 @@ def _made(s, d):
     return T.make_loop(frames, frames.join(urgent, "clip_id", "left_semi").withColumn("payload", -F.col("payload")), keep_reversed=True)
 
 
+def _own_segments(s, d):
+    """Each clip's own segments, from a table: one from its first to fourth frame on over two minutes, one of its first frames, an empty one."""
+    clips = A.read(s, d, "orders").select(F.col("o_orderkey").alias("clip_id"), (F.col("o_orderkey") % 4 * 40_000).alias("from_us"))
+    rows = F.array(*[F.struct(F.lit(k).alias("ord"), a.cast("long").alias("start_us"), b.cast("long").alias("end_us")) for k, (a, b) in enumerate([(F.col("from_us"), F.lit(130_000_000)), (F.lit(0), F.lit(90_000)), (F.lit(40_000), F.lit(40_000))])])
+    return T.splice(A.frames(s, d), clips.select("clip_id", F.explode(rows).alias("r")).select("clip_id", "r.*"))
+
+
 QUERIES = {
+    "timeline_splice_table": _own_segments,
+    "timeline_copy": lambda s, d: T.splice(A.frames(s, d), []),
     "timeline_make_loop": _made,
     "timeline_chain_poster": lambda s, d: T.Timeline(A.frames(s, d)).splice(SEGMENTS).poster(),
     "timeline_splice": lambda s, d: T.splice(A.frames(s, d), SEGMENTS),
@@ -55,3 +63,8 @@ SELECT s.clip_id, s.shot, s.t_us, max(f.idx) AS idx, arg_max(f.payload, f.idx) A
     "timeline_poster": f"WITH {A.FRAMES} SELECT {OUT} FROM frames QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY abs(pts_us - {SEGMENTS[0][0]}), idx) = 1",
     "timeline_chain": f"WITH {A.FRAMES}, {SPLICED}, {REVERSED.format('spliced')}, {LOOPED.format('reversed')} SELECT {OUT} FROM looped",
 }
+ORACLE |= {
+    "timeline_copy": f"WITH {A.FRAMES} SELECT {OUT} FROM frames",
+    "timeline_splice_table": f"""WITH {A.FRAMES}, own AS (SELECT o_orderkey AS clip_id, o_orderkey % 4 * 40000 AS a FROM orders), segs AS (SELECT clip_id, 0 AS ord, a, 130000000 AS b, 0 AS off FROM own UNION ALL SELECT clip_id, 1, 0, 90000, 130000000 - a FROM own)
+SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY ord, idx) - 1 AS idx, pts_us - a + off AS pts_us, payload FROM frames JOIN segs USING (clip_id) WHERE pts_us >= a AND pts_us < b""",
+}

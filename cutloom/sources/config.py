@@ -6,6 +6,7 @@ import json
 import tomllib
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,18 +54,52 @@ def clips_to_json(clips: DataFrame) -> DataFrame:
     return listed.select("path", F.to_json(F.struct("path", "output_dir", bare.alias("clips"))).alias("json"))
 
 
+def _toml_value(value: Column) -> Column:
+    """A string as TOML writes it: a JSON string is one."""
+    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def clips_to_toml(clips: DataFrame) -> DataFrame:
+    """path, toml: one document for each (path, output_dir), as clips_to_json has it. What is null is left out."""
+    line = lambda key, value: F.when(value.isNotNull(), F.concat(F.lit(f"{key} = "), value, F.lit("\n")))
+    span = lambda r: F.concat(F.lit("{ start = "), r["start"].cast("string"), F.lit(", end = "), r["end"].cast("string"), F.lit(" }"))
+    segments = F.concat(F.lit("["), F.array_join(F.transform("segments", span), ", "), F.lit("]"))
+    text = lambda c: F.when(F.col(c).isNotNull(), _toml_value(F.col(c)))
+    params = F.concat_ws("", line("segments", segments), line("period", F.when(F.col("period").isNotNull(), span(F.col("period")))), line("fps", F.col("fps").cast("string")), line("format", text("format")), line("quality", F.col("quality").cast("string")))
+    op = F.when(F.col("op_type").isNotNull(), F.concat(F.lit("[clips.operation]\n"), line("type", text("op_type")), F.lit("[clips.operation.params]\n"), params))
+    clip = F.concat_ws("", F.lit("\n[[clips]]\n"), line("name", text("name")), line("description", text("description")), op)
+    listed = clips.groupBy("path", "output_dir").agg(F.array_sort(F.collect_list(F.struct("clip_ord", clip.alias("toml")))).alias("c"))
+    return listed.select("path", F.concat_ws("", line("path", text("path")), line("output_dir", text("output_dir")), F.array_join(F.transform("c", lambda c: c["toml"]), "")).alias("toml"))
+
+
+def clips_from_toml(documents: DataFrame, toml_col: str = "toml") -> DataFrame:
+    """clips_from_json of TOML documents; one that isn't TOML gives no clip."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                try:
+                    out.append(json.dumps(tomllib.loads(text or ""), default=str))
+                except tomllib.TOMLDecodeError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["json"])
+
+    return clips_from_json(documents.select(toml_col).mapInArrow(run, "json string"))
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """Clips of a .json or .toml file, which Spark reads wherever it is."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix not in (".json", ".toml"):
         raise UnsupportedFileFormat(suffix)
     text = spark.read.text(path, wholetext=True)
-    if suffix == ".json":
-        return clips_from_json(text, "value")
-    whole = text.first()  # one configuration file
-    return clips_from_json(spark.createDataFrame([(json.dumps(tomllib.loads(whole.value)),)], "json string"))
+    return clips_from_json(text, "value") if suffix == ".json" else clips_from_toml(text, "value")
 
 
-def write_config(clips: DataFrame, path: str) -> None:
-    """One JSON line for each document."""
-    clips_to_json(clips).select("json").write.text(path)
+def write_config(clips: DataFrame, path: str, kind: str = "json") -> None:
+    """One JSON line, or one TOML text, for each document."""
+    if kind not in ("json", "toml"):
+        raise UnsupportedFileFormat(f".{kind}")
+    made = clips_to_json(clips) if kind == "json" else clips_to_toml(clips)
+    made.select(kind).write.text(path)
