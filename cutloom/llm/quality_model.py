@@ -2,8 +2,8 @@
 
 Features of a text: its tokens (runs of letters and digits, and runs of signs) and its token pairs, each
 hashed to one of 2**BITS weights; a pair of two equal tokens is one feature of its own, whichever the
-token, and so is a token of capitals alone. A text's vector holds the square root of each feature's count,
-scaled to length 1; its score is the logistic function of the sparse dot product.
+token. A text's vector holds the square root of each feature's count, scaled to length 1; its score is the
+logistic function of the sparse dot product.
 
 Training runs in one task on a bounded sample of labelled rows (MAX_TRAIN rows, chosen by hash), each as
 sparse arrays that other tasks have made. Scoring is a map over whole texts.
@@ -29,10 +29,6 @@ U = np.uint64
 _KIND = np.full(256, 2, np.uint8)
 _KIND[_words.IS_SPACE] = 0
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
-_IS_LOWER = np.zeros(256, np.int64)
-_IS_LOWER[list(range(0x61, 0x7B))] = 1
-_IS_UPPER = np.zeros(256, np.int64)
-_IS_UPPER[list(range(0x41, 0x5B))] = 1
 
 
 def features(s: _words.Slice, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,13 +45,11 @@ def features(s: _words.Slice, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
     n = np.diff(rows)
     row = np.repeat(np.arange(s.rows), n)
     token = _words.range_hash(_words.prefix_sums(s.data), start, end)
-    lower, upper = (np.concatenate([[0], np.cumsum(x[s.data])]) for x in (_IS_LOWER, _IS_UPPER))
-    shout = (upper[end] - upper[start] >= 2) & (lower[end] == lower[start])
     left, right, inside = token[:-1], token[1:], row[:-1] == row[1:]
     pair = np.where(left == right, U(0x77), _words.mix(left * U(3) + right))[inside]
     size = U(1 << bits)
-    index = np.concatenate([np.zeros(s.rows, U), _words.mix(token, 1) % (size - U(1)) + U(1), _words.mix(pair, 2) % (size - U(1)) + U(1), _words.mix(np.full(int(shout.sum()), 5, U), 3) % (size - U(1)) + U(1)])
-    of_row = np.concatenate([np.arange(s.rows), row, row[:-1][inside], row[shout]]).astype(U)
+    index = np.concatenate([np.zeros(s.rows, U), _words.mix(token, 1) % (size - U(1)) + U(1), _words.mix(pair, 2) % (size - U(1)) + U(1)])
+    of_row = np.concatenate([np.arange(s.rows), row, row[:-1][inside]]).astype(U)
     key, count = np.unique((of_row << U(bits)) | index, return_counts=True)
     of_row, index = (key >> U(bits)).astype(np.int64), (key & (size - U(1))).astype(np.int64)
     first = np.searchsorted(of_row, np.arange(s.rows + 1))
