@@ -57,6 +57,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the names given: picked(df, id='doc_id') has one column, id. Other columns can't clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
