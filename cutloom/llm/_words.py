@@ -86,8 +86,9 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         first = last
 
 
-def words(s: Slice) -> Words:
-    solid = ~IS_SPACE[s.data]
+def words(s: Slice, solid: np.ndarray | None = None) -> Words:
+    """The maximal runs of bytes where solid holds (those other than space, if None), each within its row."""
+    solid = ~IS_SPACE[s.data] if solid is None else solid
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
