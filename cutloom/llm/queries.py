@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cutloom.llm import jaccard_join, licenses, line_dedup, media, mixing, packing, pii, quality_model, rules, spelling, token_counts, vector_codes
+from cutloom.llm import jaccard_join, knn, licenses, line_dedup, media, mixing, packing, pii, quality_model, rules, spelling, token_counts, vector_codes
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,
+    "op11_voronoi_top_k": knn.query,
     "op12_spelling_variants": spelling.query,
     "op13_vector_codes": vector_codes.query,
 }
@@ -22,6 +23,7 @@ ORACLE = {
     "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_voronoi_top_k": knn.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,
 }
