@@ -179,9 +179,9 @@ def _joined(column: pa.ChunkedArray) -> bytes:
     return b"".join(column.to_pylist())
 
 
-def _groups(batches, part: Partition, s: Summary, k: int):
+def _groups(batches, part: Partition, s: Summary, k: int, group: int, block: int, turn: int):
     """A group of queries of one cell a row: its thresholds, and a place for each ring that one of them needs."""
-    for (_,), rows in _runs(batches, ("cell",), GROUP):
+    for (_,), rows in _runs(batches, ("cell",), group):
         x, number = unpacked(_joined(rows["codes"]), part), rows["row"].to_numpy()
         sure, best = np.empty(len(x)), np.full(len(s.ring), -np.inf)
         for a in range(0, len(x), max(1, CELLS // SAMPLE)):
@@ -189,7 +189,7 @@ def _groups(batches, part: Partition, s: Summary, k: int):
             sure[a:b], most = thresholds(x[a:b], number[a:b], part, s, k)
             best = np.maximum(best, np.where(most >= sure[a:b, None], most, -np.inf).max(axis=0))
         need = np.flatnonzero(best > -np.inf)
-        turns = max(1, math.ceil(float((s.n[need] / BLOCK + 1).sum()) / TURN))
+        turns = max(1, math.ceil(float((s.n[need] / block + 1).sum()) / turn))
         needs = [{"ring": int(s.ring[i]), "best": float(best[i])} for i in need]
         yield pa.RecordBatch.from_pylist([{"grp": int(number[0]), "turns": turns, "needs": needs, "rows": number.tobytes(), "codes": _joined(rows["codes"]), "sure": sure.tobytes()}], GROUPS)
 
@@ -197,9 +197,9 @@ def _groups(batches, part: Partition, s: Summary, k: int):
 GROUPS = pa.schema([("grp", pa.int64()), ("turns", pa.int32()), ("needs", pa.list_(pa.struct([("ring", pa.int32()), ("best", pa.float64())]))), ("rows", pa.binary()), ("codes", pa.binary()), ("sure", pa.binary())])
 
 
-def _blocks(batches):
+def _blocks(batches, block: int):
     """A block of vectors of one ring a row."""
-    for (ring,), rows in _runs(batches, ("ring",), BLOCK):
+    for (ring,), rows in _runs(batches, ("ring",), block):
         columns = [[rows["row"][0].as_py()], [ring], [rows["row"].combine_chunks().to_numpy().tobytes()], [rows["vec_id"].to_pylist()], [_joined(rows["codes"])]]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(rows.schema.field("vec_id").type)), pa.array(columns[4], pa.binary())], ["block", "ring", "rows", "ids", "codes"])
 
@@ -264,13 +264,14 @@ def _solved(batches, part: Partition, k: int):
         yield result()
 
 
-def top_k(vectors: DataFrame, asks: Column, id_col="vec_id", vector_col="embedding", k=K, scale=256, pivots: int | None = None, rings=RINGS, sample=SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, asks: Column, id_col="vec_id", vector_col="embedding", k=K, scale=256, pivots: int | None = None, rings=RINGS, sample=SAMPLE, group=GROUP, block=BLOCK, turn=TURN) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which ``asks`` (over the input's columns) holds, the k rows of largest integer inner product, its own row left out.
 
     Components become floor(scale * x). Equal scores go by id, null ids last, then by row. Rows whose vector is null or holds a null or non-finite component
     take no part; of vectors of different lengths, the shorter count as if zeros followed. Rows of one id are different rows: each leaves out
     itself alone, and a repeated query has its answers once a row. A query with fewer than k other rows gets them all. Integers beyond 31 bits, or
     vectors whose products might pass 2**53, are an error. An empty table gives an empty table; other columns are ignored.
+    group: queries in a row at most; block: vectors in one; turn: blocks that a task goes through for a group, about.
     pivots: None for an eighth of the square root of the number of rows, at most MOST_PIVOTS.
     """
     spark, c = vectors.sparkSession, F.col
@@ -294,12 +295,12 @@ def top_k(vectors: DataFrame, asks: Column, id_col="vec_id", vector_col="embeddi
     found = ranges.orderBy("ring").toPandas()  # at most pivots x rings rows
     summary = Summary(found["ring"].to_numpy(), found["ring"].to_numpy() // rings, *[found[x].to_numpy() for x in ("n", "distance_min", "distance_max", "norm_min", "norm_max")])
     asking = placed.filter("asks").select(F.floor(c("ring") / rings).cast("int").alias("cell"), "row", "codes").repartitionByRange("cell", "row").sortWithinPartitions("cell", "row")
-    groups = asking.mapInArrow(lambda b: _groups(b, share.value, summary, k), "grp long, turns int, needs array<struct<ring:int,best:double>>, rows binary, codes binary, sure binary")
+    groups = asking.mapInArrow(lambda b: _groups(b, share.value, summary, k, group, block, turn), "grp long, turns int, needs array<struct<ring:int,best:double>>, rows binary, codes binary, sure binary")
     groups = materialize(groups, "groups")
     blocks = placed.select("ring", "row", "vec_id", "codes").repartitionByRange("ring", "row").sortWithinPartitions("ring", "row")
-    blocks = materialize(blocks.mapInArrow(_blocks, f"block long, ring int, rows binary, ids array<{kind}>, codes binary"), "blocks")
+    blocks = materialize(blocks.mapInArrow(lambda b: _blocks(b, block), f"block long, ring int, rows binary, ids array<{kind}>, codes binary"), "blocks")
     needs = materialize(groups.select("grp", "turns", F.explode("needs").alias("need")).select("grp", "turns", "need.ring", "need.best"), "needs")
-    tasks = max(1, groups.agg(F.sum("turns")).first()[0] or 0)  # about a task a turn, which has TURN blocks or so
+    tasks = max(1, groups.agg(F.sum("turns")).first()[0] or 0)  # about a task a turn, which has ``turn`` blocks or so
     none = F.lit(None)
     sent = blocks.join(needs, "ring").select("grp", F.pmod(F.xxhash64("block"), c("turns")).cast("int").alias("turn"), F.lit(1).alias("part"), "best", "rows", "ids", "codes", none.cast("binary").alias("sure"))
     own = groups.select("grp", F.explode(F.sequence(F.lit(0), c("turns") - 1)).alias("turn"), F.lit(0).alias("part"), F.lit(0.0).alias("best"), "rows", none.cast(f"array<{kind}>").alias("ids"), "codes", "sure")
