@@ -221,7 +221,7 @@ class Best:
             at = alive[a : a + step]
             scores = self.x[at] @ y.T
             scores[self.rows[at][:, None] == rows[None, :]] = -np.inf
-            hits = scores >= self.sure[at][:, None]
+            hits = (scores >= self.sure[at][:, None]) & (scores > -np.inf)
             for i in np.flatnonzero(hits.any(axis=1)).tolist():
                 self._add(int(at[i]), scores[i], np.flatnonzero(hits[i]), rows, ids)
 

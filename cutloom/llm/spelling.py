@@ -269,7 +269,8 @@ def _near(batches):
             own = tokens[starts[row] : starts[row + 1]]
             if index.words:
                 asked = own if role != LONGER else own + [t - POSITION for t in own]
-                out.extend((word, n, *found) for found in index.near(word, asked, len(own) - Q))
+                found = index.near(word, asked, len(own) - Q)
+                out.extend((word, n, *x) if len(x[0]) < len(word) or x[0] < word else (*x, word, n) for x in found)
             if role == BASE:
                 index.add(word, n, own)
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
@@ -277,7 +278,7 @@ def _near(batches):
 
 
 def near_pairs(words: DataFrame, letters=LETTERS, chunk=CHUNK) -> DataFrame:
-    """word, n, near, near_n: each pair of words(word, n), of at least ``letters`` letters, that are one edit apart, once.
+    """word, n, near, near_n: each pair of words(word, n), of at least ``letters`` letters, that are one edit apart, once: near is the shorter, of equally long ones the first.
 
     A group of more than ``chunk`` bases is dealt in chunks; a base is looked up in the chunks before its own too, a longer word in all.
     """

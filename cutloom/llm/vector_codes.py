@@ -33,7 +33,8 @@ def integers(vector: str, scale: int = SCALE):
     """The column's vectors as arrays of floor(scale * x); null for those that are null or hold a null or non-finite component."""
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(fine, F.transform(wide, lambda x: F.floor(x * float(scale)).cast("long")))
+    most = F.lit(2.0**62)  # what is larger is too large for any use: callers refuse it
+    return F.when(fine, F.transform(wide, lambda x: F.floor(F.greatest(F.least(x * float(scale), most), -most)).cast("long")))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
