@@ -158,20 +158,35 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays(columns, ["v", "tree", "hi", "lo", "shared", "foreign"])
 
 
+def _text_keyed(batches, at: int):
+    """The rows with their text's key and number of words."""
+    for batch in batches:
+        k1, k2, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in _words.slices(batch.column(at)):
+            w = _words.words(s)
+            for out, key in zip((k1, k2), text_keys(_words.word_hashes(s, w), w.rows), strict=True):
+                out.append(key)
+            n.append(w.counts())
+        more = [pa.array(np.concatenate(x).astype(np.int64)) for x in (k1, k2, n)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "k1", "k2", "n"])
+
+
 def _shingled(batches, k: int):
-    """Of the texts whose key is the one asked for: their distinct shingles, sorted."""
+    """The texts' distinct shingles, sorted. Repeated rows of one text arrive together, and one stays."""
+    last = -1
     for batch in batches:
+        v = batch.column("v").to_numpy()
+        new = np.concatenate([[last], v[:-1]])[: len(v)] != v
+        last = v[-1] if len(v) else last
+        batch = batch.filter(pa.array(new))
         for s in _words.slices(batch.column(0)):
             w = _words.words(s)
             h = _words.word_hashes(s, w)
             sh, first = _words.shingles(h, w.rows, k)
-            part = batch.slice(s.first, s.rows)
-            k1, k2 = text_keys(h, w.rows)
-            same = np.flatnonzero((k1 == part.column(1).to_numpy()) & (k2 == part.column(2).to_numpy()))
-            sets = [np.unique(sh[first[i] : first[i + 1]]) for i in same.tolist()]
+            sets = [np.unique(sh[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            rest = part.select(part.schema.names[3:]).take(pa.array(same, pa.int32()))
+            rest = batch.slice(s.first, s.rows).select(batch.schema.names[1:])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [*rest.schema.names, "sh"])
 
 
@@ -345,23 +360,11 @@ def _meetings(members: DataFrame, shared: DataFrame) -> DataFrame:
     return whole.unionByName(each.groupBy("v").agg(F.collect_list(meet(c("parts"), c("tree"), c("pa"), c("pb"))).alias("meets")))
 
 
-def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE, threshold=THRESHOLD, trees=TREES, recall=RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies: one row per input row.
-
-    n_links counts the other rows whose set of k-word shingles has Jaccard similarity threshold or more,
-    copies among them; class_id is the least id that such links lead to, its own if none; n_copies counts
-    the other rows of the same words. Words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than k words has one
-    shingle, all of them. Null, empty and blank texts link to nothing. Rows with a null id take no part: class_id null, no links. Repeated rows are copies.
-    Pairs at the threshold are found with probability ``recall`` each at least, more similar ones more surely;
-    no pair below it is ever linked. An empty table gives an empty table; other columns are ignored.
-    """
+def _classified(known: DataFrame, kind: str, k: int, threshold: float, trees: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Of known (doc_id, text; no null ids): signed, each row's (doc_id, k1, k2, n), and per text (k1, k2, rep_id, n_links, n_copies, root), the texts of one class having one root."""
     c = F.col
-    rows = picked(docs, doc_id=id_col, text=text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    known = rows.filter("doc_id is not null")
     signed = materialize(known.mapInArrow(lambda b: _signed(b, k, trees), f"doc_id {kind}, k1 long, k2 long, n long, paths array<long>"), "signed")
-    full = signed.filter("n > 0")
-    reps = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("paths").alias("paths"))
+    reps = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("paths").alias("paths"))
     reps = materialize(reps.withColumn("v", F.monotonically_increasing_id()), "reps")
     _, edges, shared = forest(reps, threshold, recall, trees)
     found = components(edges.select(c("v").alias("u"), c("hub").alias("v")))
@@ -369,7 +372,9 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE
     members = materialize(reps.join(members, c("v") == c("of")).drop("of"), "members")
     meets = _meetings(members, shared).withColumnRenamed("v", "of")
     asked = members.select("k1", "k2", "v", "rep_id", "copies", "paths").join(meets, c("v") == c("of")).drop("of")
-    texts = known.join(asked.hint("merge"), known["doc_id"] == asked["rep_id"]).select("text", "k1", "k2", "v", "copies", "paths", "meets")
+    keyed = known.mapInArrow(lambda b: _text_keyed(b, 1), f"doc_id {kind}, text string, k1 long, k2 long, n long").drop("n")
+    asked = asked.withColumnRenamed("rep_id", "doc_id").hint("merge")  # by id and text, so an id of many texts is as many keys
+    texts = keyed.join(asked, ["doc_id", "k1", "k2"]).select("text", "v", "copies", "paths", "meets")
     sets = texts.mapInArrow(lambda b: _shingled(b, k), f"v long, copies long, paths array<long>, meets {MEETS}, sh array<long>")
     meeting = sets.select("v", "copies", "sh", "paths", F.explode("meets").alias("m")).withColumn("chunk", F.pmod(F.xxhash64("v"), c("m.chunks")).cast("int"))
     meeting = meeting.withColumn("other", F.explode(F.sequence(F.lit(0), c("m.chunks") - 1)))
@@ -382,22 +387,49 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE
     classes = components(verified.select(c("v").alias("u"), c("least").alias("v")))
     per_text = reps.select("k1", "k2", "v", "rep_id", "copies").join(links, "v", "left").join(classes.withColumnRenamed("u", "v"), "v", "left")
     per_text = per_text.select("k1", "k2", "rep_id", (F.coalesce("links", F.lit(0)) + c("copies") - 1).alias("n_links"), (c("copies") - 1).alias("n_copies"), F.coalesce("root", "v").alias("root"))
-    per_text = materialize(per_text, "per-text")
+    return signed, materialize(per_text, "per-text")
+
+
+def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE, threshold=THRESHOLD, trees=TREES, recall=RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies: one row per input row.
+
+    n_links counts the other rows whose set of k-word shingles has Jaccard similarity threshold or more,
+    copies among them; class_id is the least id that such links lead to, its own if none; n_copies counts
+    the other rows of the same words. Words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than k words has one
+    shingle, all of them. Null, empty and blank texts link to nothing. Rows with a null id take no part: class_id null, no links. Repeated rows are copies.
+    Pairs at the threshold are found with probability ``recall`` each at least, more similar ones more surely;
+    no pair below it is ever linked. An empty table gives an empty table; other columns are ignored.
+    """
+    c = F.col
+    rows = picked(docs, doc_id=id_col, text=text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    known = rows.filter("doc_id is not null")
+    signed, per_text = _classified(known, kind, k, threshold, trees, recall)
     lowest = materialize(per_text.groupBy("root").agg(F.min("rep_id").alias("class_id")), "class-ids")
     named = per_text.join(lowest, "root").select("k1", "k2", "class_id", "n_links", "n_copies")
-    linked = full.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "n_copies")
+    linked = signed.filter("n > 0").select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "n_copies")
     none = F.lit(0).cast("long")
     blank = signed.filter("n = 0").select("doc_id", c("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies"))
     unknown = rows.filter("doc_id is null").select("doc_id", F.lit(None).cast(kind).alias("class_id"), none.alias("n_links"), none.alias("n_copies"))
     return linked.unionByName(blank).unionByName(unknown)
 
 
-def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """docs with the least id of each class alone; rows with a null id or a blank text all stay, and of equal rows of a kept id one. Columns unchanged."""
-    out = jaccard_classes(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(out.hint("merge"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    whole = F.col(f"`{id_col}`").isNotNull() & F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.filter(whole).dropDuplicates([id_col, text_col]).unionByName(left.filter(~whole))
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE, threshold=THRESHOLD, trees=TREES, recall=RECALL) -> DataFrame:
+    """docs with one row of each class: of its least id, and of that id's texts in the class one. Columns unchanged.
+
+    A row is known by its id and its words, so rows of one id are in as many classes as their texts, and each text that nothing else has stays.
+    Rows with a null id or a blank text all stay.
+    """
+    names = docs.columns
+    tidy = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    ident, at = f"c{names.index(id_col)}", names.index(text_col)
+    keyed = tidy.mapInArrow(lambda b: _text_keyed(b, at), ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) + ", k1 long, k2 long, n long")
+    known = picked(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
+    _, per_text = _classified(known, known.schema["doc_id"].dataType.simpleString(), k, threshold, trees, recall)
+    first = per_text.groupBy("root").agg(F.min(F.struct("rep_id", "k1", "k2")).alias("first")).select(F.col("first.rep_id").alias(ident), "first.k1", "first.k2")
+    worded = (F.col("n") > 0) & F.col(ident).isNotNull()
+    kept = keyed.filter(worded).join(materialize(first, "kept").hint("merge"), [ident, "k1", "k2"], "left_semi").dropDuplicates([ident, "k1", "k2"])
+    return kept.unionByName(keyed.filter(~worded)).select(*tidy.columns).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
