@@ -152,13 +152,16 @@ def configurations(groups: list[Group], capacity: int = CAPACITY) -> list[tuple[
     demand = np.array([g.count for g in groups], float)
     basis = [[capacity // s if i == k else 0 for i in range(m)] for k, s in enumerate(sizes)]
     matrix = np.array(basis, float).T
-    for _ in range(4 * m):
+    cost, stalled = np.inf, 0
+    while stalled <= m:  # as long as patterns improve it; steps that change no count (x is 0 there) may come between
         inverse = np.linalg.inv(matrix)
         worth = inverse.sum(axis=0)  # every pattern costs one sequence
         column = _best_pattern(sizes, np.maximum(worth, 0), [capacity] * m, capacity)
         if float(np.dot(column, worth)) <= 1 + 1e-7:
             break
         direction, x = inverse @ np.array(column, float), inverse @ demand
+        stalled = 0 if x.sum() < cost * (1 - 1e-12) else stalled + 1
+        cost = min(cost, float(x.sum()))
         steps = np.where(direction > 1e-9, np.maximum(x, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(np.argmin(steps))
         basis[out], matrix[:, out] = column, column
