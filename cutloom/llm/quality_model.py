@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutloom.llm import _words
-from cutloom.llm._tables import documents, labels, picked
+from cutloom.llm._tables import documents, labels, materialize, picked
 
 BITS = 18
 MAX_TRAIN = 16_000
@@ -100,17 +100,28 @@ def learnable(id_: Column) -> Column:
     return F.crc32(id_.cast("string")) % 5 != 0
 
 
-def train(docs: DataFrame, marks: DataFrame, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", max_train=MAX_TRAIN, bits=BITS, steps=STEPS, alpha=1.0, beta=1.0, l1=0.1, l2=0.1) -> np.ndarray:
-    """Weights from labelled rows whose crc32(id) mod 5 isn't 0, at most about max_train of them, picked by a hash of the id.
+def training_texts(docs: DataFrame, marks: DataFrame, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", max_train=MAX_TRAIN) -> DataFrame:
+    """text, label, at of labelled texts whose crc32(id) mod 5 isn't 0: about max_train of them, those of least hash (``at``) of (id, text, label).
 
-    Rows with a null id or label don't train. Of an id with several labels each trains. With no label, all weights are 0.
+    Rows with a null id or label aren't among them. Of an id with several texts or labels each pair is one; equal ones are one.
     """
     marked = marks.select(F.col(f"`{label_id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label")).filter("doc_id is not null and label is not null")
-    marked = marked.filter(learnable(F.col("doc_id"))).withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    total = marked.count()
-    share = min(1.0, max_train / max(total, 1))
-    chosen = marked.filter(F.col("at") < F.lit(int(share * (1 << 30))))
-    texts = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select("text", "label", "at")  # about max_train rows of three numbers
+    marked = marked.filter(learnable(F.col("doc_id")))
+    rows = picked(docs, doc_id=id_col, text=text_col).withColumn("digest", F.xxhash64("text"))
+    pairs = rows.select("doc_id", "digest").join(marked, "doc_id").distinct().withColumn("at", F.pmod(F.xxhash64("doc_id", "digest", "label"), F.lit(1 << 30)))
+    pairs = materialize(pairs, "label-pairs")
+    share = min(1.0, max_train / max(pairs.count(), 1))
+    chosen = pairs.filter(F.col("at") < F.lit(int(share * (1 << 30))))
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "digest"])  # about max_train rows of four numbers
+    return texts.dropDuplicates(["doc_id", "digest", "label"]).select("text", "label", "at")
+
+
+def train(docs: DataFrame, marks: DataFrame, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", max_train=MAX_TRAIN, bits=BITS, steps=STEPS, alpha=1.0, beta=1.0, l1=0.1, l2=0.1) -> np.ndarray:
+    """Weights from training_texts(). With no label, all weights are 0.
+
+    The one training task holds the features of these texts alone; it passes over them 2 to 40 times, about ``steps`` steps in all.
+    """
+    texts = training_texts(docs, marks, id_col, text_col, label_id_col, label_col, max_train)
     sparse = texts.mapInArrow(lambda b: _sparse_rows(b, bits), "label double, at long, index array<int>, value array<float>")
     one = sparse.repartition(1).sortWithinPartitions("at", "label", F.xxhash64("index"))
     rows = one.mapInArrow(lambda b: _ftrl(b, bits, steps, alpha, beta, l1, l2), "index int, weight double").toArrow()
