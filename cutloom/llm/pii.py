@@ -3,8 +3,8 @@
 A found value is validated (check digits, ranges, calendar), turned into a number of its format's domain,
 permuted there under the key, and written back in the same format; steps that leave the valid set are
 repeated (cycle walking), so the map is a bijection of each format's valid values. It depends on the key, the kind and
-the value alone: equal values get equal pseudonyms in every document, and whoever holds the key can undo them. Only where digits
-or words beside a value would then read as a part of it (about one card in ten before a number of up to 3 digits) does it walk on.
+the value alone: equal values get equal pseudonyms in every document, whatever stands beside them. The spans that come with a text say
+where its pseudonyms are, since formats and so lengths are kept: with them and the key every text can be undone exactly.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
 _SHAPES = re.compile(
     r"""(?P<email>(?<![.%+-])(?<!(?u:\w))(?u:[\w.%+-])++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}\b)
     |(?P<secret>(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b["']?[ ]{0,3}[=:][ ]{0,3}["']?)(?P<value>[^\x00-\x20"'\x7f]{5,}[^\x00-\x20"'\x7f.,;:!?)\]}])|\b(?:AKIA|ASIA)(?P<key_id>[A-Z0-9]{16})\b)
-    |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?+\b)
+    |(?P<iban>\b(?:[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,4})?+|[a-z]{2}[0-9]{2}(?:[ -]?[a-z0-9]{4}){2,7}(?:[ -]?[a-z0-9]{1,4})?+)\b)
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}+(?![0-9])|(?<![\w+.-])\([2-9][0-9]{2}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+.-])[2-9][0-9]{2}(?P<dot>[.-])[2-9][0-9]{2}(?P=dot)[0-9]{4}(?![\w-]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
-    |(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<y>[/.-])[0-9]{2}(?P=y)[0-9]{2}|[0-9]{2}(?P<d>[/.-])[0-9]{2}(?P=d)[0-9]{4})(?![\w]|[/.-][0-9]))
+    |(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<y>[/.-])[0-9]{2}(?P=y)[0-9]{2}|[0-9]{2}(?P<d>[/.-])[0-9]{2}(?P=d)[0-9]{4})(?=T[0-9]{2}:|(?!\w|[/.-][0-9])))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))""",
     re.X | re.A,
@@ -115,12 +115,13 @@ def _card(text, key, back):
 
 
 def _iban(text, key, back):
-    plain = text.replace(" ", "")
+    plain = text.translate({32: None, 45: None}).upper()
     country, check, rest = plain[:2], plain[2:4], plain[4:]
     if not 15 <= len(plain) <= 34 or iban_check(country, rest) != check:
         return None
     rest = _mixed(rest, key, "iban", back)
-    return _like(text, country + iban_check(country, rest) + rest, lambda c: c != " ")
+    new = country + iban_check(country, rest) + rest
+    return _like(text, new.lower() if text[0].islower() else new, lambda c: c not in " -")
 
 
 def _ssn(text, key, back):
@@ -213,74 +214,76 @@ _MAPS = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn"
 _CARD_LIKE = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}", re.A)
 
 
+_MORE = re.compile(r"(?:[ -]?[0-9])*+", re.A)
+_PART = re.compile(r"[\w-]")
 _CARD_RUN = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", re.A)
 
 
-def _readings(kind: str, text: str, start: int, end: int) -> tuple[list[tuple[int, int]], int]:
-    """Where the value may stand, and up to where the text decides it.
+def _readings(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where the value may stand, the likeliest place first.
 
-    The whole match; else, as numbers or words may stand beside a card or IBAN, its parts between blanks and hyphens, those grouped like a card first,
-    then the earliest and longest. A phone number ends before the last valid card, grouped like one, that begins inside the match.
+    As numbers or words may stand beside a card or IBAN, its parts between blanks and hyphens count too. Of a card, also those that begin in the match
+    and end behind it: those that are grouped like one and begin with a digit of the large issuers first, then those grouped like one, then the earliest and longest.
+    Grouping and first digit stay in a pseudonym. A phone number ends before the last valid card, grouped like one, that begins inside the match.
     """
     if kind == "phone":
-        reach = end
         for gap in (k for k in range(end - 1, start, -1) if text[k] in " -"):
-            if m := _CARD_RUN.match(text, gap + 1):
-                reach = max(reach, m.end())
-                if any(a == gap + 1 and _CARD_LIKE.fullmatch(text, a, z) and _is_card(text[a:z]) for a, z in _readings("card", text, *m.span())[0]):
-                    return [(start, gap), (start, end)], reach
-        return [(start, end)], reach
+            m = _CARD_RUN.match(text, gap + 1)
+            if m and any(a == gap + 1 and _CARD_LIKE.fullmatch(text, a, z) and _is_card(text[a:z]) for a, z in _readings("card", text, *m.span())):
+                return [(start, gap), (start, end)]
+        return [(start, end)]
     if kind not in ("card", "iban"):
-        return [(start, end)], end
-    gaps = [k for k in range(start, end) if text[k] in " -"]
-    starts = [start, *[k + 1 for k in gaps]] if kind == "card" else [start]
-    least = 13 if kind == "card" else 15
-    parts = [(a, z) for a in starts for z in (end, *reversed(gaps)) if sum(c.isalnum() for c in text[a:z]) >= least and (a, z) != (start, end)]
-    return [(start, end), *sorted(parts, key=lambda p: not _CARD_LIKE.fullmatch(text, *p))], end
-
-
-def _next(text: str, at: int, key: bytes, back: bool) -> tuple[str, int, int, str, tuple[int, int] | None] | None:
-    """The first valid value from ``at`` on: kind, start, end, pseudonym, and the range of text that was refused before it, or decided where it ends, and reaches it."""
-    refused = None
+        return [(start, end)]
+    if kind == "iban":
+        ends = [end, *[k for k in range(end - 1, start, -1) if text[k] in " -"]]
+        return [(start, z) for z in ends if sum(c.isalnum() for c in text[start:z]) >= 15]
+    starts = [start, *[k + 1 for k in range(start, end) if text[k] in " -"]]
+    run = _MORE.match(text, end, end + 24).end()
+    ends = [k for k in range(run, start, -1) if k == end or text[k - 1] in "0123456789" and (text[k : k + 1] in (" ", "-") or k == run and not _PART.match(text, k))]
+    parts = [(a, z) for a in starts for z in ends if 13 <= sum(c.isdigit() for c in text[a:z]) <= 19]
+    like = {p: bool(_CARD_LIKE.fullmatch(text, *p)) for p in parts}
+    return sorted(parts, key=lambda p: (not (like[p] and text[p[0]] in "3456"), not like[p]))
+
+
+def _next(text: str, at: int, key: bytes, back: bool) -> tuple[str, int, int, str] | None:
+    """The first valid value from ``at`` on: kind, start, end, pseudonym."""
     while m := _SHAPES.search(text, at):
         kind = next(k for k in KINDS if m.group(k) is not None)
         start, end = m.span(kind if kind != "secret" else "value" if m["value"] else "key_id")
-        if refused and refused[1] <= m.start():
-            refused = None
-        readings, reach = _readings(kind, text, start, end)
-        if reach > end:
-            refused = (refused[0] if refused else m.start(), max(reach, refused[1] if refused else 0))
-        for first, stop in readings:
+        for first, stop in _readings(kind, text, start, end):
             new = _MAPS[kind](text[first:stop], key, back)
             if new is not None:
-                return kind, first, stop, new, refused
-            refused = (refused[0] if refused else m.start(), max(m.end(), refused[1] if refused else 0))
+                return kind, first, stop, new
         at = m.start() + 1
     return None
 
 
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with every valid value replaced, and (kind, start, length) of each. back undoes it.
+    """The text with every valid value replaced, and (kind, start, length) of each.
 
-    Where longer or earlier readings of the same characters were refused, the permutation is repeated until they
-    are refused for the pseudonym too, so that undoing finds the same value.
+    back undoes the values that it finds: all, unless a pseudonym and the numbers beside it happen to read as another valid value. restored() needs no luck.
     """
     found: list[tuple[str, int, int]] = []
     if not _WORTH.search(text):
         return text, found
     out, at = [], 0
     while hit := _next(text, at, key, back):
-        kind, start, end, new, refused = hit
-        if refused:
-            first, left, right = refused[0], text[max(refused[0] - 1, 0) : start], text[end : max(refused[1], end) + 40]
-            while (again := _next(left + new + right, min(first, 1), key, back)) is None or again[:3] != (kind, len(left), len(left + new)):
-                new = _MAPS[kind](new, key, back)
+        kind, start, end, new = hit
         out += [text[at:start], new]
         found.append((kind, start, end - start))
         at = end
     return "".join([*out, text[at:]]), found
 
 
+def restored(text: str, spans: list[tuple[str, int, int]], key: bytes) -> str:
+    """The text before pseudonymise() gave it these spans."""
+    out, at = [], 0
+    for kind, start, length in spans:
+        out += [text[at:start], _MAPS[kind](text[start : start + length], key, True)]
+        at = start + length
+    return "".join([*out, text[at:]])
+
+
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
 
@@ -303,7 +306,8 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col="doc_id", text_col="text", ba
     values of password, token, secret and key assignments (up to white space, a quote or closing punctuation), and access key ids. What fails its validation
     stays, as do letters outside ASCII and Latin-1. Equal days written in different orders get equal days. One row per
     input row, repeated rows and null ids too; a null text stays null with no spans, an empty one empty, long ones are read whole; an empty table gives an
-    empty one; other columns are ignored. No shuffle. Whoever has the key can undo it with ``back``: keep it out of the code.
+    empty one; other columns are ignored. No shuffle. Whoever has the key can undo it, by restore(): keep it out of the code.
+    back: undo the values that are found in the texts, where the spans are lost; see pseudonymise().
     """
     rows = picked(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -311,7 +315,20 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col="doc_id", text_col="text", ba
     return rows.mapInArrow(lambda b: _replaced(b, key, back), f"doc_id {kind}, text string, n_pii long{counts}, spans array<struct<kind:string,start:int,length:int>>")
 
 
+def restore(pseudonymous: DataFrame, key: bytes, id_col="doc_id", text_col="text", spans_col="spans") -> DataFrame:
+    """doc_id and the original text of every row that pseudonyms() gave, by its spans. Null texts stay null."""
+    rows = picked(pseudonymous, doc_id=id_col, text=text_col, spans=spans_col)
+
+    def run(batches):
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            texts = [text and restored(text, [(x["kind"], x["start"], x["length"]) for x in spans], key) for text, spans in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """The key is hexadecimal in spark.cutloom.pii.key; without one, a random key is drawn that nobody keeps."""
+    """The key is hexadecimal in spark.cutloom.pii.key; without one, a random key is drawn that nobody keeps, so that the pseudonyms of two runs have nothing in common."""
     given = spark.conf.get(KEY_CONF, None)
     return pseudonyms(documents(spark, sf_dir), bytes.fromhex(given) if given else secrets.token_bytes(32))
