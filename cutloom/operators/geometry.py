@@ -10,7 +10,6 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,29 +131,6 @@ def contained_boxes(boxes: DataFrame) -> DataFrame:
     return ranked.select("image_id", "shape_id", "area").join(owner, ["image_id", "shape_id"], "left").select("image_id", "shape_id", "area", (-F.col("own.back")).alias("owner_id"))
 
 
-def area_ratio_holes(boxes: DataFrame, least: float = 0.01, most: float = 0.8) -> DataFrame:
-    """image_id, shape_id, owner_id where a claim also needs an area ratio in [least, most].
-
-    That is not transitive, so the greedy order itself decides: an image's shapes are one group by definition.
-    """
-
-    def claim(shapes: pd.DataFrame) -> pd.DataFrame:
-        shapes = shapes.assign(area=(shapes.x1 - shapes.x0) * (shapes.y1 - shapes.y0)).sort_values(["area", "shape_id"], ascending=[False, True], ignore_index=True)
-        x0, y0, x1, y1, area = (shapes[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "area"))
-        owner = np.full(len(shapes), -1)
-        for k in range(len(shapes)):
-            if owner[k] < 0:
-                ratio = area / area[k]
-                inside = (x0 > x0[k]) & (y0 > y0[k]) & (x1 < x1[k]) & (y1 < y1[k]) & (ratio >= least) & (ratio <= most)
-                inside[: k + 1] = False
-                owner[inside & (owner < 0)] = k
-        ids = shapes.shape_id.to_numpy()
-        out = pd.DataFrame({"image_id": shapes.image_id, "shape_id": ids, "owner_id": pd.array([ids[o] if o >= 0 else None for o in owner], "Int64")})
-        return out
-
-    return boxes.select("image_id", "shape_id", "x0", "y0", "x1", "y1").groupBy("image_id").applyInPandas(claim, "image_id string, shape_id long, owner_id long")
-
-
 def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Ends stay; a stretch keeps its farthest point if that is over tolerance away (the first of equals)."""
     if len(points) < 3:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cutloom.operators import geometry as G
 from cutloom.operators import raster as R
+from cutloom.operators.claims import inside
 from cutloom.sources.errors import UnknownExtractor
 
 RINGS = f"array<{G.RING}>"
@@ -35,19 +36,6 @@ def _area(ring: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2 if len(ring) > 2 else 0.0
 
 
-def _inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Whether each point lies within the ring or on its border (crossing numbers)."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    x, y = points[:, :1], points[:, 1:]
-    cross = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (b[:, 1] - a[:, 1]) * (x - a[:, 0])
-    span = (np.minimum(a[:, 0], b[:, 0]) <= x) & (x <= np.maximum(a[:, 0], b[:, 0])) & (np.minimum(a[:, 1], b[:, 1]) <= y) & (y <= np.maximum(a[:, 1], b[:, 1]))
-    border = ((np.abs(cross) < 1e-9) & span).any(axis=1)
-    rises = (a[:, 1] > y) != (b[:, 1] > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-    return border | ((rises & (x < at)).sum(axis=1) % 2 == 1)
-
-
 def containment_holes(contours: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """Largest first, each contour that none has claimed claims all others inside it. One of no area holds nothing; islands within holes are holes too."""
     ranked = sorted(contours, key=_area, reverse=True)
@@ -57,7 +45,7 @@ def containment_holes(contours: list[np.ndarray]) -> list[tuple[np.ndarray, list
             continue
         free[k], holes = False, []
         for j in range(k + 1, len(ranked)):
-            if free[j] and _area(outer) > 0 and _inside(ranked[j], outer).all():
+            if free[j] and _area(outer) > 0 and inside(ranked[j], outer).all():
                 free[j] = False
                 holes.append(ranked[j])
         out.append((outer, holes))
@@ -74,7 +62,7 @@ def area_based_holes(contours: list[np.ndarray], least: float = 0.01, most: floa
         free[k], holes = False, []
         for j in range(k + 1, len(ranked)):
             ratio = _area(ranked[j]) / _area(outer) if _area(outer) else 0.0
-            if free[j] and least <= ratio <= most and _inside(ranked[j], outer).all():
+            if free[j] and least <= ratio <= most and inside(ranked[j], outer).all():
                 free[j] = False
                 holes.append(ranked[j])
         out.append((outer, holes))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cutloom.operators import claims as C
 from cutloom.operators import geometry as G
 from cutloom.operators import raster as R
 from cutloom.sources import adapters as A
@@ -30,7 +31,19 @@ def _validated(s, d):
     return A.rings(s, d).withColumn("ring", ring).select("shape_id", F.size(G.valid_ring(F.col("ring"))).alias("points"))
 
 
+def _stars(s, d):
+    """Each vector as a star of 32 points round one of nine centres of its label's image, at a size that its id gives: many lie in each other."""
+    e = A.read(s, d, "embeddings")
+    k = F.col("vec_id")
+    size, cx, cy = (1 + k * 7919 % 61).cast("double"), (k % 3 * 90).cast("double"), (F.floor(k / 3) % 3 * 90).cast("double")
+    step = lambda i: F.lit(2 * 3.141592653589793 / 32) * i
+    r = lambda i: F.col("size") * (1 + F.get("embedding", i).cast("double") * 0.5)
+    ring = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((F.col("cx") + r(i) * F.cos(step(i))).alias("x"), (F.col("cy") + r(i) * F.sin(step(i))).alias("y")))
+    return e.withColumns({"size": size, "cx": cx, "cy": cy}).select(F.col("label").alias("image_id"), F.col("vec_id").alias("shape_id"), ring.alias("ring"))
+
+
 QUERIES = {
+    "holes_contained_rings": lambda s, d: C.contained_rings(_stars(s, d)).fillna(-1, ["owner_id"]),
     "ring_measures": _measures,
     "ring_decimate": lambda s, d: G.points_of(A.rings(s, d).withColumn("ring", G.decimate(F.col("ring"), 3))),
     "ring_smooth": lambda s, d: G.points_of(A.rings(s, d).withColumn("ring", G.smooth(F.col("ring"), 3))),
@@ -42,7 +55,7 @@ QUERIES = {
     "features_by_area": lambda s, d: J.features_by_area(_areas(s, d), 0.02, 0.2).select("shape_id", "area"),
     "features_topk": lambda s, d: G.top_features(_areas(s, d), 20).select("shape_id", "area"),
     "holes_containment": lambda s, d: G.contained_boxes(A.boxes(s, d)).fillna(-1, ["owner_id"]),
-    "holes_area_ratio": lambda s, d: G.area_ratio_holes(A.boxes(s, d)).fillna(-1, ["owner_id"]),
+    "holes_area_ratio": lambda s, d: C.area_ratio_holes(A.boxes(s, d)).fillna(-1, ["owner_id"]),
     "ring_douglas_peucker": lambda s, d: G.points_of(G.map_rings(A.rings(s, d), lambda p: G.douglas_peucker(p, 0.1))),
     "ring_visvalingam": lambda s, d: G.points_of(G.map_rings(A.rings(s, d), lambda p: G.visvalingam(p, 0.005))),
     "ring_hull": lambda s, d: G.points_of(G.map_rings(A.rings(s, d), G.convex_hull)),
@@ -103,6 +116,12 @@ def _cut_corners(values: str) -> str:
     return f"list_concat([{values}[1]], flatten(list_transform(range(1, len({values})), lambda i: [{values}[i] * 0.75 + {values}[i + 1] * 0.25, {values}[i] * 0.25 + {values}[i + 1] * 0.75])), [{values}[-1]])"
 
 
+_TURNS = """image AS (SELECT image_id, list(shape_id ORDER BY k) AS ids, list(held ORDER BY k) AS held, count(*) AS n FROM kids GROUP BY image_id),
+turn AS (SELECT image_id, CAST(1 AS BIGINT) AS k, list_transform(ids, lambda v: CAST(0 AS BIGINT)) AS own FROM image UNION ALL
+  SELECT t.image_id, t.k + 1, list_transform(own, lambda v, j: CASE WHEN v = 0 AND own[t.k] = 0 AND list_contains(held[t.k], j) THEN t.k ELSE v END) FROM turn t JOIN image USING (image_id) WHERE t.k <= n),
+done AS (SELECT t.image_id, ids, own, unnest(range(1, n + 1)) AS j FROM turn t JOIN image USING (image_id) WHERE t.k = n + 1)
+SELECT image_id, ids[j] AS shape_id, CASE WHEN own[j] > 0 THEN ids[own[j]] ELSE -1 END AS owner_id FROM done"""
+
 ORACLE |= {
     "ring_visvalingam": f"WITH RECURSIVE {LISTS}, {visvalingam_sql(0.005)} SELECT shape_id, CAST(i - 1 AS INTEGER) AS k, {XY.format('xs[i]', 'ys[i]')} FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM vw)",
     "ring_douglas_peucker": f"WITH RECURSIVE {LISTS}, {douglas_peucker_sql(0.1)} SELECT shape_id, k, {XY.format('x', 'y')} FROM dp",
@@ -115,13 +134,20 @@ edge AS (SELECT *, (bx, by_) > (x, y) AS lower FROM out_),
 walk AS (SELECT shape_id, x, y, row_number() OVER (PARTITION BY shape_id ORDER BY lower DESC, CASE WHEN lower THEN x ELSE -x END, CASE WHEN lower THEN y ELSE -y END) - 1 AS k FROM edge),
 closed AS (SELECT * FROM walk UNION ALL SELECT shape_id, arg_min(x, k), arg_min(y, k), max(k) + 1 FROM walk GROUP BY shape_id)
 SELECT shape_id, CAST(k AS INTEGER) AS k, {XY.format('x', 'y')} FROM closed""",
+    # A point lies in a ring if a ray to the right crosses it an odd number of times (none lies on a border here).
+    "holes_contained_rings": f"""WITH RECURSIVE star AS MATERIALIZED (SELECT label AS image_id, vec_id AS shape_id, k, vec_id % 3 * 90 + (1 + vec_id * 7919 % 61) * (1 + CAST(embedding[k + 1] AS DOUBLE) * 0.5) * cos(2 * pi() / 32 * k) AS x,
+  vec_id // 3 % 3 * 90 + (1 + vec_id * 7919 % 61) * (1 + CAST(embedding[k + 1] AS DOUBLE) * 0.5) * sin(2 * pi() / 32 * k) AS y FROM embeddings, range(32) r(k)),
+edge AS MATERIALIZED (SELECT a.image_id, a.shape_id, a.k, a.x, a.y, b.x AS bx, b.y AS by_ FROM star a JOIN star b ON a.shape_id = b.shape_id AND b.k = (a.k + 1) % 32),
+box AS MATERIALIZED (SELECT image_id, shape_id, abs(sum(x * by_ - bx * y)) / 2 AS area, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM edge GROUP BY ALL),
+cand AS MATERIALIZED (SELECT o.image_id, o.shape_id AS h, i.shape_id AS c FROM box o JOIN box i ON o.image_id = i.image_id AND o.shape_id <> i.shape_id AND o.x0 <= i.x0 AND o.x1 >= i.x1 AND o.y0 <= i.y0 AND o.y1 >= i.y1 AND (o.area, -o.shape_id) > (i.area, -i.shape_id)),
+hit AS MATERIALIZED (SELECT cand.image_id, h, c, p.k, count(*) FILTER (((e.y > p.y) <> (e.by_ > p.y)) AND p.x < e.x + (p.y - e.y) * (e.bx - e.x) / (e.by_ - e.y)) % 2 = 1 AS within FROM cand JOIN star p ON p.shape_id = c JOIN edge e ON e.shape_id = h GROUP BY ALL),
+kept AS MATERIALIZED (SELECT image_id, h, c FROM hit GROUP BY ALL HAVING bool_and(within)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, shape_id) AS k FROM box),
+kids AS (SELECT o.image_id, o.k, o.shape_id, coalesce(list(i.k) FILTER (i.k IS NOT NULL), []) AS held FROM ranked o LEFT JOIN kept ON kept.h = o.shape_id LEFT JOIN ranked i ON i.shape_id = kept.c GROUP BY ALL),
+{_TURNS}""",
     # One round a rank: the shape there, if nobody has claimed it, claims those of its list that are free.
     "holes_area_ratio": f"""WITH RECURSIVE {A.BOXES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, shape_id) AS k FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM boxes)),
 kids AS (SELECT o.image_id, o.k, o.shape_id, coalesce(list(i.k) FILTER (i.k IS NOT NULL), []) AS held FROM ranked o LEFT JOIN ranked i
   ON i.image_id = o.image_id AND i.k > o.k AND o.x0 < i.x0 AND o.y0 < i.y0 AND o.x1 > i.x1 AND o.y1 > i.y1 AND CAST(i.area AS DOUBLE) / o.area BETWEEN 0.01 AND 0.8 GROUP BY ALL),
-image AS (SELECT image_id, list(shape_id ORDER BY k) AS ids, list(held ORDER BY k) AS held, count(*) AS n FROM kids GROUP BY image_id),
-turn AS (SELECT image_id, CAST(1 AS BIGINT) AS k, list_transform(ids, lambda v: CAST(0 AS BIGINT)) AS own FROM image UNION ALL
-  SELECT t.image_id, t.k + 1, list_transform(own, lambda v, j: CASE WHEN v = 0 AND own[t.k] = 0 AND list_contains(held[t.k], j) THEN t.k ELSE v END) FROM turn t JOIN image USING (image_id) WHERE t.k <= n),
-done AS (SELECT t.image_id, ids, own, unnest(range(1, n + 1)) AS j FROM turn t JOIN image USING (image_id) WHERE t.k = n + 1)
-SELECT image_id, ids[j] AS shape_id, CASE WHEN own[j] > 0 THEN ids[own[j]] ELSE -1 END AS owner_id FROM done""",
+{_TURNS}""",
 }
