@@ -122,19 +122,17 @@ def mask_scores(masks: DataFrame, truth: DataFrame, pixel: list[str], t: float =
     return both.select("obj_id", share(n, na + nb - n).alias("iou"), share(2 * n, na + nb).alias("dice"), share(n, na).alias("precision"), share(n, nb).alias("recall"))
 
 
-# Colours of masks by their place, then the configured one; and the ordered renamings of parameters.
+# Colours of masks by their place, then the configured one.
 MASK_COLOURS = ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255))
-RENAMINGS = (
-    (r"\.(norm[12])\.weight$", ".$1.gamma"), (r"\.(norm[12])\.bias$", ".$1.beta"), (r"\.attn\.qkv\.", ".attn.query."), (r"\.attn\.proj\.", ".attn.output."),
-    (r"\.self_attn\.q_proj\.", ".self_attn.query."), (r"\.self_attn\.k_proj\.", ".self_attn.key."), (r"\.self_attn\.v_proj\.", ".self_attn.value."), (r"\.self_attn\.out_proj\.", ".self_attn.output."),
-    (r"\.transformer\.layers\.", ".transformer."), (r"(point_embeddings\.[01]|not_a_point_embed|mask_tokens|iou_token)\.weight$", "$1"),
-)
 
 
 def renamed_parameter(name: Column) -> Column:
-    for pattern, to in RENAMINGS:
-        name = F.regexp_replace(name, pattern, to)
-    return name
+    """A parameter's name in the other framework: without ``.weight`` and ``.bias``; a norm's scale and shift are its gamma and beta; attention's joint input is its query, its projection its output."""
+    bare = F.replace(F.replace(name, F.lit(".weight")), F.lit(".bias"))
+    norm = bare.contains("norm") & ~bare.contains("gamma") & ~bare.contains("beta")
+    scale = lambda to: F.replace(bare, F.lit("norm"), F.lit(f"norm.{to}"))
+    named = F.when(norm & name.endswith(".weight"), scale("gamma")).when(norm & name.endswith(".bias"), scale("beta")).otherwise(bare)
+    return F.replace(F.replace(named, F.lit("attn.qkv"), F.lit("attn.query")), F.lit("attn.proj"), F.lit("attn.output"))
 
 
 def merge_prompts(masks: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:

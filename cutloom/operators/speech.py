@@ -78,6 +78,17 @@ def skeleton_segments(utterances: DataFrame, min_gap_us=2_000_000, max_us=300_00
     return numbered.select("media_id", F.col("seg").cast("long").alias("seg"), "start_us", "end_us", name.alias("name"), text.alias("description"))
 
 
+def skeleton_clips(utterances: DataFrame, output_dir: str = "out", **options) -> DataFrame:
+    """The segments of skeleton_segments() as clips of a configuration (see sources/config.py): one splice of its own span each, in seconds; path is the medium."""
+    s = skeleton_segments(utterances, **options)
+    span = F.struct((F.col("start_us") / 1_000_000).alias("start"), (F.col("end_us") / 1_000_000).alias("end"))
+    void = lambda kind: F.lit(None).cast(kind)
+    return s.select(
+        F.col("media_id").cast("string").alias("path"), F.lit(output_dir).alias("output_dir"), (F.col("seg") - 1).cast("int").alias("clip_ord"), "name", "description", F.lit("splice").alias("op_type"),
+        F.array(span).alias("segments"), void("struct<start:double,end:double>").alias("period"), void("double").alias("fps"), void("string").alias("format"), void("int").alias("quality"),
+    )
+
+
 def speaker_cuts(utterances: DataFrame) -> DataFrame:
     """media_id, utt_id, cut_us: where another speaker begins than the one before, half-way through the gap (or overlap) between them."""
     seen = with_next(utterances, ["speaker"])

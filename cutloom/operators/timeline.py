@@ -57,6 +57,16 @@ def sequentise(frames: DataFrame, start_us: int, end_us: int, fps: float = 25.0)
     return found.select("clip_id", F.col("shot").cast("long").alias("shot"), "t_us", F.col("last.idx").alias("idx"), F.col("last.payload").alias("payload")).filter("idx is not null")
 
 
+def extracted(frames: DataFrame, output: str, start_us: int, end_us: int, fps: float = 25.0, quality: int = 2) -> DataFrame:
+    """sequentise() with the file that each picture goes to, numbered from 00001 behind the output's name (less every ``.mp4`` at its end), and the quality it is written in."""
+    stem = output
+    while stem.endswith(".mp4"):
+        stem = stem.removesuffix(".mp4")
+    number = (F.col("shot") + 1).cast("string")
+    file = F.concat(F.lit(f"{stem}_"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number), F.lit(".png"))
+    return sequentise(frames, start_us, end_us, fps).withColumns({"file": file, "quality": F.lit(quality)})
+
+
 def reverse(frames: DataFrame, frame_us: int = FRAME_US) -> DataFrame:
     """Frames in reverse order; times are mirrored, so the first is 0 again."""
     return _with_ends(frames).withColumns({"idx": F.col("top_") - F.col("idx"), "pts_us": F.col("last_") - F.col("pts_us")}).select(*frames.columns)
@@ -104,25 +114,26 @@ def poster(frames: DataFrame, at_us: int) -> DataFrame:
 class Timeline:
     """A chain of operations on one source, nothing run until the frames are used or saved: Timeline(df).splice([...]).reverse().save(path)."""
 
-    def __init__(self, frames: DataFrame, first_splice_us: int | None = None):
+    def __init__(self, frames: DataFrame, first_splice_us: int | None = None, source: DataFrame | None = None):
         self.frames, self.first_splice_us = frames, first_splice_us
+        self.source = frames if source is None else source
 
     def splice(self, segments) -> Timeline:
         at = segments[0][0] if segments and not isinstance(segments, DataFrame) else None
-        return Timeline(splice(self.frames, segments), self.first_splice_us if self.first_splice_us is not None else at)
+        return Timeline(splice(self.frames, segments), self.first_splice_us if self.first_splice_us is not None else at, self.source)
 
     def sequentise(self, start_us: int, end_us: int, fps: float = 25.0) -> DataFrame:
         return sequentise(self.frames, start_us, end_us, fps)
 
     def reverse(self) -> Timeline:
-        return Timeline(reverse(self.frames), self.first_splice_us)
+        return Timeline(reverse(self.frames), self.first_splice_us, self.source)
 
     def loop(self) -> Timeline:
-        return Timeline(loop(self.frames), self.first_splice_us)
+        return Timeline(loop(self.frames), self.first_splice_us, self.source)
 
     def poster(self) -> DataFrame:
-        """Each clip's frame nearest to where the first splice begins, or to 0."""
-        return poster(self.frames, self.first_splice_us or 0)
+        """Each clip's frame of the source nearest to where the first splice's first segment begins there; to 0 without one."""
+        return poster(self.source, self.first_splice_us or 0)
 
     def save(self, path: str, mode: str = "error") -> None:
         self.frames.write.mode(mode).parquet(path)

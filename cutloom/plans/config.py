@@ -1,7 +1,5 @@
 """Configuration, GeoJSON and region queries."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from cutloom.operators import geometry as G
@@ -10,42 +8,33 @@ from cutloom.sources import config as C
 from cutloom.sources import geojson as J
 from cutloom.sources import topojson as T
 
-#: Both ways to write a range, a clip without an operation, defaults, and keys to be ignored.
-CLIPS = [
-    ("opening", "splice", [(0, 14), (20, 21.5)], None, None),
-    ("slides", "sequentise", None, (14, 17.5), None),
-    ("note", None, None, None, None),
-    ("stills", "sequentise", None, (30, 42), 12.5),
-    ("ending", "splice", [(60, 66)], None, None),
-]
 INCLUDED_REGIONS = ("AFRICA", "ASIA", "REGION_1", "REGION_3")
 
 
-def _document() -> str:
-    clips = []
-    for k, (name, op, segments, period, fps) in enumerate(CLIPS):
-        clip = {"name": name, "description": f"clip {k}", "start": 1, "extra": {"a": []}}
-        if op == "splice":
-            clip["operation"] = {"type": op, "params": {"segments": [[a, b] if k else {"start": a, "end": b} for a, b in segments]}}
-        elif op:
-            clip["operation"] = {"type": op, "params": {"period": list(period), "format": "png"} | ({"fps": fps, "quality": 5} if fps else {})}
-        clips.append(clip)
-    return json.dumps({"path": "in.mp4", "output_dir": "out", "clips": clips})
+def _documents(s, d):
+    """A configuration for each nation, a clip for each of its suppliers: splices with both ways to write a range, clips without an operation, defaults, and keys to be ignored."""
+    k = F.col("s_suppkey")
+    op = F.when(k % 4 == 0, F.format_string('{"type": "splice", "params": {"segments": [{"start": %1$d, "end": %1$d.5}, [%1$d, %1$d.25]]}}', k))
+    op = op.when(k % 4 == 1, F.format_string('{"type": "sequentise", "params": {"period": [%1$d, %1$d.75], "format": "png"}}', k))
+    op = op.when(k % 4 == 3, F.format_string('{"type": "sequentise", "params": {"period": {"start": %1$d, "end": %1$d.5}, "format": "png", "fps": 12.5, "quality": 5}}', k)).otherwise(F.lit("null"))
+    clip = F.format_string('{"name": "clip %d", "description": "a clip", "start": 1, "extra": {"a": []}, "operation": %s}', k, op)
+    listed = A.read(s, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", clip.alias("clip")))).alias("c"))
+    return listed.select(F.format_string('{"path": "nation %d.mp4", "output_dir": "out", "clips": [%s]}', "s_nationkey", F.array_join(F.transform("c", lambda c: c["clip"]), ", ")).alias("json"))
 
 
 def _clips(s, d):
-    return _listed(C.clips_from_json(s.createDataFrame([(_document(),)], "json string")))
+    return _listed(C.clips_from_json(_documents(s, d)))
 
 
 def _toml(s, d):
     """The same clips out as TOML and in again."""
-    return _listed(C.clips_from_toml(C.clips_to_toml(C.clips_from_json(s.createDataFrame([(_document(),)], "json string")))))
+    return _listed(C.clips_from_toml(C.clips_to_toml(C.clips_from_json(_documents(s, d)))))
 
 
 def _listed(clips):
     rows = C.runnable(clips)
     spans = F.coalesce(F.col("segments"), F.array("period"))
-    return rows.select("clip_ord", "name", "op_type", F.posexplode(spans).alias("seg", "r"), F.coalesce("fps", F.lit(0.0)).alias("fps"), F.coalesce("quality", F.lit(0)).alias("quality")).select("clip_ord", "name", "op_type", "seg", F.col("r.start").alias("start"), F.col("r.end").alias("stop"), "fps", "quality")
+    return rows.select("path", "clip_ord", "name", "op_type", F.posexplode(spans).alias("seg", "r"), F.coalesce("fps", F.lit(0.0)).alias("fps"), F.coalesce("quality", F.lit(0)).alias("quality")).select("path", "clip_ord", "name", "op_type", "seg", F.col("r.start").alias("start"), F.col("r.end").alias("stop"), "fps", "quality")
 
 
 def _round_trip(s, d):
@@ -92,15 +81,14 @@ QUERIES = {
     "region_include": _regions,
 }
 
-_ROWS = []
-for _k, (_name, _op, _segments, _period, _fps) in enumerate(CLIPS):
-    for _i, (_a, _b) in enumerate(_segments or ([_period] if _period else [])):
-        _seq = _op == "sequentise"
-        _ROWS.append(f"({_k}, '{_name}', '{_op}', {_i}, {_a}::DOUBLE, {_b}::DOUBLE, {(_fps or 25.0) if _seq else 0.0}::DOUBLE, {(5 if _fps else 2) if _seq else 0})")
+_CLIPS = """WITH c AS (SELECT *, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS clip_ord, CAST(s_suppkey AS DOUBLE) AS k, s_suppkey % 4 AS kind FROM supplier),
+spans AS (SELECT *, 0 AS seg, k + CASE kind WHEN 1 THEN 0.75 ELSE 0.5 END::DOUBLE AS stop FROM c WHERE kind <> 2 UNION ALL SELECT *, 1, k + 0.25::DOUBLE FROM c WHERE kind = 0)
+SELECT 'nation ' || CAST(s_nationkey AS VARCHAR) || '.mp4' AS path, clip_ord, 'clip ' || CAST(s_suppkey AS VARCHAR) AS name, CASE kind WHEN 0 THEN 'splice' ELSE 'sequentise' END AS op_type, seg, k AS "start", stop,
+  CASE kind WHEN 0 THEN 0.0 WHEN 1 THEN 25.0 ELSE 12.5 END::DOUBLE AS fps, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 5 END AS quality FROM spans"""
 _AREA = "round(abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2, 6)"
 ORACLE = {
-    "config_clips": f'SELECT * FROM (VALUES {", ".join(_ROWS)}) t(clip_ord, name, op_type, seg, "start", stop, fps, quality)',
-    "config_toml_round_trip": f'SELECT * FROM (VALUES {", ".join(_ROWS)}) t(clip_ord, name, op_type, seg, "start", stop, fps, quality)',
+    "config_clips": _CLIPS,
+    "config_toml_round_trip": _CLIPS,
     "geojson_metadata": "SELECT vec_id % 50 AS image_id, 8 AS image_width, 6 AS image_height, CAST(count(*) AS INTEGER) AS shape_count, CAST(count(*) AS INTEGER) AS n_features FROM embeddings GROUP BY ALL",
     "geojson_typed": "SELECT vec_id % 50 AS image_id, 8 AS image_width, 6 AS image_height, CAST(count(*) OVER (PARTITION BY vec_id % 50) AS INTEGER) AS shape_count, vec_id AS shape_id, true AS bare, 32 AS points, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM embeddings",
     "topojson_features": """SELECT kind || ' ' || CAST(n_nationkey AS VARCHAR) AS name, 1 AS n_rings, 5 AS points, 1.0::DOUBLE AS area, CASE WHEN back THEN CAST(n_nationkey AS DOUBLE) ELSE n_nationkey + 0.5::DOUBLE END AS second_x

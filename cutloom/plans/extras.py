@@ -62,6 +62,13 @@ def _cue_json(s, d):
     return S.subtitles_json(A.cues(s, d)).select("conv_id", F.posexplode(doc).alias("nth", "c")).select("conv_id", "nth", "c.start_ms", "c.end_ms", "c.text", "c.speaker")
 
 
+def _parameter():
+    """A parameter's name for each part: of six layers, with one of three endings."""
+    k, pick = F.col("p_partkey"), (lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
+    layer = pick([".norm1", ".attn.qkv", ".attn.proj", ".mlp.fc1", ".layer_norm.gamma", ".norm"], k % 6)
+    return F.concat(F.lit("encoder.blocks."), k.cast("string"), layer, pick([".weight", ".bias", ".scale"], F.floor(k / 6) % 3))
+
+
 QUERIES = {
     "cues_json": _cue_json,
     "subtitle_rows": lambda s, d: S.subtitles(A.utterances(s, d), "en"),
@@ -75,7 +82,7 @@ QUERIES = {
     "image_outline_totals": _totals,
     "map_generalise": _map,
     "letterbox_normalise": lambda s, d: R.pixels_of(R.letterbox(A.rasters(s, d).withColumns({"width": F.lit(16), "height": F.lit(4)}), 24), 6),
-    "parameter_names": lambda s, d: A.read(s, d, "nation").select("n_nationkey", M.renamed_parameter(F.concat(F.lit("encoder.blocks."), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 3 == 0, F.lit(".norm1.weight")).when(F.col("n_nationkey") % 3 == 1, F.lit(".attn.qkv.bias")).otherwise(F.lit(".mlp.fc1.weight")))).alias("name")),
+    "parameter_names": lambda s, d: A.read(s, d, "part").select("p_partkey", M.renamed_parameter(_parameter()).alias("name")),
     "command_registry": lambda s, d: O.command_table(s).fillna("", ["parameter", "parameter_description"]),
 }
 
@@ -121,5 +128,8 @@ SELECT px, py, {_red_sql(255)} AS r, {_red_sql(0)} AS g, {_red_sql(0)} AS b FROM
     "map_generalise": f"""WITH RECURSIVE {LISTS}, closed AS (SELECT shape_id, label, list_concat(xs, xs[:1]) AS xs, list_concat(ys, ys[:1]) AS ys, (list_max(xs) - list_min(xs)) * (list_max(ys) - list_min(ys)) AS area, (list_min(xs) + list_max(xs)) / 2 AS mx, (list_min(ys) + list_max(ys)) / 2 AS my FROM rl
   WHERE label IN (SELECT n_nationkey FROM nation)), big AS (SELECT * FROM closed WHERE area >= 0.1), {visvalingam_sql(0.01, 'big')}
 SELECT 'land ' || CAST(label AS VARCHAR) || ' ' || CAST(shape_id AS VARCHAR) AS name, round(area, 5) AS area, CAST(len(vw.xs) AS INTEGER) AS points, round(mx, 5) AS x, round(my, 5) AS y FROM vw JOIN big USING (shape_id) WHERE len(vw.xs) >= 4""",
-    "parameter_names": """SELECT n_nationkey, 'encoder.blocks.' || CAST(n_nationkey AS VARCHAR) || CASE n_nationkey % 3 WHEN 0 THEN '.norm1.gamma' WHEN 1 THEN '.attn.query.bias' ELSE '.mlp.fc1.weight' END AS name FROM nation""",
+    "parameter_names": """WITH named AS (SELECT p_partkey, 'encoder.blocks.' || CAST(p_partkey AS VARCHAR) || ['.norm1', '.attn.qkv', '.attn.proj', '.mlp.fc1', '.layer_norm.gamma', '.norm'][p_partkey % 6 + 1] || ['.weight', '.bias', '.scale'][p_partkey // 6 % 3 + 1] AS name FROM part),
+bare AS (SELECT *, replace(replace(name, '.weight', ''), '.bias', '') AS b FROM named)
+SELECT p_partkey, replace(replace(CASE WHEN NOT contains(b, 'norm') OR contains(b, 'gamma') OR contains(b, 'beta') THEN b WHEN name LIKE '%.weight' THEN replace(b, 'norm', 'norm.gamma') WHEN name LIKE '%.bias' THEN replace(b, 'norm', 'norm.beta') ELSE b END,
+  'attn.qkv', 'attn.query'), 'attn.proj', 'attn.output') AS name FROM bare""",
 }

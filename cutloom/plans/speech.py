@@ -1,7 +1,10 @@
 """Speech queries over ``events`` and cue files over ``conversations``."""
 
+from pyspark.sql import functions as F
+
 from cutloom.operators import speech
 from cutloom.sources import adapters as A
+from cutloom.sources import config as C
 
 MIN_GAP, MAX = 2_000_000, 3_600_000_000  # the events of a user are hours apart, so segments may last an hour
 
@@ -10,7 +13,16 @@ BREAKS = f"""breaks AS (
     SELECT *, lead(s_us) OVER (PARTITION BY media_id ORDER BY s_us, utt_id) AS nxt FROM utterances) WHERE nxt - e_us >= {MIN_GAP})"""
 TENTHS = "CAST((({0}) + 50000) // 100000 // 10 AS VARCHAR) || '.' || CAST((({0}) + 50000) // 100000 % 10 AS VARCHAR)"
 
+
+
+def _clips(s, d):
+    """The clips out as one document a medium, and in again."""
+    back = C.clips_from_json(C.clips_to_json(speech.skeleton_clips(A.utterances(s, d), min_gap_us=MIN_GAP, max_us=MAX)))
+    return back.select("path", "clip_ord", "name", "op_type", F.size("segments").alias("n"), F.round(F.col("segments")[0]["start"], 6).alias("from_s"), F.round(F.col("segments")[0]["end"], 6).alias("to_s"))
+
+
 QUERIES = {
+    "speech_skeleton_clips": _clips,
     "speech_natural_breaks": lambda s, d: speech.natural_breaks(A.utterances(s, d)),
     "speech_skeleton_segments": lambda s, d: speech.skeleton_segments(A.utterances(s, d), MIN_GAP, MAX),
     "speech_speaker_cuts": lambda s, d: speech.speaker_cuts(A.utterances(s, d)),
@@ -41,18 +53,23 @@ def _first(which: str, t: str) -> str:
     FROM desired d JOIN utterances u ON d.media_id = u.media_id AND d.{t} BETWEEN u.s_us AND u.e_us) WHERE nth = 1)"""
 
 
-ORACLE = {
-    "speech_natural_breaks": f"WITH {A.UTTERANCES}, {BREAKS} SELECT media_id, utt_id, break_us FROM breaks",
-    "speech_skeleton_segments": f"""WITH {A.UTTERANCES}, {BREAKS}, spans AS (
+_NUMBERED = f"""WITH {A.UTTERANCES}, {BREAKS}, spans AS (
   SELECT media_id, lag(break_us, 1, 0) OVER (PARTITION BY media_id ORDER BY break_us) AS a, break_us AS b FROM breaks
 ), counted AS (SELECT *, greatest(1, CAST(ceil((b - a) / {MAX}.0) AS BIGINT)) AS n FROM spans
 ), parts AS (SELECT media_id, a + i * (b - a) // n AS start_us, a + (i + 1) * (b - a) // n AS end_us FROM (SELECT *, unnest(range(n)) AS i FROM counted)
 ), ends AS (SELECT media_id, arg_max(e_us, (s_us, utt_id)) + 5000000 AS end_us FROM utterances GROUP BY media_id
 ), tails AS (SELECT e.media_id, coalesce(b.start_us, 0) AS start_us, e.end_us FROM ends e LEFT JOIN (SELECT media_id, max(break_us) AS start_us FROM breaks GROUP BY media_id) b ON e.media_id = b.media_id
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us, end_us) AS seg FROM (SELECT * FROM parts UNION ALL SELECT * FROM tails WHERE start_us < end_us))
+  SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us, end_us) AS seg FROM (SELECT * FROM parts UNION ALL SELECT * FROM tails WHERE start_us < end_us))"""
+
+ORACLE = {
+    "speech_natural_breaks": f"WITH {A.UTTERANCES}, {BREAKS} SELECT media_id, utt_id, break_us FROM breaks",
+    "speech_skeleton_segments": f"""{_NUMBERED}
 SELECT media_id, seg, start_us, end_us, 'segment_' || CASE WHEN seg < 1000 THEN lpad(CAST(seg AS VARCHAR), 3, '0') ELSE CAST(seg AS VARCHAR) END AS name,
   'Natural segment ' || CAST(seg AS VARCHAR) || ' (' || {TENTHS.format('start_us')} || 's - ' || {TENTHS.format('end_us')} || 's, duration: ' || {TENTHS.format('end_us - start_us')} || 's)' AS description FROM numbered""",
+    "speech_skeleton_clips": f"""{_NUMBERED}
+SELECT CAST(media_id AS VARCHAR) AS path, CAST(seg - 1 AS INTEGER) AS clip_ord, 'segment_' || CASE WHEN seg < 1000 THEN lpad(CAST(seg AS VARCHAR), 3, '0') ELSE CAST(seg AS VARCHAR) END AS name, 'splice' AS op_type, 1 AS n,
+  round(start_us / 1000000.0::DOUBLE, 6) AS from_s, round(end_us / 1000000.0::DOUBLE, 6) AS to_s FROM numbered""",
     "speech_speaker_cuts": f"""WITH {A.UTTERANCES}, seen AS (SELECT *, lag(speaker) OVER w AS was, lag(e_us) OVER w AS before FROM utterances WINDOW w AS (PARTITION BY media_id ORDER BY s_us, utt_id))
 SELECT media_id, utt_id, (s_us + before) // 2 AS cut_us FROM seen WHERE was <> speaker""",
     "speech_optimal_cuts": f"""WITH {A.UTTERANCES}, {A.DESIRED}, {_first('s', 'start_us')}, {_first('e', 'end_us')}

@@ -42,7 +42,8 @@ QUERIES = {
     "timeline_splice_table": _own_segments,
     "timeline_copy": lambda s, d: T.splice(A.frames(s, d), []),
     "timeline_make_loop": _made,
-    "timeline_chain_poster": lambda s, d: T.Timeline(A.frames(s, d)).splice(SEGMENTS).poster(),
+    "timeline_chain_poster": lambda s, d: T.Timeline(A.frames(s, d)).splice(SEGMENTS).reverse().loop().poster(),
+    "timeline_extracted": lambda s, d: T.extracted(A.frames(s, d), "out.mp4.mp4", 20_000, 320_000, 30.0, 5),
     "timeline_splice": lambda s, d: T.splice(A.frames(s, d), SEGMENTS),
     "timeline_sequentise": lambda s, d: T.sequentise(A.frames(s, d), 20_000, 320_000, 30.0),
     "timeline_reverse": lambda s, d: T.reverse(A.frames(s, d)),
@@ -54,7 +55,10 @@ ORACLE = {
     "timeline_make_loop": f"""WITH {A.FRAMES}, {LOOPED.format('frames')}, {REVERSED.format('frames')}, heard AS (SELECT o_orderkey FROM orders WHERE o_orderpriority < '3')
 SELECT {OUT}, 'video' AS part FROM looped UNION ALL SELECT {OUT}, 'reversed' FROM reversed
 UNION ALL SELECT clip_id, idx, pts_us, -payload, 'audio' FROM looped WHERE clip_id IN (FROM heard) UNION ALL SELECT clip_id, idx, pts_us, -payload, 'reversed audio' FROM reversed WHERE clip_id IN (FROM heard)""",
-    "timeline_chain_poster": f"WITH {A.FRAMES}, {SPLICED} SELECT {OUT} FROM spliced QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY abs(pts_us - {SEGMENTS[0][0]}), idx) = 1",
+    "timeline_extracted": f"""WITH {A.FRAMES}, shots AS (SELECT clip_id, shot, 20000 + CAST(floor(shot * 1000000 / 30.0::DOUBLE) AS BIGINT) AS t_us FROM (SELECT DISTINCT clip_id FROM frames), range(9) r(shot))
+SELECT s.clip_id, s.shot, s.t_us, max(f.idx) AS idx, arg_max(f.payload, f.idx) AS payload, 'out_' || lpad(CAST(s.shot + 1 AS VARCHAR), 5, '0') || '.png' AS file, 5 AS quality FROM shots s JOIN frames f ON f.clip_id = s.clip_id AND f.pts_us <= s.t_us GROUP BY ALL""",
+    # The time is one of the file that the chain reads, whatever is done to its frames.
+    "timeline_chain_poster": f"WITH {A.FRAMES} SELECT {OUT} FROM frames QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY abs(pts_us - {SEGMENTS[0][0]}), idx) = 1",
     "timeline_splice": f"WITH {A.FRAMES}, {SPLICED} SELECT {OUT} FROM spliced",
     "timeline_sequentise": f"""WITH {A.FRAMES}, shots AS (SELECT clip_id, shot, 20000 + CAST(floor(shot * 1000000 / 30.0::DOUBLE) AS BIGINT) AS t_us FROM (SELECT DISTINCT clip_id FROM frames), range(9) r(shot))
 SELECT s.clip_id, s.shot, s.t_us, max(f.idx) AS idx, arg_max(f.payload, f.idx) AS payload FROM shots s JOIN frames f ON f.clip_id = s.clip_id AND f.pts_us <= s.t_us GROUP BY ALL""",
