@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("speech", "timeline", "scalars", "raster", "geometry", "masks", "config", "sessions", "extras", "regions", "features", "tracking")
+FAMILIES = ("speech", "timeline", "scalars", "raster", "geometry", "masks", "config", "sessions", "extras", "regions", "features", "tracking", "topology")
 
 
 def _families():

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cutloom.operators import geometry as C
 from cutloom.operators import raster as R
 from cutloom.operators import regions as G
 from cutloom.plans.raster import _conv, _kernel, _out
@@ -10,7 +11,15 @@ from cutloom.sources import adapters as A
 TILE = 4
 LEVEL, LOW, HIGH = 0.02, 0.08, 0.25
 
+def _borders(s, d):
+    """How many borders each image's pixels over LEVEL have, and how many pixels are on one."""
+    rings = C.image_contours(A.rasters(s, d), LEVEL)
+    points = rings.select("image_id", F.explode("ring").alias("p")).distinct().groupBy("image_id").agg(F.count("*").alias("pixels"))
+    return rings.groupBy("image_id").agg(F.count("*").alias("borders")).join(points, "image_id")
+
+
 QUERIES = {
+    "contour_borders": _borders,
     "image_regions": lambda s, d: G.regions(A.rasters(s, d), LEVEL, size=TILE).select("image_id", "region", "area", "left", "top", "right", "bottom", F.round("most", 6).alias("most"), "touches"),
     "raster_fill_holes": lambda s, d: R.pixels_of(G.fill_holes(A.rasters(s, d), LEVEL, 1.0, TILE), None),
     "raster_without_small": lambda s, d: R.pixels_of(G.without_small(A.rasters(s, d), 4, LEVEL, TILE), None),
@@ -18,14 +27,14 @@ QUERIES = {
 }
 
 
-def flood(source: str, on: str, diagonal: bool) -> str:
-    """reg: image_id, x, y, v, region (its least pixel's number) of the pixels of source for which ``on`` holds."""
+def flood(source: str, on: str, diagonal: bool, tag: str = "") -> str:
+    """reg: image_id, x, y, v, region (its least pixel's number) of the pixels of source for which ``on`` holds; stat: the regions. tag goes behind every name."""
     near = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1" if diagonal else "abs(a.x - b.x) + abs(a.y - b.y) <= 1"
-    return f"""on_ AS MATERIALIZED (SELECT image_id, x, y, v, y * 8 + x AS i FROM {source} WHERE {on}),
-beside AS MATERIALIZED (SELECT a.image_id, a.i, b.i AS j FROM on_ a JOIN on_ b ON a.image_id = b.image_id AND {near}),
-reach(image_id, i, j) AS (SELECT image_id, i, i FROM on_ UNION SELECT r.image_id, r.i, b.j FROM reach r JOIN beside b ON b.image_id = r.image_id AND b.i = r.j),
-reg AS MATERIALIZED (SELECT o.image_id, x, y, v, region FROM on_ o JOIN (SELECT image_id, i, min(j) AS region FROM reach GROUP BY ALL) USING (image_id, i)),
-stat AS MATERIALIZED (SELECT image_id, region, count(*) AS area, min(x) AS "left", min(y) AS top, max(x) AS "right", max(y) AS bottom, max(v) AS most, bool_or(x IN (0, 7) OR y IN (0, 7)) AS touches FROM reg GROUP BY ALL)"""
+    return f"""on_{tag} AS MATERIALIZED (SELECT image_id, x, y, v, y * 8 + x AS i FROM {source} WHERE {on}),
+beside{tag} AS MATERIALIZED (SELECT a.image_id, a.i, b.i AS j FROM on_{tag} a JOIN on_{tag} b ON a.image_id = b.image_id AND {near}),
+reach{tag}(image_id, i, j) AS (SELECT image_id, i, i FROM on_{tag} UNION SELECT r.image_id, r.i, b.j FROM reach{tag} r JOIN beside{tag} b ON b.image_id = r.image_id AND b.i = r.j),
+reg{tag} AS MATERIALIZED (SELECT o.image_id, x, y, v, region FROM on_{tag} o JOIN (SELECT image_id, i, min(j) AS region FROM reach{tag} GROUP BY ALL) USING (image_id, i)),
+stat{tag} AS MATERIALIZED (SELECT image_id, region, count(*) AS area, min(x) AS "left", min(y) AS top, max(x) AS "right", max(y) AS bottom, max(v) AS most, bool_or(x IN (0, 7) OR y IN (0, 7)) AS touches FROM reg{tag} GROUP BY ALL)"""
 
 
 def changed(source: str, which: str, value: str) -> str:
@@ -48,6 +57,10 @@ def _sobel_table() -> str:
 
 
 ORACLE = {
+    # A region has one outer border, and one for each hole: a part of the others, joined by edges, that doesn't reach the image's rim. A pixel is on a border if one beside it is off or outside.
+    "contour_borders": f"""WITH RECURSIVE {A.RASTERS}, {flood('px', f'v > {LEVEL}', True)}, {flood('px', f'v <= {LEVEL}', False, '2')},
+rim AS (SELECT o.image_id, count(*) AS pixels FROM on_ o WHERE (SELECT count(*) FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) n(dx, dy) JOIN on_ p ON p.image_id = o.image_id AND p.x = o.x + n.dx AND p.y = o.y + n.dy) < 4 GROUP BY o.image_id)
+SELECT image_id, outer_ + coalesce(holes, 0) AS borders, pixels FROM (SELECT image_id, count(*) AS outer_ FROM stat GROUP BY image_id) LEFT JOIN (SELECT image_id, count(*) AS holes FROM stat2 WHERE NOT touches GROUP BY image_id) USING (image_id) JOIN rim USING (image_id)""",
     "image_regions": f"""WITH RECURSIVE {A.RASTERS}, {flood('px', f'v > {LEVEL}', True)}
 SELECT image_id, region, area, "left", top, "right", bottom, round(most, 6) AS most, touches FROM stat""",
     "raster_fill_holes": f"WITH RECURSIVE {A.RASTERS}, {flood('px', f'v <= {LEVEL}', False)}, {changed('px', 'NOT touches', '1.0::DOUBLE')} {_out('v')}",
