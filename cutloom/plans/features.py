@@ -38,7 +38,7 @@ def _kept(s, d):
     out = X.generalised(features(s, d), shown, 0.02, 0.02, 0.05)
     g = F.col("geometry")
     lines = F.flatten(g["parts"])
-    return out.select("name", g["type"].alias("type"), F.size(g["parts"]).alias("parts"), F.size(lines).alias("lines"), F.size(X.points(g)).alias("points"), F.round("area", 6).alias("area"), F.round(F.aggregate(X.points(g), F.lit(0.0), lambda a, p: a + p["x"] + p["y"]), 6).alias("total"))
+    return out.select("name", g["type"].alias("type"), F.size(g["parts"]).alias("parts"), F.size(lines).alias("lines"), F.size(X.points(g)).alias("points"), F.round("area", 6).alias("area"), (F.round(F.aggregate(X.points(g), F.lit(0.0), lambda a, p: a + p["x"] + p["y"]), 5) + 0.0).alias("total"))
 
 
 QUERIES = {
@@ -73,5 +73,5 @@ lines AS MATERIALIZED (SELECT shape_id[1] AS name, shape_id[2] AS part, shape_id
 stay AS (SELECT *, true AS r FROM lines l WHERE name % 6 < 4 OR EXISTS (SELECT 1 FROM lines e WHERE e.name = l.name AND e.part = l.part AND e.line = 0)
   UNION ALL SELECT name, part, line, list(x ORDER BY nth), list(y ORDER BY nth), false FROM shut WHERE kind < 2 AND name IN (SELECT name FROM shown) GROUP BY name, part, line)
 SELECT name, {list(TYPES)!r}[name % 6 + 1] AS type, CAST(count(DISTINCT part) AS INTEGER) AS parts, CAST(count(*) AS INTEGER) AS lines, CAST(sum(len(xs)) AS INTEGER) AS points, round(any_value(area), 6) AS area,
-  round(sum(list_sum(list_transform(list_concat(xs, ys), lambda v: CASE WHEN r THEN {_ROUND.format('v')} ELSE v END))), 6) AS total FROM stay JOIN shown USING (name) GROUP BY name""",
+  round(sum(list_sum(list_transform(list_concat(xs, ys), lambda v: CASE WHEN r THEN {_ROUND.format('v')} ELSE v END))), 5) + 0.0 AS total FROM stay JOIN shown USING (name) GROUP BY name""",
 }

@@ -23,7 +23,7 @@ def _generalised(s, d):
     out = T.generalised(documents(s, d), TOLERANCE)
     g = F.col("geometry")
     total = F.aggregate(X.points(g), F.lit(0.0), lambda a, p: a + p["x"] + 2 * p["y"])
-    return out.select("doc_id", "name", g["type"].alias("type"), F.size(X.points(g)).alias("points"), F.round(total, 5).alias("total"), F.round(X.geometry_area(g), 5).alias("area"))
+    return out.select("doc_id", "name", g["type"].alias("type"), F.size(X.points(g)).alias("points"), (F.round(total, 5) + 0.0).alias("total"), F.round(X.geometry_area(g), 5).alias("area"))
 
 
 def _shared(s, d):
@@ -46,7 +46,7 @@ shape AS MATERIALIZED (SELECT doc_id, 'left' AS name, 'Polygon' AS type, list_co
   UNION ALL SELECT doc_id, 'right', 'MultiPolygon', list_concat(list_reverse(bx), rx[2:]), list_concat(list_reverse(by_), ry[2:]) FROM whole UNION ALL SELECT doc_id, 'border', 'LineString', bx, by_ FROM whole)"""
 
 ORACLE = {
-    "topology_generalised": f"""WITH RECURSIVE {SIMPLE} SELECT doc_id, name, type, CAST(len(xs) AS INTEGER) AS points, round(list_sum(xs) + 2 * list_sum(ys), 5) AS total,
+    "topology_generalised": f"""WITH RECURSIVE {SIMPLE} SELECT doc_id, name, type, CAST(len(xs) AS INTEGER) AS points, round(list_sum(xs) + 2 * list_sum(ys), 5) + 0.0 AS total,
   round(CASE WHEN name = 'border' THEN 0.0 ELSE abs(list_sum(list_transform(range(1, len(xs) + 1), lambda i: xs[i] * ys[i % len(xs) + 1] - xs[i % len(xs) + 1] * ys[i]))) / 2 END, 5) AS area FROM shape""",
     "topology_shared_borders": f"""WITH RECURSIVE {SIMPLE}, edge AS (SELECT doc_id, name, xs[i] AS ax, ys[i] AS ay, xs[i + 1] AS bx, ys[i + 1] AS by_ FROM (SELECT *, unnest(range(1, len(xs))) AS i FROM shape WHERE name <> 'border'))
 SELECT l.doc_id, count(*) AS shared FROM edge l JOIN edge r ON l.doc_id = r.doc_id AND l.name = 'left' AND r.name = 'right' AND l.ax = r.bx AND l.ay = r.by_ AND l.bx = r.ax AND l.by_ = r.ay GROUP BY l.doc_id""",
