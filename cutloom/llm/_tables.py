@@ -1,52 +1,13 @@
-"""Shared-folder tables that cut lineage, and null-safe reading of named columns."""
+"""Shared-folder tables that cut lineage (from the core), and null-safe reading of named columns."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one serves if all runs on this machine; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="cutloom-"))
-        folder = _own[0]
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later jobs neither recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard_tables() -> None:
-    """Delete every table that materialize() wrote in this process. Runs at exit; long-lived sessions can call it once results are stored."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Py4JError, OSError, AttributeError):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+from cutloom.tables import discard_tables, materialize, shared_folder
 
-atexit.register(discard_tables)
+__all__ = ["discard_tables", "documents", "embeddings", "labels", "materialize", "picked", "shared_folder"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
