@@ -228,6 +228,58 @@ def pixels_of(images: DataFrame, digits: int | None = 4) -> DataFrame:
     return long.select("image_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), v.alias("v"))
 
 
+def _each_image(images: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """image_id, width, height and fn of the pixels (height x width) of each image, by NumPy over Arrow's flat values. Images without pixels stay so."""
+
+    def run(batches):
+        for batch in batches:
+            w, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            out = [fn(np.asarray(v.values, np.float64).reshape(b, a)).ravel() if v.is_valid and a * b else np.zeros(0) for v, a, b in zip(batch.column(3), w.tolist(), h.tolist(), strict=True)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32))
+            pixels = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out) if out else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pixels], ["image_id", "width", "height", "pixels"])
+
+    rows = images.select("image_id", "width", "height", "pixels")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def window_sums(pixels: np.ndarray, radius: int) -> np.ndarray:
+    """Sum of each pixel's window, pixels outside counting 0: four look-ups in a summed-area table, whatever the radius."""
+    h, w = pixels.shape
+    total = np.zeros((h + 1, w + 1))
+    np.cumsum(np.cumsum(pixels, axis=0), axis=1, out=total[1:, 1:])
+    top, low = np.maximum(np.arange(h) - radius, 0), np.minimum(np.arange(h) + radius + 1, h)
+    left, right = np.maximum(np.arange(w) - radius, 0), np.minimum(np.arange(w) + radius + 1, w)
+    return total[np.ix_(low, right)] - total[np.ix_(top, right)] - total[np.ix_(low, left)] + total[np.ix_(top, left)]
+
+
+def box_filter_batches(images: DataFrame, radius: int = 1) -> DataFrame:
+    """box_filter for large images, at a constant cost a pixel."""
+    return _each_image(images, lambda p: window_sums(p, radius) / (2 * radius + 1) ** 2)
+
+
+def adaptive_threshold_batches(images: DataFrame, block: int = 11, c: float = 2.0) -> DataFrame:
+    """255 where the pixel is over its block's mean less c, else 0, for large images."""
+    return _each_image(images, lambda p: np.where(p > window_sums(p, block // 2) / (2 * (block // 2) + 1) ** 2 - c, 255.0, 0.0))
+
+
+def separable(pixels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The window sum weighted by weights[dy] * weights[dx], pixels outside counting 0: one pass down and one across."""
+    radius = len(weights) // 2
+    for axis in (0, 1):
+        wide = np.pad(pixels, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)])
+        pixels = sum(w * np.take(wide, np.arange(k, k + pixels.shape[axis]), axis=axis) for k, w in enumerate(weights))
+    return pixels
+
+
+def gaussian_blur_batches(images: DataFrame, radius: int) -> DataFrame:
+    """gaussian_blur for large images: its weights are a product, so 2 * (2 * radius + 1) of them a pixel do."""
+    if not radius:
+        return images.select("image_id", "width", "height", "pixels")
+    raw = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * (radius / 3) ** 2))
+    return _each_image(images, lambda p: separable(p, raw / raw.sum()))
+
+
 def kernel_batches(images: DataFrame, weights: dict[tuple[int, int], float]) -> DataFrame:
     """convolve for large images, by NumPy over Arrow batches; same result. Columns image_id, width, height, pixels."""
 

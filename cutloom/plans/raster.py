@@ -74,6 +74,9 @@ QUERIES = {
     "raster_boundary": lambda s, d: R.boundary(A.rasters(s, d), 0.0),
     "raster_otsu": lambda s, d: R.otsu_threshold(A.rasters(s, d)),
     "raster_kernel_batches": lambda s, d: R.pixels_of(R.kernel_batches(A.rasters(s, d), R.gaussian(2))),
+    "raster_box_batches": lambda s, d: R.pixels_of(R.box_filter_batches(A.rasters(s, d), 1)),
+    "raster_blur_batches": lambda s, d: R.pixels_of(R.gaussian_blur_batches(A.rasters(s, d), 2)),
+    "raster_adaptive_batches": lambda s, d: R.pixels_of(R.adaptive_threshold_batches(A.rasters(s, d), 3, 0.05), None),
     "raster_close": lambda s, d: R.pixels_of(R.morphology_close(A.rasters(s, d), 3)),
     "raster_erode_twice": lambda s, d: R.pixels_of(R.iterated(R.erode, 2)(A.rasters(s, d))),
     "raster_motion_blur": lambda s, d: R.pixels_of(R.motion_blur(A.rasters(s, d), 3)),
@@ -133,6 +136,9 @@ ORACLE = {
     "raster_pipeline": f"WITH {A.RASTERS}, {_KXY}, {_kernel('g', R.gaussian(2))}, bl AS ({_conv('g')}), {_SOBEL('bl')} {_out('CASE WHEN v > 0.15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'so')}",
     "raster_minmax": f"WITH {A.RASTERS}, o AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image_id)) {_out('CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 255) ELSE 0.0 END')}",
     "raster_grayscale": "SELECT vec_id AS image_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[4 * i + 1] AS DOUBLE) * 0.299::DOUBLE + CAST(embedding[4 * i + 2] AS DOUBLE) * 0.587::DOUBLE + CAST(embedding[4 * i + 3] AS DOUBLE) * 0.114::DOUBLE, 6) AS grey, round(CAST(embedding[4 * i + 4] AS DOUBLE), 6) AS alpha FROM embeddings, range(16) r(i)",
+    "raster_box_batches": f"WITH {A.RASTERS}, {_kernel('g', dict.fromkeys(R.window(1), 1.0 / 9))}, o AS ({_conv('g')}) {_out()}",
+    "raster_blur_batches": f"WITH {A.RASTERS}, {_kernel('g', R.gaussian(2))}, o AS ({_conv('g')}) {_out()}",
+    "raster_adaptive_batches": f"WITH {A.RASTERS}, {_kernel('g', dict.fromkeys(R.window(1), 1.0 / 9))}, m AS ({_conv('g')}), o AS (SELECT p.image_id, p.x, p.y, CASE WHEN p.v > m.v - 0.05::DOUBLE THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM px p JOIN m USING (image_id, x, y)) {_out('v')}",
     "raster_close": f"WITH {A.RASTERS}, {_K1}, di AS ({_pick('greatest', 'px')}), o AS ({_pick('least', 'di')}) {_out()}",
     "raster_erode_twice": f"WITH {A.RASTERS}, {_K1}, er AS ({_pick('least', 'px')}), o AS ({_pick('least', 'er')}) {_out()}",
     "raster_motion_blur": f"WITH {A.RASTERS}, {_kernel('g', {(k, 0): 1.0 / 3 for k in range(3)})}, o AS ({_conv('g')}) {_out()}",
