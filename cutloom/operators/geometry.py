@@ -143,8 +143,9 @@ def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
         if b - a < 2:
             continue
         p, q, mid = points[a], points[b], points[a + 1 : b]
-        d, length = q - p, float(np.hypot(*(q - p)))
-        away = np.hypot(*(mid - p).T) if length == 0 else np.abs(d[0] * (mid[:, 1] - p[1]) - d[1] * (mid[:, 0] - p[0])) / length
+        d, off = q - p, (mid - p).T
+        length = float(np.sqrt(d[0] ** 2 + d[1] ** 2))  # by pow, as SQL has it: in hypot the last digit differs, and points of one edge are equally far
+        away = np.hypot(*off) if length == 0 else np.abs(d[0] * off[1] - d[1] * off[0]) / length
         k = int(np.argmax(away))
         if away[k] > tolerance:
             keep[a + 1 + k] = True
