@@ -108,8 +108,11 @@ def valid_ring(ring: Column) -> Column:
     return F.when(bad, F.array().cast(RING)).otherwise(ring)
 
 
-def over_area(df: DataFrame, ring: str = "ring", least: float = 10.0) -> DataFrame:
-    return df.filter(ring_area(F.col(ring)) >= least)
+def over_area(df: DataFrame, ring: str = "ring", least: float = 10.0, digits: int | None = None) -> DataFrame:
+    """Rows whose ring has at least that area, rounded to ``digits`` first where given. The area is unnested, so that the filter doesn't take the ring's computation into its lambda."""
+    area = ring_area(F.col(ring))
+    sized = df.withColumn("area_", F.explode_outer(F.array(area if digits is None else F.round(area, digits))))
+    return sized.filter(F.col("area_") >= least).drop("area_")
 
 
 def contained_boxes(boxes: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ QUERIES = {
     "ring_chaikin": lambda s, d: G.points_of(G.chaikin_rounds(A.rings(s, d), "ring", 1)),
     "ring_round": lambda s, d: G.points_of(A.rings(s, d).withColumn("ring", G.round_ring(F.col("ring")))),
     "ring_validate": _validated,
-    "min_area_filter": lambda s, d: G.over_area(A.rings(s, d), "ring", 0.1).select("shape_id", r6(G.ring_area(F.col("ring"))).alias("area")),
+    "min_area_filter": lambda s, d: G.over_area(A.rings(s, d), "ring", 0.1, 6).select("shape_id", r6(G.ring_area(F.col("ring"))).alias("area")),
     "largest_feature": lambda s, d: G.largest_by(_areas(s, d), "label"),
     "features_by_area": lambda s, d: J.features_by_area(_areas(s, d), 0.02, 0.2).select("shape_id", "area"),
     "features_topk": lambda s, d: G.top_features(_areas(s, d), 20).select("shape_id", "area"),
