@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.tables import materialize
+
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -115,23 +117,36 @@ def over_area(df: DataFrame, ring: str = "ring", least: float = 10.0, digits: in
     return sized.filter(F.col("area_") >= least).drop("area_")
 
 
-def contained_boxes(boxes: DataFrame) -> DataFrame:
-    """image_id, shape_id, owner_id of rectangles: the greedy claim of contours by the largest that holds them.
+BOX = ("image_id", "x0", "y0", "x1", "y1")
 
-    Shapes go by area, largest first (ties by id); each that none has claimed claims all later ones inside it.
-    Strict containment is transitive, so a shape's owner is simply the first shape that holds it. Shapes meet in the cells
-    of a grid: a holder covers the cell of its content's lower corner, so the join is an equi-join on (image, cell).
-    """
-    cell = 64
-    ranked = boxes.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+
+def one_of_each_box(boxes: DataFrame) -> DataFrame:
+    """BOX, shape_id, area: equal boxes of an image as one, of the least id. They hold and are held by the same ones, and none of them holds another strictly."""
+    one = boxes.groupBy(*BOX).agg(F.min("shape_id").alias("shape_id"))
+    return one.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+
+
+def box_pairs(boxes: DataFrame, cell: int = 64) -> DataFrame:
+    """Aliases o and i of boxes where o holds i strictly. They meet in the cells of a grid: a holder covers the cell of its content's lower corner, so the join is an
+    equi-join on (image, cell). A box in every cell it covers is far more than the file it comes from, so no side is ever broadcast."""
     cover = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    outer = ranked.withColumn("cx", F.explode(cover("x0", "x1"))).withColumn("cy", F.explode(cover("y0", "y1"))).alias("o")
-    inner = ranked.withColumns({"cx": F.floor(F.col("x0") / cell), "cy": F.floor(F.col("y0") / cell)}).alias("i")
+    outer = boxes.withColumn("cx", F.explode(cover("x0", "x1"))).withColumn("cy", F.explode(cover("y0", "y1"))).alias("o")
+    inner = boxes.withColumns({"cx": F.floor(F.col("x0") / cell), "cy": F.floor(F.col("y0") / cell)}).alias("i")
     o, i = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"i.{c}"))
     inside = (o("x0") < i("x0")) & (o("y0") < i("y0")) & (o("x1") > i("x1")) & (o("y1") > i("y1"))
-    met = inner.join(outer, (i("image_id") == o("image_id")) & (i("cx") == o("cx")) & (i("cy") == o("cy")) & inside)
-    owner = met.groupBy(i("image_id").alias("image_id"), i("shape_id").alias("shape_id")).agg(F.max(F.struct(o("area").alias("area"), (-o("shape_id")).alias("back"))).alias("own"))
-    return ranked.select("image_id", "shape_id", "area").join(owner, ["image_id", "shape_id"], "left").select("image_id", "shape_id", "area", (-F.col("own.back")).alias("owner_id"))
+    return inner.join(outer.hint("merge"), (i("image_id") == o("image_id")) & (i("cx") == o("cx")) & (i("cy") == o("cy")) & inside)
+
+
+def contained_boxes(boxes: DataFrame) -> DataFrame:
+    """image_id, shape_id, area, owner_id of rectangles: the greedy claim of contours by the largest that holds them.
+
+    Shapes go by area, largest first (ties by id); each that none has claimed claims all later ones inside it.
+    Strict containment is transitive, so a shape's owner is simply the first shape that holds it. Only different boxes meet.
+    """
+    one = materialize(one_of_each_box(boxes), "boxes")
+    owner = box_pairs(one).groupBy(*(F.col(f"i.{c}").alias(c) for c in BOX)).agg(F.max(F.struct(F.col("o.area").alias("area"), (-F.col("o.shape_id")).alias("back"))).alias("own"))
+    sized = boxes.select(*BOX, "shape_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    return sized.join(owner.hint("merge"), list(BOX), "left").select("image_id", "shape_id", "area", (-F.col("own.back")).alias("owner_id"))
 
 
 def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
