@@ -144,9 +144,9 @@ def labels(tiles: DataFrame, t: float = 0.0, on: bool = True, diagonal: bool = T
     meet = [c(f"one.{k}") == c(f"two.{k}") for k in ("image_id", "side", "line", "bucket")]
     touch = (c("one.lo") < c("two.hi") + reach) & (c("two.lo") < c("one.hi") + reach)
     vertex = lambda side: F.struct(c(f"{side}.image_id").alias("image_id"), c(f"{side}.first").alias("first"))
-    roots = components(one.join(two, [*meet, touch]).select(vertex("one").alias("u"), vertex("two").alias("v")))
+    roots = components(one.join(two.hint("merge"), [*meet, touch]).select(vertex("one").alias("u"), vertex("two").alias("v")))
     roots = roots.select(c("v.image_id").alias("of_image"), c("v.first").alias("of_first"), c("root.first").alias("root"))
-    met = local.drop("borders").join(roots, (c("image_id") == c("of_image")) & (c("first") == c("of_first")), "left")
+    met = local.drop("borders").join(roots.hint("merge"), (c("image_id") == c("of_image")) & (c("first") == c("of_first")), "left")
     return met.withColumn("region", F.coalesce("root", "first")).drop("of_image", "of_first", "root")
 
 
@@ -182,11 +182,11 @@ def redraw(tiles: DataFrame, which: Column, value: float, t: float = 0.0, on: bo
     """tiles with the pixels of the regions for which ``which`` (over the columns of measured()) holds set to value."""
     found = materialize(labels(tiles, t, on, diagonal), "regions")
     chosen = measured(found).filter(which).select("image_id", "region")
-    of = found.join(chosen, ["image_id", "region"]).groupBy(*SPLIT).agg(F.collect_list("first").alias("chosen"))  # at most a tile's pixels
+    of = found.join(chosen.hint("merge"), ["image_id", "region"]).groupBy(*SPLIT).agg(F.collect_list("first").alias("chosen"))  # at most a tile's pixels
     kind = tiles.schema["image_id"].dataType.simpleString()
     schema = f"image_id {kind}, ty int, tx int, x0 int, y0 int, w int, h int, width int, height int, pixels array<double>"
     names = [*SPLIT, "x0", "y0", "w", "h", "width", "height", "pixels"]
-    joined_ = tiles.select(*names).join(of, list(SPLIT), "left").select(*names, "chosen")
+    joined_ = tiles.select(*names).join(of.hint("merge"), list(SPLIT), "left").select(*names, "chosen")
     return joined_.mapInArrow(lambda b: _redrawn(b, t, on, int(diagonal), value), schema)
 
 
