@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,17 +219,36 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array([*hull, hull[0]])
 
 
+SLICE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE rows, so that a step's Python values are those of few rows, however large the batches that Spark makes."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+
+
+def ring_arrays(column: pa.Array) -> list[np.ndarray]:
+    """Points (n x 2) of each ring of a column; null rings have none, null coordinates are NaN."""
+    flat = column.flatten()
+    xy = np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)], 1)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(int)
+    return [xy[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def ring_column(rings: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.asarray(r, float).reshape(-1, 2) for r in rings]) if rings else np.zeros((0, 2))
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat[:, k].copy()) for k in (0, 1)], ["x", "y"]))
+
+
 def map_rings(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], id_col: str = "shape_id", ring_col: str = "ring") -> DataFrame:
     """id and fn(ring) for every row, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        for batch in batches:
-            out = []
-            for ring in batch.column(1).to_pylist():
-                points = np.array([(p["x"], p["y"]) for p in ring or []], float).reshape(-1, 2)
-                out.append([{"x": x, "y": y} for x, y in fn(points).tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], [id_col, ring_col])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), ring_column([fn(r) for r in ring_arrays(batch.column(1))])], [id_col, ring_col])
 
     picked = df.select(id_col, ring_col)
     return picked.mapInArrow(run, f"{id_col} {picked.schema[id_col].dataType.simpleString()}, {ring_col} {RING}")
@@ -286,7 +306,7 @@ def image_contours(images: DataFrame, t: float = 0.0) -> DataFrame:
     """image_id, contour (from 0), ring: the borders of the pixels over t of every image."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, numbers, rings = [], [], []
             for k, (w, h, values) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                 for n, ring in enumerate(contours(np.array(values, float).reshape(h, w) > t)):

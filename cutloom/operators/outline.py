@@ -81,7 +81,7 @@ def _each_ring_python(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[DataF
     def run(batches):
         kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
         turn = lambda ring: [{"x": x, "y": y} for x, y in fn(np.array([(p["x"], p["y"]) for p in ring or []], float).reshape(-1, 2)).tolist()]
-        for batch in batches:
+        for batch in G.slices(batches):
             outer, holes = ([turn(r) for r in batch.column(2).to_pylist()], [[turn(h) for h in hs] for hs in batch.column(3).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outer, kind), pa.array(holes, pa.list_(kind))], ["image_id", "shape_id", "exterior", "holes"])
 
@@ -153,18 +153,18 @@ class Pipeline:
 
 def _shapes(images: DataFrame, extract: Callable, holes: Callable) -> DataFrame:
     def run(batches):
-        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        ring = lambda r: [{"x": x, "y": y} for x, y in r.tolist()]
-        for batch in batches:
-            at, number, outer, inner = [], [], [], []
-            for k, (w, h, values) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                image = np.array(values, float).reshape(h, w) > 0
+        for batch in G.slices(batches):
+            at, number, outer, inner, many = [], [], [], [], [0]
+            for k, (w, h, values) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                image = np.asarray(values.values.to_numpy(zero_copy_only=False), float).reshape(h, w) > 0
                 for n, (exterior, own) in enumerate(holes(extract(image))):
                     at.append(k)
                     number.append(n)
-                    outer.append(ring(exterior))
-                    inner.append([ring(x) for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(number, pa.int32()), pa.array(outer, kind), pa.array(inner, pa.list_(kind))], ["image_id", "shape_id", "exterior", "holes"])
+                    outer.append(exterior)
+                    inner += own
+                    many.append(len(inner))
+            held = pa.ListArray.from_arrays(pa.array(many, pa.int32()), G.ring_column(inner))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(number, pa.int32()), G.ring_column(outer), held], ["image_id", "shape_id", "exterior", "holes"])
 
     picked = images.select("image_id", "width", "height", "pixels")
     return picked.mapInArrow(run, f"image_id {picked.schema['image_id'].dataType.simpleString()}, shape_id int, exterior {G.RING}, holes {RINGS}")
