@@ -50,13 +50,15 @@ def natural_breaks(utterances: DataFrame, min_gap_us: int = 2_000_000) -> DataFr
     return gap.select("media_id", "utt_id", F.expr("e_us + gap_us div 2").alias("break_us"))
 
 
-def skeleton_segments(utterances: DataFrame, min_gap_us=2_000_000, max_us=300_000_000, tail_us=5_000_000) -> DataFrame:
+def skeleton_segments(utterances: DataFrame, min_gap_us=2_000_000, max_us=300_000_000, tail_us=5_000_000, by_medium=False) -> DataFrame:
     """media_id, seg, start_us, end_us, name, description: spans between breaks, long ones split evenly.
 
     One longer than max_us becomes ceil(length / max_us) parts, the last one ending at the break. What follows
     the last break, up to tail_us after the last utterance's end, is one segment, never split, if it is longer than 0.
     The spans end at the breaks and at the last utterance, which has no next one; they rise by time, so where one begins and the
     number of its first part come from a window within (medium, day) and a table of one row a medium and day.
+    by_medium brings a medium's spans together before they become parts, of which there may be many more: groups of
+    whole media then need no shuffle of parts.
     """
     gap = with_next_start(utterances).withColumn("gap_", F.col("next_us") - F.col("e_us")).withColumn("last_", F.col("next_us").isNull())
     ends = gap.filter(F.col("last_") | (F.col("gap_") >= min_gap_us)).select("media_id", "last_", F.when(F.col("last_"), F.col("e_us") + tail_us).otherwise(F.expr("e_us + gap_ div 2")).alias("to_us"))
@@ -70,6 +72,8 @@ def skeleton_segments(utterances: DataFrame, min_gap_us=2_000_000, max_us=300_00
     counts = sized.groupBy("media_id", "day_").agg(F.sum("n").alias("n_")).select("media_id", "day_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("prior_"))
     running = F.sum("n").over(in_day.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     placed = sized.withColumn("run_", running).join(counts, ["media_id", "day_"])
+    if by_medium:
+        placed = placed.repartition(int(utterances.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("media_id").cast("string"))
     parts = placed.select("media_id", "from_us", "to_us", "n", (F.col("prior_") + F.col("run_") + 1).alias("first_"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     numbered = parts.select("media_id", (F.col("first_") + F.col("i")).alias("seg"), F.expr("from_us + i * (to_us - from_us) div n").alias("start_us"), F.expr("from_us + (i + 1) * (to_us - from_us) div n").alias("end_us"))
     tenths = lambda us: F.concat(F.expr(f"(({us}) + 50000) div 100000 div 10").cast("string"), F.lit("."), F.expr(f"(({us}) + 50000) div 100000 % 10").cast("string"))

@@ -17,7 +17,7 @@ TENTHS = "CAST((({0}) + 50000) // 100000 // 10 AS VARCHAR) || '.' || CAST((({0})
 
 def _clips(s, d):
     """The clips out as one document a medium, and in again."""
-    back = C.clips_from_json(C.clips_to_json(speech.skeleton_clips(A.utterances(s, d), min_gap_us=MIN_GAP, max_us=MAX)))
+    back = C.clips_from_json(C.clips_to_json(speech.skeleton_clips(A.utterances(s, d), min_gap_us=MIN_GAP, max_us=MAX, by_medium=True)))
     return back.select("path", "clip_ord", "name", "op_type", F.size("segments").alias("n"), F.round(F.col("segments")[0]["start"], 6).alias("from_s"), F.round(F.col("segments")[0]["end"], 6).alias("to_s"))
 
 

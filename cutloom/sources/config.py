@@ -15,6 +15,7 @@ from cutloom.sources.errors import UnsupportedFileFormat
 _PARAMS = "struct<segments:array<string>,period:string,fps:double,format:string,quality:int>"
 DOCUMENT = f"struct<path:string,output_dir:string,clips:array<struct<name:string,description:string,operation:struct<type:string,params:{_PARAMS}>>>>"
 _RANGE = "struct<start:double,`end`:double>"
+_TYPED = DOCUMENT.replace("segments:array<string>", f"segments:array<{_RANGE}>")
 
 
 def parse_range(text: Column) -> Column:
@@ -28,14 +29,27 @@ def clips_from_json(documents: DataFrame, json_col: str = "json") -> DataFrame:
     """A row for each clip of each document: path, output_dir, clip_ord, name, description, op_type, segments, period, fps, format, quality.
 
     Unknown keys are ignored; an operation's defaults are 25 frames a second and quality 2. A document that isn't JSON gives no clip.
+    Where every clip has segments and all of them are whole objects, a document is parsed once, ranges included; any other is
+    parsed again with its ranges as text, since they may be arrays. Each step is a column of its own, so that nothing is computed twice.
     """
-    doc = F.from_json(F.col(json_col), DOCUMENT)
-    clips = documents.select(doc.alias("d")).filter("d.path is not null").select("d.path", "d.output_dir", F.posexplode("d.clips").alias("clip_ord", "c"))
+    whole = F.forall("t.clips", lambda c: F.coalesce(F.forall(c["operation"]["params"]["segments"], lambda r: r["start"].isNotNull() & r["end"].isNotNull()), F.lit(False)))
+    typed = documents.select(F.col(json_col).alias("json"), F.from_json(F.col(json_col), _TYPED).alias("t"))
+    checked = typed.select("json", "t", (F.col("t.path").isNotNull() & F.coalesce(whole, F.lit(False))).alias("whole"))
+    both = checked.select("t", "whole", F.when(~F.col("whole"), F.from_json("json", DOCUMENT)).alias("u"))
+
+    def ranged(c: Column) -> Column:
+        op, q = c["operation"], c["operation"]["params"]
+        params = F.struct(F.transform(q["segments"], parse_range).alias("segments"), q["period"].alias("period"), q["fps"].alias("fps"), q["format"].alias("format"), q["quality"].alias("quality"))
+        return F.struct(c["name"].alias("name"), c["description"].alias("description"), F.struct(op["type"].alias("type"), params.alias("params")).alias("operation"))
+
+    pick = lambda of_typed, of_text: F.when(F.col("whole"), of_typed).otherwise(of_text)
+    listed = both.select(*[pick(F.col(f"t.{k}"), F.col(f"u.{k}")).alias(k) for k in ("path", "output_dir")], pick(F.col("t.clips"), F.when(F.col("u.path").isNotNull(), F.transform("u.clips", ranged))).alias("cs"))
+    clips = listed.select("path", "output_dir", F.posexplode_outer("cs").alias("clip_ord", "c")).filter("clip_ord is not null")
     p = "c.operation.params"
     seq = F.col("c.operation.type") == "sequentise"
     return clips.select(
         "path", "output_dir", "clip_ord", F.col("c.name").alias("name"), F.col("c.description").alias("description"), F.col("c.operation.type").alias("op_type"),
-        F.transform(f"{p}.segments", parse_range).alias("segments"), parse_range(F.col(f"{p}.period")).alias("period"),
+        F.col(f"{p}.segments").alias("segments"), parse_range(F.col(f"{p}.period")).alias("period"),
         F.when(seq, F.coalesce(f"{p}.fps", F.lit(25.0))).alias("fps"), F.col(f"{p}.format").alias("format"), F.when(seq, F.coalesce(f"{p}.quality", F.lit(2))).alias("quality"),
     )
 
@@ -49,7 +63,7 @@ def clips_to_json(clips: DataFrame) -> DataFrame:
     """path, json: one document for each (path, output_dir), ranges as objects. A document is one row by definition."""
     params = F.struct("segments", "period", "fps", "format", "quality")
     op = F.when(F.col("op_type").isNotNull(), F.struct(F.col("op_type").alias("type"), params.alias("params")))
-    listed = clips.groupBy("path", "output_dir").agg(F.array_sort(F.collect_list(F.struct("clip_ord", "name", "description", op.alias("operation")))).alias("c"))
+    listed = clips.groupBy("path", "output_dir").agg(F.sort_array(F.collect_list(F.struct("clip_ord", "name", "description", op.alias("operation")))).alias("c"))
     bare = F.transform("c", lambda c: F.struct(c["name"].alias("name"), c["description"].alias("description"), c["operation"].alias("operation")))
     return listed.select("path", F.to_json(F.struct("path", "output_dir", bare.alias("clips"))).alias("json"))
 
