@@ -7,6 +7,7 @@ Douglas-Peucker, Visvalingam-Whyatt and hulls, which are sequential, are small P
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -150,6 +151,10 @@ def contained_boxes(boxes: DataFrame) -> DataFrame:
     return sized.join(owner.hint("merge"), list(BOX), "left").select("image_id", "shape_id", "area", (-F.col("own.back")).alias("owner_id"))
 
 
+#: Up to so many points Python is faster than NumPy.
+SHORT = 40
+
+
 def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Ends stay; a stretch keeps its farthest point if that is over tolerance away (the first of equals)."""
     if len(points) < 3:
@@ -157,16 +162,28 @@ def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
     keep = np.zeros(len(points), bool)
     keep[[0, -1]] = True
     stack = [(0, len(points) - 1)]
+    xs, ys = points.T.tolist()
+    usual = bool(np.abs(points).max() < 1e150)
     while stack:
         a, b = stack.pop()
         if b - a < 2:
             continue
-        p, q, mid = points[a], points[b], points[a + 1 : b]
-        d, off = q - p, (mid - p).T
-        length = float(np.sqrt(d[0] ** 2 + d[1] ** 2))  # by pow, as SQL has it: in hypot the last digit differs, and points of one edge are equally far
-        away = np.hypot(*off) if length == 0 else np.abs(d[0] * off[1] - d[1] * off[0]) / length
-        k = int(np.argmax(away))
-        if away[k] > tolerance:
+        px, py = xs[a], ys[a]
+        dx, dy = xs[b] - px, ys[b] - py
+        if usual and b - a <= SHORT and (dx or dy) and (length := math.sqrt(dx**2 + dy**2)):
+            farthest, k = -1.0, 0
+            for n in range(a + 1, b):
+                away = abs(dx * (ys[n] - py) - dy * (xs[n] - px)) / length
+                if away > farthest:
+                    farthest, k = away, n - a - 1
+        else:
+            p, q, mid = points[a], points[b], points[a + 1 : b]
+            d, off = q - p, (mid - p).T
+            length = float(np.sqrt(d[0] ** 2 + d[1] ** 2))  # by pow, as SQL has it: in hypot the last digit differs, and points of one edge are equally far
+            far = np.hypot(*off) if length == 0 else np.abs(d[0] * off[1] - d[1] * off[0]) / length
+            k = int(np.argmax(far))
+            farthest = far[k]
+        if farthest > tolerance:
             keep[a + 1 + k] = True
             stack += [(a, a + 1 + k), (a + 1 + k, b)]
     return points[keep]
@@ -261,44 +278,39 @@ _AROUND = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 def contours(image: np.ndarray) -> list[np.ndarray]:
     """Borders of the 8-connected on-regions and of their holes, by border following (Suzuki and Abe), as closed walks of (x, y) without the last point again."""
     h, w = image.shape
-    f = np.zeros((h + 2, w + 2), int)
-    f[1:-1, 1:-1] = image > 0
+    wide = w + 2
+    on = np.zeros((h + 2, wide), bool)
+    on[1:-1, 1:-1] = image > 0
+    f = on.ravel().astype(int).tolist()  # a list: single values are read, which arrays are slow at
+    step = [dx + dy * wide for dx, dy in _AROUND]
     number, out = 1, []
-    for y in range(1, h + 1):
-        for x in range(1, w + 1):
-            if f[y, x] == 0:
-                continue
-            outer = f[y, x] == 1 and f[y, x - 1] == 0
-            if not outer and not (f[y, x] >= 1 and f[y, x + 1] == 0):
-                continue
-            number += 1
-            walk = [(x - 1, y - 1)]
-            start = 4 if outer else 0
-            turn = next((k % 8 for k in range(start, start + 8) if f[y + _AROUND[k % 8][1], x + _AROUND[k % 8][0]]), None)
-            if turn is None:
-                f[y, x] = -number
-                out.append(np.array(walk, float))
-                continue
-            first = (x + _AROUND[turn][0], y + _AROUND[turn][1])
-            came, at = first, (x, y)
+    for start in np.flatnonzero(on.ravel() & ~(np.roll(on.ravel(), 1) & np.roll(on.ravel(), -1))).tolist():
+        outer = f[start] == 1 and f[start - 1] == 0
+        if not outer and not (f[start] >= 1 and f[start + 1] == 0):
+            continue
+        number += 1
+        walk = [start]
+        turn = next((k % 8 for k in range(4 if outer else 0, 12 if outer else 8) if f[start + step[k % 8]]), None)
+        if turn is None:
+            f[start] = -number
+        else:
+            first, at, back = start + step[turn], start, turn
             while True:
-                back = _AROUND.index((came[0] - at[0], came[1] - at[1]))
                 east_was_off = False
                 for k in range(back - 1, back - 9, -1):
-                    dx, dy = _AROUND[k % 8]
-                    if f[at[1] + dy, at[0] + dx]:
-                        nxt = (at[0] + dx, at[1] + dy)
+                    if f[at + step[k % 8]]:
                         break
-                    east_was_off |= (dx, dy) == (1, 0)
+                    east_was_off |= k % 8 == 0
+                following = at + step[k % 8]
                 if east_was_off:
-                    f[at[1], at[0]] = -number
-                elif f[at[1], at[0]] == 1:
-                    f[at[1], at[0]] = number
-                if nxt == (x, y) and at == first:
+                    f[at] = -number
+                elif f[at] == 1:
+                    f[at] = number
+                if following == start and at == first:
                     break
-                came, at = at, nxt
-                walk.append((at[0] - 1, at[1] - 1))
-            out.append(np.array(walk, float))
+                at, back = following, (k + 4) % 8
+                walk.append(at)
+        out.append(np.stack(np.divmod(np.array(walk), wide)[::-1], 1).astype(float) - 1)
     return out
 
 

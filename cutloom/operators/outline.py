@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,37 +37,37 @@ def _area(ring: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2 if len(ring) > 2 else 0.0
 
 
-def containment_holes(contours: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    """Largest first, each contour that none has claimed claims all others inside it. One of no area holds nothing; islands within holes are holes too."""
-    ranked = sorted(contours, key=_area, reverse=True)
-    free, out = [True] * len(ranked), []
-    for k, outer in enumerate(ranked):
-        if not free[k]:
+def _claims(contours: list[np.ndarray], may: Callable[[float, float], bool]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Largest first, each contour that none has claimed claims all others inside it of whose area, and its own, ``may`` says so. Areas and boxes are taken once; only what lies in a box is looked at by points."""
+    areas = [_area(c) for c in contours]
+    order = sorted(range(len(contours)), key=areas.__getitem__, reverse=True)
+    boxes = [(*c.min(0), *c.max(0)) if len(c) else None for c in contours]
+    free, out = [True] * len(contours), []
+    for k, o in enumerate(order):
+        if not free[o]:
             continue
-        free[k], holes = False, []
-        for j in range(k + 1, len(ranked)):
-            if free[j] and _area(outer) > 0 and inside(ranked[j], outer).all():
-                free[j] = False
-                holes.append(ranked[j])
-        out.append((outer, holes))
+        free[o], holes, box = False, [], boxes[o]
+        slack = 1e-9 * max(map(abs, box)) if box else 0.0
+        for i in order[k + 1 :]:
+            if not free[i] or not may(areas[i], areas[o]):
+                continue
+            if boxes[i] and box and np.isfinite(slack) and not (boxes[i][0] >= box[0] - slack and boxes[i][1] >= box[1] - slack and boxes[i][2] <= box[2] + slack and boxes[i][3] <= box[3] + slack):
+                continue
+            if inside(contours[i], contours[o]).all():
+                free[i] = False
+                holes.append(contours[i])
+        out.append((contours[o], holes))
     return out
 
 
+def containment_holes(contours: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Largest first, each contour that none has claimed claims all others inside it. One of no area holds nothing; islands within holes are holes too."""
+    return _claims(contours, lambda inner, outer: outer > 0)
+
+
 def area_based_holes(contours: list[np.ndarray], least: float = 0.01, most: float = 0.8) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """As containment_holes, but a claim also needs an area ratio of least to most."""
-    ranked = sorted(contours, key=_area, reverse=True)
-    free, out = [True] * len(ranked), []
-    for k, outer in enumerate(ranked):
-        if not free[k]:
-            continue
-        free[k], holes = False, []
-        for j in range(k + 1, len(ranked)):
-            ratio = _area(ranked[j]) / _area(outer) if _area(outer) else 0.0
-            if free[j] and least <= ratio <= most and inside(ranked[j], outer).all():
-                free[j] = False
-                holes.append(ranked[j])
-        out.append((outer, holes))
-    return out
+    return _claims(contours, lambda inner, outer: least <= (inner / outer if outer else 0.0) <= most)
 
 
 def no_holes(contours: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
@@ -78,12 +79,14 @@ def _each_ring(fn: Callable[[Column], Column]) -> Callable[[DataFrame], DataFram
 
 
 def _each_ring_python(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
+    turned = lambda rings: G.ring_column([fn(r) for r in G.ring_arrays(rings)])
+
     def run(batches):
-        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        turn = lambda ring: [{"x": x, "y": y} for x, y in fn(np.array([(p["x"], p["y"]) for p in ring or []], float).reshape(-1, 2)).tolist()]
         for batch in G.slices(batches):
-            outer, holes = ([turn(r) for r in batch.column(2).to_pylist()], [[turn(h) for h in hs] for hs in batch.column(3).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outer, kind), pa.array(holes, pa.list_(kind))], ["image_id", "shape_id", "exterior", "holes"])
+            holes = batch.column(3)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(holes), 0).to_numpy(zero_copy_only=False))])
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), turned(holes.flatten()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), turned(batch.column(2)), held], ["image_id", "shape_id", "exterior", "holes"])
 
     return lambda shapes: shapes.select("image_id", "shape_id", "exterior", "holes").mapInArrow(run, shapes.select("image_id", "shape_id", "exterior", "holes").schema)
 
@@ -104,7 +107,7 @@ def adaptive_threshold_step(block: int = 11, c: float = 2.0) -> Callable[[DataFr
 
 
 def blur_step(sigma: float = 1.0) -> Callable[[DataFrame], DataFrame]:
-    return lambda images: R.blur_by_sigma(images, sigma)
+    return lambda images: R.blur_by_sigma_batches(images, sigma)
 
 
 def minimum_area_step(least: float = 10.0) -> Callable[[DataFrame], DataFrame]:

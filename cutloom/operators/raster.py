@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Images of a piece that is blurred together.
+BLURRED = 256
+
 SOBEL_X = {(-1, -1): -1.0, (1, -1): 1.0, (-1, 0): -2.0, (1, 0): 2.0, (-1, 1): -1.0, (1, 1): 1.0}
 SOBEL_Y = {(dy, dx): w for (dx, dy), w in SOBEL_X.items()}
 LAPLACIAN = {(0, -1): 1.0, (-1, 0): 1.0, (0, 0): -4.0, (1, 0): 1.0, (0, 1): 1.0}
@@ -78,16 +81,48 @@ def clamped(pixels: str, i: Column, dx: int, dy: int) -> Column:
     return F.get(pixels, (y * w + x).cast("int"))
 
 
-def blur_by_sigma(images: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian blur whose window reaches 2 sigma, weights summing to 1, borders repeated: one pass along the rows and one along the columns."""
+def _falling(sigma: float) -> list[tuple[int, float]]:
+    """Offsets up to 2 sigma and their weights, which sum to 1."""
     radius = math.ceil(2 * sigma)
     raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    weights = list(zip(range(-radius, radius + 1), [v / sum(raw) for v in raw], strict=True))
+    return list(zip(range(-radius, radius + 1), [v / sum(raw) for v in raw], strict=True))
+
+
+def blur_by_sigma(images: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian blur whose window reaches 2 sigma, weights summing to 1, borders repeated: one pass along the rows and one along the columns."""
+    weights = _falling(sigma)
     for across in (True, False):
         images = images.withColumn("pixels", each_pixel(lambda i, across=across: sum((clamped("pixels", i, k * across, k * (not across)) * w for k, w in weights), F.lit(0.0))))
     return images
 
 
+def blur_by_sigma_batches(images: DataFrame, sigma: float) -> DataFrame:
+    """blur_by_sigma by NumPy over Arrow batches: the same sums in the same order, other columns kept. A missing pixel, or one past the array's end, makes null what its window reaches."""
+    weights = _falling(sigma)
+
+    def blurred(pixels: np.ndarray) -> np.ndarray:
+        for axis in (1, 0):
+            at, last = np.arange(pixels.shape[axis]), pixels.shape[axis] - 1
+            pixels = sum(pixels.take(np.clip(at + k, 0, last), axis) * w for k, w in weights)
+        return pixels
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLURRED):
+                part = batch.slice(first, BLURRED)
+                at, out, missing = part.schema.get_field_index("pixels"), [np.zeros(0)], [np.zeros(0, bool)]
+                for w, h, cell in zip(part.column("width").to_pylist(), part.column("height").to_pylist(), part.column(at), strict=True):
+                    values = cell.values.slice(0, w * h) if cell.is_valid else pa.array([], pa.float64())
+                    image, unknown = np.zeros(w * h), np.ones(w * h, bool)
+                    image[: len(values)], unknown[: len(values)] = values.to_numpy(zero_copy_only=False), values.is_null().to_numpy(zero_copy_only=False)
+                    out.append(blurred(image.reshape(h, w)).ravel() if w * h else image)
+                    missing.append(blurred(unknown.reshape(h, w).astype(float)).ravel() > 0 if unknown.any() else unknown)
+                ends = pa.array(np.cumsum([0, *map(len, out[1:])]), pa.int32())
+                yield part.set_column(at, "pixels", pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out), mask=np.concatenate(missing))))
+
+    return images.mapInArrow(run, images.withColumn("pixels", F.col("pixels").cast("array<double>")).schema)
+
+
 def motion_blur(images: DataFrame, length: int = 3) -> DataFrame:
     """Mean of the pixel and the length - 1 to the right of it; missing ones count 0."""
     return convolve(images, {(dx, 0): 1.0 / length for dx in range(length)})
@@ -184,7 +219,10 @@ def resize_nearest(images: DataFrame, width: int, height: int) -> DataFrame:
         y = F.least(F.floor(F.floor(i / width) * h / height), h - 1)
         return F.get("pixels", (y * w + x).cast("int"))
 
-    return images.withColumn("pixels", F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), source)).withColumns({"width": F.lit(width), "height": F.lit(height)})
+    each = F.sequence(F.lit(0), F.lit(width * height - 1))
+    # size names pixels a second time: else what makes them would be computed again for every pixel of the result.
+    sized = F.when(F.size("pixels") >= 0, F.transform(each, source)).otherwise(F.transform(each, lambda i: F.lit(None).cast("double")))
+    return images.withColumn("pixels", sized).withColumns({"width": F.lit(width), "height": F.lit(height)})
 
 
 def box_smooth(images: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from cutloom.operators import raster as R
 from cutloom.operators import speech as S
 from cutloom.plans.geometry import LISTS, visvalingam_sql
 from cutloom.sources import adapters as A
+from cutloom.tables import spread
 
 PX = ["px", "py"]
 
@@ -38,12 +39,12 @@ def _laid(s, d):
 
 def _outlines(s, d):
     """Outlines of 32 x 32 enlargements, cut where a value is over the middle."""
-    big = R.resize_nearest(R.min_max(A.rasters(s, d)), 32, 32)
+    big = R.resize_nearest(R.min_max(spread(A.rasters(s, d))), 32, 32)
     return O.properties(O.PipelineBuilder().with_threshold(128).with_simplification(0.5).with_minimum_area(4).with_validation().build().run(big)).select("image_id", "shape_id", F.round("area", 4).alias("area"), "has_holes", "hole_count", F.round("perimeter", 4).alias("perimeter"))
 
 
 def _totals(s, d):
-    big = R.resize_nearest(R.min_max(A.rasters(s, d)), 32, 32)
+    big = R.resize_nearest(R.min_max(spread(A.rasters(s, d))), 32, 32)
     return O.totals(O.PipelineBuilder.comprehensive().run(big)).select("image_id", "shapes", F.round("area", 3).alias("area"), F.round("mean_perimeter", 3).alias("mean_perimeter"), "points")
 
 

@@ -35,6 +35,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to some tasks a core, however few files or row groups hold them: for steps that cost far more a row than reading it."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def discard_tables() -> None:
     """Delete every table that materialize() wrote in this process. Runs at exit; long-lived sessions can call it once results are stored."""
     while _written:
